@@ -21,6 +21,8 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators for letter runs: every ASCII byte but letters and digits. Bytes of other characters count as letters.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -47,10 +49,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a few texts. ``start``/``end``: byte places; ``first[i]:first[i+1]``: the words of text i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = ~space[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(n, dtype=bool)
