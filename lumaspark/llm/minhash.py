@@ -103,6 +103,53 @@ def _likely(buckets: int, least: float):
     return run
 
 
+def _across(ids: np.ndarray, comp: np.ndarray, sizes: np.ndarray, regs: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Likely pairs between different components of one bucket. Members of its largest component meet only others."""
+    names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    main = count.argmax()
+    ones, twos = [], []
+    for i in np.flatnonzero(which != main):
+        other = np.flatnonzero((which == main) | ((which > which[i]) & (which != main)))
+        other = other[100 * np.minimum(sizes[i], sizes[other]) >= percent * np.maximum(sizes[i], sizes[other])]
+        other = other[(regs[other] == regs[i]).mean(axis=1) >= least]
+        if len(other):
+            near = estimate(regs[other], regs[i][None], sizes[other], np.full(len(other), sizes[i])) >= least
+            other = other[near]
+            ones.append(np.minimum(ids[i], ids[other]))
+            twos.append(np.maximum(ids[i], ids[other]))
+    empty = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(ones), np.concatenate(twos)) if ones else (empty, empty)
+
+
+def _cross(buckets: int, least: float, percent: int):
+    """Over rows sorted by ``key``: pairs across components within each key. A key's rows may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            key = rest.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1], side="left")) if len(key) else 0
+            yield from done(rest.slice(0, last))
+            rest = rest.slice(last)
+        if rest is not None:
+            yield from done(rest)
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        key, ids, comp, sizes = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, buckets)
+        cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            one, two = _across(ids[a:b], comp[a:b], sizes[a:b], regs[a:b], least, percent)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
+
+    return run
+
+
 def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,21 +178,22 @@ def near_duplicate_classes(
     percent: int = 75,
     buckets: int = BUCKETS,
     band_rows: int = BAND_ROWS,
-    pair_limit: int = 64,
+    group_limit: int = 1024,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
     Two documents are linked if ``100 * |A and B| >= percent * |A or B|`` for their sets of distinct ``shingle``-word
     shingles (words as in textkit, A-Z lower-cased; fewer words: the whole sequence is one shingle). ``component_id`` is
     the smallest id reachable over links; ``kept`` marks that document. With the defaults a pair at the threshold shares
-    no band with probability 6e-6; the estimate drops pairs six standard deviations below it; links are always
+    no band with probability 6e-6; the estimate drops pairs 4.5 standard deviations below it (3e-6); links are always
     confirmed on whole sets.
 
     How groups of any size stay cheap: documents with equal sets collapse to one representative by set fingerprint.
     In every band bucket each member is first compared with the bucket's smallest id only (a star, linear in
-    the members) and components are formed. Then only members of *different* components in one bucket are compared, all
-    of them if the bucket has up to ``pair_limit`` members; larger buckets are split by pairs, triples, ... of bands
-    until they are that small. Nothing is capped or dropped.
+    the members) and components are formed. What is left to compare are members of *different* components in one
+    bucket. Buckets of up to ``group_limit`` members are compared in one task by their registers, members of the
+    bucket's largest component only with others; larger buckets are split by pairs, triples, ... of bands until they
+    are that small. Nothing is capped or dropped.
 
     Null and empty texts and texts of white space have no shingles, 0 as n_shingles, and form components of their own.
     A null id gives a null component and ``kept`` true. Repeated ids: each row is handled by its own text, and links
@@ -160,21 +208,21 @@ def near_duplicate_classes(
     some = sig.where("n > 0 and id is not null")
     classes = scratch.keep(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = scratch.keep(some.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).where("id = rep").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "regs", "bands"), "representatives")
-    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / buckets) ** 0.5
+    least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / buckets) ** 0.5
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        regs = reps.select("id", "n", "regs")
-        a, b = regs.toDF("a", "na", "ra"), regs.toDF("b", "nb", "rb")
-        sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        likely = scratch.keep(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(buckets, least), "a long, b long"), f"{name}-likely")
+    def confirmed(likely: DataFrame, name: str) -> DataFrame:
         ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
         full = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
         return scratch.keep(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), f"{name}-links")
 
+    regs = reps.select("id", "n", "regs")
     bands = reps.select("id", F.explode("bands").alias("key"))
     crowded = scratch.keep(bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = scratch.keep(bands.join(crowded, "key").select("key", "id", "center", "size"), "members")
-    links = confirmed(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(regs.toDF("a", "na", "ra"), "a").join(regs.toDF("b", "nb", "rb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    star = scratch.keep(star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(buckets, least), "a long, b long"), "star-likely")
+    links = confirmed(star, "star")
     labels = connected_components(links, scratch)
 
     more: list[DataFrame] = []
@@ -185,11 +233,10 @@ def near_duplicate_classes(
         mixed = scratch.keep(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
         open_ = scratch.keep(named.join(mixed, "key"), "open")
         scratch.drop(named, mixed)
-        few = open_.where(F.col("size") <= pair_limit).select("key", "id", "comp")
-        x, y = few.toDF("key", "a", "ca"), few.toDF("key", "b", "cb")
-        pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        more.append(confirmed(pairs, "cross"))
-        large = open_.where(F.col("size") > pair_limit)
+        few = open_.where(F.col("size") <= group_limit).select("key", "id", "comp").join(regs, "id")
+        pairs = few.select("key", "id", "comp", "n", "regs").repartition("key").sortWithinPartitions("key").mapInArrow(_cross(buckets, least, percent), "a long, b long")
+        more.append(confirmed(scratch.keep(pairs.distinct(), "cross-likely"), "cross"))
+        large = open_.where(F.col("size") > group_limit)
         if large.isEmpty():
             break
         own = reps.select("id", "bands")
