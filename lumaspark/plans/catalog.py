@@ -1,19 +1,479 @@
-"""The registered queries of the image engine."""
+"""The registered queries of the image engine and the same results as DuckDB SQL.
+
+Each query feeds one operator with a relation of plans.shapes, over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumaspark.functions import checksums, limits, tables
+from lumaspark.operators import blocks, items, pixels
+
+from . import fixtures_plans, shapes
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+PX = """select vec_id as image_id, ((i - 1) % 8)::bigint as x, ((i - 1) // 8)::bigint as y,
+  least(255, greatest(0, floor((embedding[i] + 0.5::float) * 255)))::bigint as v
+  from (select vec_id, embedding, unnest(range(1, 65)) as i from embeddings)"""
+RGBA = f"select image_id, x, y, v as r, 255 - v as g, (2 * v) % 256 as b, image_id % 256 as a from ({PX})"
+LINES = """select l_orderkey as file_id, l_linenumber::bigint as item_id, l_quantity::bigint as length, l_partkey, l_suppkey, l_returnflag,
+  row_number() over w as ord, (sum(l_quantity::bigint) over w)::bigint - l_quantity::bigint as "offset"
+  from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows unbounded preceding)"""
+PROPS = """select p_partkey as prop_idx, case p_size % 3 when 0 then 'ispe' when 1 then 'irot' else 'auxC' end as kind, p_size::bigint as size,
+  case when p_size % 3 = 2 then concat('urn:', case when p_size % 2 = 0 then 'Alpha' else 'depth' end, ':', p_brand) end as aux_type
+  from part where p_partkey between 1 and 100"""
+ASSOC = f"select file_id, item_id, ord as assoc_ord, l_partkey % 130 as prop_idx from ({LINES})"
+EDGES = f"""select file_id, ord as ref_ord, case l_returnflag when 'A' then 'auxl' when 'N' then 'dimg' else 'cdsc' end as ref_type,
+  l_partkey % 7 as from_item_id, 0::bigint as to_ord, l_suppkey % 7 as to_item_id from ({LINES})"""
+JOINED = f"select a.file_id, a.item_id, a.assoc_ord, a.prop_idx, p.kind, p.size, p.aux_type from ({ASSOC}) a join ({PROPS}) p using (prop_idx) where prop_idx > 0"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- pixels ---
+
+
+@query(PX)
+def px_blocks(spark, sf_dir):
+    return shapes.blocks(spark, sf_dir)
+
+
+_PLACES = {1: ("x", "y"), 2: ("7 - x", "y"), 3: ("7 - x", "7 - y"), 4: ("x", "7 - y"), 5: ("y", "x"), 6: ("7 - y", "x"), 7: ("7 - y", "7 - x"), 8: ("y", "7 - x")}
+
+
+def _orient(tag: int) -> None:
+    def run(spark, sf_dir):
+        return pixels.orient(shapes.blocks(spark, sf_dir), tag, 8, 8)
+
+    run.__name__ = f"orient_{tag}"
+    query(f"select image_id, {_PLACES[tag][0]} as x, {_PLACES[tag][1]} as y, v from ({PX})")(run)
+
+
+for _tag in tables.ORIENTATIONS:
+    _orient(_tag)
+
+
+@query(f"select image_id, x, y, (r * a + 255 * (255 - a) + 127) // 255 as r, (g * a + 128 * (255 - a) + 127) // 255 as g, (b * a + 127) // 255 as b from ({RGBA})")
+def flatten_alpha(spark, sf_dir):
+    return pixels.flatten_alpha(shapes.rgba(spark, sf_dir), (255, 128, 0))
+
+
+@query(f"select c.image_id, c.x, c.y, c.r, c.g, c.b, m.v as a from ({RGBA}) c join ({PX}) m on m.image_id = c.image_id + 1 and m.x = c.x and m.y = c.y")
+def merge_alpha(spark, sf_dir):
+    mask = shapes.blocks(spark, sf_dir).withColumn("image_id", F.col("image_id") - 1)
+    return pixels.merge_alpha(shapes.rgba(spark, sf_dir), mask).select("image_id", "x", "y", "r", "g", "b", "a")
+
+
+@query(f"select image_id, x, y, b as c0, g as c1, r as c2, 255::bigint as c3 from ({RGBA})")
+def convert_format(spark, sf_dir):
+    rows = shapes.rgba(spark, sf_dir).select("image_id", "x", "y", F.col("r").alias("c0"), F.col("g").alias("c1"), F.col("b").alias("c2"))
+    return pixels.convert_format(rows, "rgb8", "bgra8")
+
+
+GRID = f"select image_id // 4 as image_id, x + (image_id % 4 % 2) * 8 as x, y + (image_id % 4 // 2) * 8 as y, v from ({PX})"
+
+
+@query(f"select image_id, x, y, v from ({GRID}) where x < 15 and y < 13")
+def grid_2x2_crop(spark, sf_dir):
+    tiles = shapes.blocks(spark, sf_dir).withColumns({"tile": F.col("image_id") % 4, "image_id": F.floor(F.col("image_id") / 4)})
+    return pixels.assemble_grid(tiles, "tile", 2, 8, 8, 15, 13)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Grids of four tiles, cropped, turned by a quarter and flattened on white."""
+    tiles = shapes.rgba(spark, sf_dir).withColumns({"tile": F.col("image_id") % 4, "image_id": F.floor(F.col("image_id") / 4)})
+    grid = pixels.assemble_grid(tiles, "tile", 2, 8, 8, 15, 13)
+    return pixels.flatten_alpha(pixels.orient(grid, 6, 15, 13))
+
+
+@query(f"""select image_id, 12 - y as x, x as y, (r * a + 255 * (255 - a) + 127) // 255 as r, (g * a + 255 * (255 - a) + 127) // 255 as g,
+  (b * a + 255 * (255 - a) + 127) // 255 as b
+  from (select image_id // 4 as image_id, x + (image_id % 4 % 2) * 8 as x, y + (image_id % 4 // 2) * 8 as y, r, g, b, a from ({RGBA})) where x < 15 and y < 13""")
+def grid_orient_flatten(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(f"select c.image_id, c.x, c.y, coalesce(p.v, c.v) as v from ({PX}) c left join (select image_id, x + 5 as x, y - 2 as y, 255 - v as v from ({PX})) p using (image_id, x, y)")
+def blit_patch(spark, sf_dir):
+    base = shapes.blocks(spark, sf_dir)
+    return pixels.blit(base, base.withColumn("v", 255 - F.col("v")), 5, -2, 8, 8)
+
+
+@query(f"select image_id, x, y, case when x = 3 and y = 4 then 7 else v end as v from ({PX})")
+def set_one_pixel(spark, sf_dir):
+    return pixels.set_pixel(shapes.blocks(spark, sf_dir), 3, 4, v=7)
+
+
+@query(f"select image_id, x, y, v from ({PX}) where x = 3 and y = 4")
+def get_one_pixel(spark, sf_dir):
+    return pixels.get_pixel(shapes.blocks(spark, sf_dir), 3, 4)
+
+
+@query("""select vec_id as image_id, y::bigint as y, x::bigint as x, 9::bigint as v from (select vec_id, unnest(range(0, vec_id % 5 + 1)) as y from embeddings), range(0, 3) t(x)""")
+def blank_canvas(spark, sf_dir):
+    images = shapes.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"))
+    return pixels.canvas(images, F.lit(3), F.col("image_id") % 5 + 1, v=9).select("image_id", "y", "x", "v")
+
+
+@query(f"""select image_id, x, y, least(255, greatest(0, (1024 * v + 1436 * (cr - 128) + 512) >> 10)) as r,
+  least(255, greatest(0, (1024 * v - 352 * (cb - 128) - 731 * (cr - 128) + 512) >> 10)) as g, least(255, greatest(0, (1024 * v + 1814 * (cb - 128) + 512) >> 10)) as b
+  from (select l.image_id, l.x, l.y, l.v, c.v as cb, 255 - c.v as cr from ({PX}) l join ({PX}) c on c.image_id = l.image_id and c.x = l.x >> 1 and c.y = l.y >> 1)""")
+def ycbcr_to_rgb(spark, sf_dir):
+    luma = shapes.blocks(spark, sf_dir)
+    chroma = luma.where("x < 4 and y < 4")
+    return pixels.upsampled_rgb(luma, chroma, chroma.withColumn("v", 255 - F.col("v")))
+
+
+@query(f"""select image_id, x, y, round(1e6 * (0.299::double * r + 0.587::double * g + 0.114::double * b - 128))::bigint as luma,
+  round(1e6 * (-0.168736::double * r - 0.331264::double * g + 0.5::double * b))::bigint as cb, round(1e6 * (0.5::double * r - 0.418688::double * g - 0.081312::double * b))::bigint as cr from ({RGBA})""")
+def rgb_to_ycbcr(spark, sf_dir):
+    planes = pixels.rgb_to_ycbcr(F.col("r"), F.col("g"), F.col("b"))
+    return shapes.rgba(spark, sf_dir).select("image_id", "x", "y", *[F.round(1e6 * c).cast("long").alias(n) for n, c in planes.items()])
+
+
+# --- blocks ---
+
+COEF = f"select image_id as block_id, x, y, v - 128 as v from ({PX})"
+
+
+def _values(rows) -> str:
+    return "(values " + ", ".join(f"({k}, {n}, {c})" for k, row in enumerate(rows) for n, c in enumerate(row)) + ") m(k, n, c)"
+
+
+def _transform_sql(rows, size: int) -> str:
+    first = f"select block_id, y, n as x, (sum(v * c)::bigint + 64) >> 7 as v from ({COEF}) join {_values(rows)} on k = x where x < {size} and y < {size} group by block_id, y, n"
+    return f"select block_id, x::bigint as x, n::bigint as y, (sum(v * c)::bigint + 2048) >> 12 as v from ({first}) join {_values(rows)} on k = y group by block_id, x, n"
+
+
+@query(f"select block_id, x, y, ((v * 57) + 16) >> 5 as v from ({COEF})")
+def dequant(spark, sf_dir):
+    return shapes.coefficients(spark, sf_dir).withColumn("v", blocks.dequantize(F.col("v"), 8, 21))
+
+
+@query(f"select block_id, x, y, ((v * 51 * 16) + 1) >> 1 as v from ({COEF})")
+def dequant_skip(spark, sf_dir):
+    return shapes.coefficients(spark, sf_dir).withColumn("v", blocks.dequantize(F.col("v"), 8, 68, transform_skip=True))
+
+
+@query(_transform_sql(tables.dct_matrix(8), 8))
+def idct8(spark, sf_dir):
+    return blocks.inverse_dct(shapes.coefficients(spark, sf_dir), 8)
+
+
+@query(_transform_sql(tables.dct_matrix(4), 4))
+def idct4(spark, sf_dir):
+    return blocks.inverse_dct(shapes.coefficients(spark, sf_dir, 4), 4)
+
+
+@query(_transform_sql(tables.DST4, 4))
+def dst4(spark, sf_dir):
+    return blocks.inverse_transform(shapes.coefficients(spark, sf_dir, 4), tables.DST4)
+
+
+REFS = f"""select image_id, list_concat([list_extract(t, 1)], t) as top, list_concat([list_extract(t, 1)], l) as "left" from (
+  select image_id, list(v order by x) filter (where y = 0) as t, list(v order by y) filter (where x = 0) as l from ({PX}) group by image_id)"""
+CELLS = f"""select image_id, top, "left", x, y from ({REFS}), (select a.r::bigint as x, b.r::bigint as y from range(0, 4) a(r), range(0, 4) b(r))"""
+
+
+def _cells(spark, sf_dir):
+    grid = F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))
+    return shapes.references(spark, sf_dir).withColumn("x", F.explode(grid)).withColumn("y", F.explode(grid))
+
+
+@query(f"""select image_id, x, y, ((3 - x) * "left"[y + 2] + (x + 1) * top[6] + (3 - y) * top[x + 2] + (y + 1) * "left"[6] + 4) >> 3 as v from ({CELLS})""")
+def predict_planar(spark, sf_dir):
+    return _cells(spark, sf_dir).select("image_id", "x", "y", blocks.planar(F.col("top"), F.col("left"), F.col("x"), F.col("y"), 4).alias("v"))
+
+
+@query(f"""select image_id, x, y, case when x = 0 and y = 0 then ("left"[2] + 2 * m + top[2] + 2) >> 2 when y = 0 then (top[x + 2] + 3 * m + 2) >> 2
+  when x = 0 then ("left"[y + 2] + 3 * m + 2) >> 2 else m end as v
+  from (select *, ((list_sum(top[2:5]) + list_sum("left"[2:5]))::bigint + 4) >> 3 as m from ({CELLS}))""")
+def predict_dc(spark, sf_dir):
+    return _cells(spark, sf_dir).select("image_id", "x", "y", blocks.dc(F.col("top"), F.col("left"), F.col("x"), F.col("y"), 4).alias("v"))
+
+
+def _angular_sql(mode: int) -> str:
+    angle = tables.ANGLES[mode - 2]
+    main, side, along, across = ("top", '"left"', "x", "y") if mode >= 18 else ('"left"', "top", "y", "x")
+
+    def sample(at: str) -> str:
+        if angle >= 0:
+            return f"{main}[{at} + 1]"
+        inverse = tables.INVERSE_ANGLES[mode - 11]
+        return f"case when {at} >= 0 then {main}[greatest({at}, 0) + 1] else {side}[greatest(0, least(8, ({at} * {inverse} + 128) >> 8)) + 1] end"
+
+    value = f"case when part = 0 then {sample('at')} else ((32 - part) * ({sample('at')}) + part * ({sample('(at + 1)')}) + 16) >> 5 end"
+    if angle == 0:
+        value = f"case when {along} = 0 then greatest(0, least(65535, {main}[{along} + 2] + (({side}[{across} + 2] - {main}[1]) >> 1))) else {value} end"
+    return f"""select image_id, x, y, {value} as v from (
+      select *, {along} + 1 + ((({across} + 1) * {angle}) >> 5) as at, (({across} + 1) * {angle}) & 31 as part from ({CELLS}))"""
+
+
+def _angular(mode: int) -> None:
+    def run(spark, sf_dir):
+        cells = _cells(spark, sf_dir)
+        return cells.select("image_id", "x", "y", blocks.angular(F.col("top"), F.col("left"), F.col("x"), F.col("y"), 4, mode).cast("long").alias("v"))
+
+    run.__name__ = f"predict_angular_{mode}"
+    query(_angular_sql(mode))(run)
+
+
+for _mode in (2, 7, 10, 14, 18, 23, 26, 29, 34):
+    _angular(_mode)
+
+
+@query(f"""select image_id, y, x, v, coalesce((lag(v) over w + 2 * v + lead(v) over w + 2) >> 2, v) as smooth from ({PX}) window w as (partition by image_id, y order by x)""")
+def smooth_refs(spark, sf_dir):
+    return blocks.smooth_references(shapes.blocks(spark, sf_dir), ["image_id", "y"], "x").select("image_id", "y", "x", "v", "smooth")
+
+
+_EDGE = f"""select p.image_id, p.y, max(case when p.x = 7 then p.v end) as p0, max(case when p.x = 6 then p.v end) as p1, max(case when p.x = 5 then p.v end) as p2,
+  max(case when q.x = 0 then q.v end) as q0, max(case when q.x = 1 then q.v end) as q1, max(case when q.x = 2 then q.v end) as q2
+  from ({PX}) p join ({PX}) q on q.image_id = p.image_id + 1 and q.y = p.y and q.x = 7 - p.x where p.x >= 5 group by p.image_id, p.y"""
+
+
+@query(f"""select image_id, y, case when on_ and dp < side then least(255, greatest(0, p1 + greatest(-half, least(half, (((p2 + p0 + 1) >> 1) - p1 + delta) >> 1)))) else p1 end as p1,
+  case when on_ then least(255, greatest(0, p0 + delta)) else p0 end as p0, case when on_ then least(255, greatest(0, q0 - delta)) else q0 end as q0,
+  case when on_ and dq < side then least(255, greatest(0, q1 + greatest(-half, least(half, (((q2 + q0 + 1) >> 1) - q1 - delta) >> 1)))) else q1 end as q1
+  from (select *, {tables.TC[47] >> 1} as half, ({tables.BETA[45]} + ({tables.BETA[45]} >> 1)) >> 3 as side, abs(p2 - 2 * p1 + p0) as dp, abs(q2 - 2 * q1 + q0) as dq,
+    abs(p2 - 2 * p1 + p0) + abs(q2 - 2 * q1 + q0) < {tables.BETA[45]} as on_, greatest(-{tables.TC[47]}, least({tables.TC[47]}, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4)) as delta from ({_EDGE}))""")
+def deblock_v8(spark, sf_dir):
+    px = shapes.blocks(spark, sf_dir)
+    left = px.where("x >= 5").groupBy("image_id", "y").agg(*[F.max(F.when(F.col("x") == 7 - i, F.col("v"))).alias(f"p{i}") for i in range(3)])
+    right = px.where("x <= 2").groupBy((F.col("image_id") - 1).alias("image_id"), "y").agg(*[F.max(F.when(F.col("x") == i, F.col("v"))).alias(f"q{i}") for i in range(3)])
+    new = blocks.deblock_edge([F.col(f"p{i}") for i in range(3)], [F.col(f"q{i}") for i in range(3)], 45)
+    return left.join(right, ["image_id", "y"]).select("image_id", "y", *[c.alias(n) for n, c in new.items()])
+
+
+@query(f"""select image_id, x, y, case v >> 3 when 14 then least(255, v + 2) when 15 then least(255, v + 4) when 16 then least(255, v + 6) when 17 then least(255, v + 8) else v end as v from ({PX})""")
+def sao_band(spark, sf_dir):
+    return shapes.blocks(spark, sf_dir).withColumn("v", blocks.sao_band(F.col("v"), 14, (2, 4, 6, 8)))
+
+
+@query(f"""with recursive r as (select image_id, y, list(v order by x) as l from ({PX}) group by image_id, y),
+  f(image_id, y, l, i, out_) as (select image_id, y, l, 2, [l[1]] from r
+    union all select image_id, y, l, i + 1, list_append(out_, greatest(0, least(255, l[i] + case sign(l[i] - out_[i - 1]) + sign(l[i] - l[i + 1]) when -2 then 1 when -1 then 1 when 1 then -1 when 2 then -1 else 0 end))) from f where i <= 7)
+  select image_id, y, array_to_string(list_append(out_, l[8]), ',') as row_ from f where i = 8""")
+def sao_edge_row(spark, sf_dir):
+    rows = shapes.blocks(spark, sf_dir).groupBy("image_id", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("row"))
+    return rows.select("image_id", "y", F.array_join(blocks.sao_edge_row(F.col("row"), (1, 1, 1, 1)).cast("array<string>"), ",").alias("row_"))
+
+
+def _entries(base) -> str:
+    return "(values " + ", ".join(f"({i}, {v})" for i, v in enumerate(base)) + ")"
+
+
+@query(f"""select q::bigint as quality, l.i::bigint as place, least(255, greatest(1, (l.v * s + 50) // 100))::bigint as luma, least(255, greatest(1, (c.v * s + 50) // 100))::bigint as chroma
+  from (select q, case when q < 50 then 5000 // q else 200 - 2 * q end as s from range(1, 101) t(q)), {_entries(tables.JPEG_LUMA)} l(i, v) join {_entries(tables.JPEG_CHROMA)} c(i, v) on l.i = c.i""")
+def quant_tables(spark, sf_dir):
+    return blocks.quant_tables(spark)
+
+
+_ZIGZAG = "(values " + ", ".join(f"({i}, {p % 8}, {p // 8})" for i, p in enumerate(tables.zigzag())) + ") z(i, x, y)"
+_ZZ = f"select block_id, z.i::bigint as i, case when v < 0 then -(-v // 24) else v // 24 end as v from ({COEF}) c join {_ZIGZAG} on z.x = c.x and z.y = c.y"
+
+
+def _zigzagged(spark, sf_dir):
+    order = F.create_map(*[F.lit(n).cast("long") for i, p in sorted(enumerate(tables.zigzag()), key=lambda t: t[1]) for n in (p, i)])
+    level = F.signum(F.col("v")) * F.floor(F.abs("v") / 24)
+    return shapes.coefficients(spark, sf_dir).select("block_id", order[F.col("y") * 8 + F.col("x")].alias("i"), level.cast("long").alias("v"))
+
+
+@query(f"""select block_id, i, v, zeros % 16 as run, zeros // 16 as skips, length(bin(abs(v)))::bigint as bits
+  from (select *, i - coalesce(lag(i) over (partition by block_id order by i), 0) - 1 as zeros from ({_ZZ}) where i > 0 and v <> 0)""")
+def zigzag_rle(spark, sf_dir):
+    return blocks.run_lengths(_zigzagged(spark, sf_dir))
+
+
+@query(f"select component, block_id, v, v - coalesce(lag(v) over (partition by component order by block_id), 0) as diff from (select block_id % 64 as component, block_id, v from ({_ZZ}) where i = 0)")
+def dc_diff(spark, sf_dir):
+    first = _zigzagged(spark, sf_dir).where("i = 0").select((F.col("block_id") % 64).alias("component"), "block_id", "v")
+    return blocks.dc_differences(first, "component", "block_id")
+
+
+@query(f"""select block_id, x, y, v, case when v = 0 then 0 else length(bin(abs(v))) end::bigint as bits,
+  case when v < 0 then v + (1::bigint << length(bin(abs(v)))) - 1 else v end::bigint as code from ({COEF})""")
+def coefficient_codes(spark, sf_dir):
+    return shapes.coefficients(spark, sf_dir).select("block_id", "x", "y", "v", blocks.category(F.col("v")).alias("bits"), blocks.code_bits(F.col("v")).alias("code"))
+
+
+# --- checksums and framing ---
+
+
+@query("""select doc_id, ((n + coalesce(w, 0)) % 65521 * 65536 + (1 + coalesce(s, 0)) % 65521)::bigint as adler32 from (
+  select doc_id, octet_length(encode(text)) as n, sum(b)::bigint as s, sum(b * (m - i))::bigint as w from (
+    select doc_id, text, m, i, (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 as b
+    from (select doc_id, text, octet_length(encode(text)) as m, hex(encode(text)) as h, unnest(range(0, octet_length(encode(text)))) as i from documents)) group by doc_id, text)
+  union all select doc_id, 1 from documents where octet_length(encode(text)) = 0""")
+def adler32_docs(spark, sf_dir):
+    return checksums.adler32_rows(shapes.table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+
+
+@query("""select doc_id, i::bigint as block, least(65535, n - i * 65535)::bigint as length
+  from (select doc_id, 37 * octet_length(encode(text)) as n, unnest(range(0, greatest(1, (37 * octet_length(encode(text)) + 65534) // 65535))) as i from documents where text is not null)""")
+def stored_blocks(spark, sf_dir):
+    docs = shapes.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", (37 * F.octet_length("text")).cast("long").alias("n"))
+    return docs.select("doc_id", F.posexplode(checksums.stored_blocks(F.col("n"))).alias("block", "length")).withColumn("block", F.col("block").cast("long"))
+
+
+@query()
+def crc32_chunks(spark, sf_dir):
+    docs = shapes.table(spark, sf_dir, "documents").where("text is not null")
+    body = F.encode(F.col("text"), "UTF-8")
+    return docs.select("doc_id", F.crc32(body).alias("crc32"), F.sha2(checksums.png_chunk("tEXt", body), 256).alias("chunk_sha256"), F.sha2(checksums.riff_webp(body), 256).alias("riff_sha256"))
+
+
+# --- containers ---
+
+
+@query("""select o_orderkey as file_id, major, array_to_string(compat, ',') as compatible, (major in ('heic','heix','hevc','hevx','mif1','msf1','heis','avic')
+    or list_has_any(compat, ['heic','heix','hevc','hevx','mif1','msf1','heis','avic'])) as accepted
+  from (select o_orderkey, ['heic','mp42','avif','isom','mif1'][o_orderkey % 5 + 1] as major, [['miaf','heix'],['isom','mp41'],['msf1'],['jpeg']][o_orderkey % 4 + 1] as compat from orders)""")
+def brand_filter(spark, sf_dir):
+    pick = lambda values, n: F.element_at(F.array(*values), (F.col("o_orderkey") % n + 1).cast("int"))
+    major = pick([F.lit(v) for v in ("heic", "mp42", "avif", "isom", "mif1")], 5)
+    compat = pick([F.array(*map(F.lit, v)) for v in (("miaf", "heix"), ("isom", "mp41"), ("msf1",), ("jpeg",))], 4)
+    rows = shapes.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), major.alias("major"), compat.alias("compat"))
+    return rows.select("file_id", "major", F.array_join("compat", ",").alias("compatible"), items.brand_accepted(F.col("major"), F.col("compat")).alias("accepted"))
+
+
+@query(f'select file_id, item_id, ord as extent_ord, length, "offset" from ({LINES})')
+def extent_layout(spark, sf_dir):
+    return shapes.extents(spark, sf_dir)
+
+
+@query(f"""select file_id, item_id, ord as extent_ord, length, "offset", file_length, 'MALFORMED_INPUT' as code
+  from ({LINES}) join (select o_orderkey as file_id, floor(o_totalprice / 2500)::bigint as file_length from orders) using (file_id) where "offset" + length > file_length""")
+def extent_bounds(spark, sf_dir):
+    files = shapes.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.floor(F.col("o_totalprice") / 2500).alias("length"))
+    return items.outside_file(shapes.extents(spark, sf_dir), files)
+
+
+@query(f"select file_id, item_id, sum(length)::bigint as total_length, count(*) as extent_count from ({LINES}) group by file_id, item_id")
+def item_lengths(spark, sf_dir):
+    return items.item_lengths(shapes.extents(spark, sf_dir))
+
+
+@query(f"""select file_id, item_id, string_agg("offset" || '+' || length, ',' order by ord) as data from ({LINES}) group by file_id, item_id""")
+def item_data(spark, sf_dir):
+    piece = F.concat(F.col("offset").cast("string"), F.lit("+"), F.col("length").cast("string"))
+    return items.joined_extents(shapes.extents(spark, sf_dir), piece, ",")
+
+
+def _joined(spark, sf_dir):
+    files = shapes.associations(spark, sf_dir)
+    return files.where("prop_idx > 0").join(shapes.properties(spark, sf_dir), "prop_idx")
+
+
+@query(f"select file_id, item_id, assoc_ord, prop_idx, kind, size from ({JOINED})")
+def prop_join(spark, sf_dir):
+    return _joined(spark, sf_dir).select("file_id", "item_id", "assoc_ord", "prop_idx", "kind", "size")
+
+
+@query(f"""select i.file_id, i.item_id, coalesce(s.size, 0) as size, coalesce(r.turns, -1) as turns
+  from (select distinct file_id, item_id from ({ASSOC})) i left join (select file_id, item_id, arg_min(size, assoc_ord) as size from ({JOINED}) where kind = 'ispe' group by all) s using (file_id, item_id)
+  left join (select file_id, item_id, arg_min(size % 4, assoc_ord) as turns from ({JOINED}) where kind = 'irot' group by all) r using (file_id, item_id)""")
+def first_prop(spark, sf_dir):
+    joined = _joined(spark, sf_dir).withColumn("turns", F.col("size") % 4)
+    own = shapes.associations(spark, sf_dir).select("file_id", "item_id").distinct()
+    sized = items.with_property(own, items.first_property(joined, "ispe", "size", "size"), "size", F.lit(0).cast("long"))
+    return items.with_property(sized, items.first_property(joined, "irot", "turns", "turns"), "turns", F.lit(-1).cast("long"))
+
+
+@query(f"""select file_id, item_id from (select distinct file_id, item_id from ({ASSOC})) i
+  where exists (select 1 from ({JOINED}) j where j.file_id = i.file_id and j.item_id = i.item_id and kind = 'auxC' and lower(aux_type) like '%alpha%')""")
+def alpha_semi(spark, sf_dir):
+    return items.alpha_items(shapes.associations(spark, sf_dir).select("file_id", "item_id").distinct(), _joined(spark, sf_dir))
+
+
+@query(f"""select e.file_id, e.from_item_id, e.to_ord, e.to_item_id from ({EDGES}) e
+  join (select file_id, from_item_id, min(ref_ord) as ref_ord from ({EDGES}) where ref_type = 'dimg' group by all) f using (file_id, from_item_id, ref_ord)""")
+def first_edge(spark, sf_dir):
+    return items.first_edge_targets(shapes.edges(spark, sf_dir), "dimg")
+
+
+@query(f"""select file_id, arg_min(from_item_id, ref_ord) as alpha_item_id from ({EDGES}) where ref_type = 'auxl' and to_item_id = file_id % 7 group by file_id""")
+def auxiliary_item(spark, sf_dir):
+    targets = shapes.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_orderkey") % 7).alias("item_id"))
+    return items.first_source(shapes.edges(spark, sf_dir), targets, "auxl", "alpha_item_id")
+
+
+_ITEMS = f"select distinct file_id, item_id, ['hvc1','grid','Exif','mime'][(file_id + item_id) % 4 + 1] as item_type from ({LINES})"
+
+
+def _items(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("hvc1", "grid", "Exif", "mime")))
+    rows = shapes.extents(spark, sf_dir).select("file_id", "item_id").distinct()
+    return rows.withColumn("item_type", F.element_at(kinds, ((F.col("file_id") + F.col("item_id")) % 4 + 1).cast("int")))
+
+
+@query(f"""select o_orderkey as file_id, coalesce(case when o_orderkey % 3 = 0 then o_orderkey % 5 end, min(item_id) filter (where item_type in ('hvc1', 'grid')), min(item_id)) as item_id
+  from orders left join ({_ITEMS}) on file_id = o_orderkey group by o_orderkey""")
+def primary_item(spark, sf_dir):
+    declared = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 5)
+    files = shapes.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), declared.alias("declared_primary"))
+    return items.primary_items(files, _items(spark, sf_dir))
+
+
+@query(f"""select file_id, p as primary_item_id, count(*) as item_count, max(case when item_id = p then item_id * 100 end) as width, max(case when item_id = p then item_id * 50 end) as height,
+  max(case when item_id = p then case item_id when 1 then 'srgb' when 12 then 'display-p3' when 9 then 'rec2020' else 'srgb' end end) as color_space,
+  max(case when item_id = p then [1, 8, 3, 6][item_id % 4 + 1] end)::int as orientation, coalesce(bool_or(item_id = p and item_type = 'grid'), false) as is_grid,
+  coalesce(bool_or(item_type = 'mime' and item_id <> p), false) as has_alpha
+  from ({_ITEMS}) join (select file_id, min(item_id) as p from ({_ITEMS}) group by file_id) using (file_id) group by file_id, p""")
+def metadata_rollup(spark, sf_dir):
+    rows = _items(spark, sf_dir)
+    of = F.col("item_id")
+    rows = rows.withColumns({"width": of * 100, "height": of * 50, "color_space": items.color_space(of), "orientation": items.orientation_of(of % 4), "is_alpha": F.col("item_type") == "mime"})
+    primary = rows.groupBy("file_id").agg(F.min("item_id").alias("item_id"))
+    return items.metadata_rollup(rows, primary)
+
+
+_CAPS = limits.Limits(max_width=4000, max_height=3000, max_pixel_count=6_000_000, max_memory_bytes=10_000_000)
+
+
+@query("""select p_partkey, w, h, case when w > 4000 or h > 3000 then 'LIMIT_DIMENSIONS' when w * h > 6000000 then 'LIMIT_PIXELS' end as size_code,
+  w * h * 4 as bytes, case when w * h * 4 > 10000000 then 'LIMIT_MEMORY' end as memory_code
+  from (select p_partkey, p_size::bigint * 100 as w, p_partkey * 37 % 3500 as h from part)""")
+def limit_codes(spark, sf_dir):
+    rows = shapes.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("long") * 100).alias("w"), (F.col("p_partkey") * 37 % 3500).alias("h"))
+    rows = rows.withColumns({"size_code": limits.dimension_code(F.col("w"), F.col("h"), _CAPS), "bytes": limits.memory_bytes(F.col("w"), F.col("h"), F.lit(4))})
+    return rows.withColumn("memory_code", limits.memory_code(F.col("bytes"), _CAPS))
+
+
+@query(f"""select file_id, count(*) as n_items, case when count(*) > 5 then 'LIMIT_EXCEEDED' end as item_code from ({_ITEMS}) group by file_id""")
+def item_limits(spark, sf_dir):
+    counted = _items(spark, sf_dir).groupBy("file_id").agg(F.count("*").alias("n_items"))
+    return counted.withColumn("item_code", limits.item_count_code(F.col("n_items"), limits.Limits(max_item_count=5)))
+
+
+@query("select * from (values " + ", ".join(f"('{n}', {c}, {d}, {b}, {c * b}, {str(a).lower()})" for n, c, d, b, a in tables.PIXEL_FORMATS) + ") t(format, channels, bit_depth, bytes_per_channel, bytes_per_pixel, has_alpha)")
+def pixel_formats(spark, sf_dir):
+    return tables.pixel_formats(spark)
+
+
+@query("select * from (values " + ", ".join(f"('{n}', '{m}', '{e}', {str(a).lower()})" for n, m, e, a in tables.OUTPUT_FORMATS) + ") t(format, mime, extension, supports_alpha)")
+def output_formats(spark, sf_dir):
+    return tables.output_formats(spark)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return _QUERIES | fixtures_plans.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
