@@ -151,18 +151,23 @@ def _step(model: Classifier, batch: list, labels: np.ndarray, sums: dict[str, np
     error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30)))) - labels) / len(labels)
     back = error[:, None] * model.out * active
     grads = {"out": (hidden * active).T @ error + decay * model.out, "bias": back.sum(axis=0)}
-    word_grad = np.zeros_like(words)
+    met, word_grads = [], []
     for k, (weights, at) in enumerate(zip(model.filters, where, strict=True)):
-        own = back[:, k * FILTERS : (k + 1) * FILTERS]
+        own = back[:, k * FILTERS : (k + 1) * FILTERS].astype(np.float32)
         grad = np.zeros_like(weights)
         for j in range(len(weights)):
             here = places[np.minimum(at + j, len(places) - 1)]
             grad[j] = np.einsum("df,dfe->ef", own, words[here]) + decay * weights[j]
-            np.add.at(word_grad, here, own[:, :, None] * weights[j].T[None])
+            met.append(here.reshape(-1))
+            word_grads.append((own[:, :, None] * weights[j].T[None]).reshape(-1, SIZE))
         grads[f"filter{k}"] = grad
-    touched, index = np.unique(slots, return_inverse=True)
-    table_grad = np.zeros((len(touched), SIZE), dtype=np.float32)
-    np.add.at(table_grad, index.reshape(slots.shape), word_grad[:-1][:, None, :])
+    met, word_grads = np.concatenate(met), np.concatenate(word_grads)
+    real = met < len(slots)
+    rows = slots[met[real]]
+    touched, index = np.unique(rows, return_inverse=True)
+    index = index.reshape(-1)
+    spread = np.repeat(word_grads[real], rows.shape[1], axis=0)
+    table_grad = np.stack([np.bincount(index, weights=spread[:, d], minlength=len(touched)) for d in range(SIZE)], axis=1).astype(np.float32)
     model.intercept -= rate * float(error.sum())
     for name, grad in grads.items():
         value = model.filters[int(name[6:])] if name.startswith("filter") else getattr(model, name)
