@@ -189,7 +189,7 @@ def category(value: Column) -> Column:
 def code_bits(value: Column) -> Column:
     """The magnitude's bits; negative values as ones' complement."""
     size = category(value)
-    return F.when(value < 0, value + F.shiftleft(F.lit(1).cast("long"), size.cast("int")) - 1).otherwise(value)
+    return F.when(value < 0, value + F.call_function("shiftleft", F.lit(1).cast("long"), size.cast("int")) - 1).otherwise(value)
 
 
 def dc_differences(blocks: DataFrame, component: str, order: str, value: str = "v") -> DataFrame:

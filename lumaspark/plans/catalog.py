@@ -217,11 +217,11 @@ def _angular_sql(mode: int) -> str:
         inverse = tables.INVERSE_ANGLES[mode - 11]
         return f"case when {at} >= 0 then {main}[greatest({at}, 0) + 1] else {side}[greatest(0, least(8, ({at} * {inverse} + 128) >> 8)) + 1] end"
 
-    value = f"case when part = 0 then {sample('at')} else ((32 - part) * ({sample('at')}) + part * ({sample('(at + 1)')}) + 16) >> 5 end"
+    value = f"case when part = 0 then {sample('place_')} else ((32 - part) * ({sample('place_')}) + part * ({sample('(place_ + 1)')}) + 16) >> 5 end"
     if angle == 0:
         value = f"case when {along} = 0 then greatest(0, least(65535, {main}[{along} + 2] + (({side}[{across} + 2] - {main}[1]) >> 1))) else {value} end"
     return f"""select image_id, x, y, {value} as v from (
-      select *, {along} + 1 + ((({across} + 1) * {angle}) >> 5) as at, (({across} + 1) * {angle}) & 31 as part from ({CELLS}))"""
+      select *, {along} + 1 + ((({across} + 1) * {angle}) >> 5) as place_, (({across} + 1) * {angle}) & 31 as part from ({CELLS}))"""
 
 
 def _angular(mode: int) -> None:

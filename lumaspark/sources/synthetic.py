@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 
@@ -216,7 +217,7 @@ def picture_grid(rows: int, columns: int, tile: int, width: int, height: int, da
 
 def pictures() -> dict[str, bytes]:
     """Decodable files, and some that fail while decoding."""
-    noise = [bytes((37 * i * i + 11 * i + k) % 251 for i in range(400)) for k in range(4)]
+    noise = [b"".join(hashlib.sha256(bytes([k, i])).digest() for i in range(16)) for k in range(4)]
     return {
         "plain": picture(40, 24, noise[0]),
         "turned": picture(40, 24, noise[0], turns=1),

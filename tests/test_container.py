@@ -55,7 +55,9 @@ def test_every_truncation_fails_cleanly():
     for data in (synthetic.fixtures()["alpha"], synthetic.tiled(1, 2, 20, 10)):
         for n in range(len(data)):
             with pytest.raises(ImageError):
-                container.parse(data[:n], Limits())
+                found = container.parse(data[:n], Limits())
+                for item in found.items:
+                    container.item_data(data[:n], found, item)
 
 
 def test_boxes_and_payloads(spark):
