@@ -20,7 +20,10 @@ from .textkit import Words, chunks, distinct_shingles, mix
 
 MANTISSA_BITS = 10
 BUCKETS = 128
+#: Registers of a band: together one 64-bit word.
 BAND_ROWS = 4
+#: Smallest 32-bit hashes kept of a text for the second comparison: whole sets up to this size.
+SMALLEST = 1024
 
 _seed = mix(np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -103,22 +106,63 @@ def _likely(buckets: int, least: float):
     return run
 
 
-def _across(ids: np.ndarray, comp: np.ndarray, sizes: np.ndarray, regs: np.ndarray, least: float, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Likely pairs between different components of one bucket. Members of its largest component meet only others."""
-    names, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-    main = count.argmax()
-    ones, twos = [], []
-    for i in np.flatnonzero(which != main):
-        other = np.flatnonzero((which == main) | ((which > which[i]) & (which != main)))
-        other = other[100 * np.minimum(sizes[i], sizes[other]) >= percent * np.maximum(sizes[i], sizes[other])]
-        other = other[(regs[other] == regs[i]).mean(axis=1) >= least]
-        if len(other):
-            near = estimate(regs[other], regs[i][None], sizes[other], np.full(len(other), sizes[i])) >= least
-            other = other[near]
-            ones.append(np.minimum(ids[i], ids[other]))
-            twos.append(np.maximum(ids[i], ids[other]))
-    empty = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(ones), np.concatenate(twos)) if ones else (empty, empty)
+def _smallest(shingle: int):
+    """The SMALLEST lowest 32-bit hashes of each text's set, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offsets in chunks(batch.column("text")):
+                hashes, first = distinct_shingles(Words(data, offsets), shingle)
+                short = (hashes >> np.uint64(32)).astype(np.uint32)
+                kept = [np.unique(short[a:b])[:SMALLEST].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), pa.array(kept, pa.binary())], names=["id", "low"])
+
+    return run
+
+
+def _close(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two texts can be linked, by their smallest hashes: exact if both sets are whole, else by the share of
+    common ones among the smallest of the union, 4.5 standard deviations below the threshold at least."""
+    both = np.sort(np.concatenate((x, y)))
+    twice = both[1:] == both[:-1]
+    if len(x) < SMALLEST and len(y) < SMALLEST:
+        shared = int(np.count_nonzero(twice))
+        return 100 * shared >= percent * (len(both) - shared)
+    distinct = np.r_[True, ~twice]
+    common = np.r_[twice, False][distinct][:SMALLEST]
+    return bool(common.mean() >= percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / len(common)) ** 0.5)
+
+
+class _Bucket:
+    """Members of one bucket, and the likely pairs between its components."""
+
+    def __init__(self, table: pa.Table, buckets: int):
+        self.ids, self.comp, self.sizes = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+        self.regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, buckets)
+        self.words = self.regs.view(np.uint64)
+        self.low = [np.frombuffer(b, dtype=np.uint32) for b in table.column("low").to_pylist()]
+        self.path = table.column("path")[0].as_py()
+
+    def first_here(self, i: int, other: np.ndarray) -> np.ndarray:
+        """Of ``other`` those whose first bands in common with i are this bucket's; each pair has one such bucket."""
+        same = self.words[other] == self.words[i]
+        last = self.path[-1] + 1
+        return other[(same[:, :last].sum(axis=1) == len(self.path))]
+
+    def pairs(self, least: float, percent: int) -> Iterator[tuple[int, int]]:
+        """Members of the largest component meet only others."""
+        names, which, count = np.unique(self.comp, return_inverse=True, return_counts=True)
+        main = count.argmax()
+        for i in np.flatnonzero(which != main):
+            other = np.flatnonzero((which == main) | (which > which[i]))
+            other = other[100 * np.minimum(self.sizes[i], self.sizes[other]) >= percent * np.maximum(self.sizes[i], self.sizes[other])]
+            other = self.first_here(i, other)
+            other = other[(self.regs[other] == self.regs[i]).mean(axis=1) >= least]
+            if len(other):
+                near = estimate(self.regs[other], self.regs[i][None], self.sizes[other], np.full(len(other), self.sizes[i])) >= least
+                for j in other[near]:
+                    if _close(self.low[i], self.low[j], percent):
+                        yield int(min(self.ids[i], self.ids[j])), int(max(self.ids[i], self.ids[j]))
 
 
 def _cross(buckets: int, least: float, percent: int):
@@ -139,13 +183,12 @@ def _cross(buckets: int, least: float, percent: int):
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        key, ids, comp, sizes = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, buckets)
+        key = table.column("key").to_numpy()
         cuts = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            one, two = _across(ids[a:b], comp[a:b], sizes[a:b], regs[a:b], least, percent)
-            if len(one):
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
+            found = list(_Bucket(table.slice(a, b - a), buckets).pairs(least, percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
@@ -177,8 +220,7 @@ def near_duplicate_classes(
     shingle: int = 5,
     percent: int = 75,
     buckets: int = BUCKETS,
-    band_rows: int = BAND_ROWS,
-    group_limit: int = 1024,
+    group_limit: int = 4096,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
@@ -191,9 +233,11 @@ def near_duplicate_classes(
     How groups of any size stay cheap: documents with equal sets collapse to one representative by set fingerprint.
     In every band bucket each member is first compared with the bucket's smallest id only (a star, linear in
     the members) and components are formed. What is left to compare are members of *different* components in one
-    bucket. Buckets of up to ``group_limit`` members are compared in one task by their registers, members of the
-    bucket's largest component only with others; larger buckets are split by pairs, triples, ... of bands until they
-    are that small. Nothing is capped or dropped.
+    bucket. Buckets of up to ``group_limit`` members are compared in one task: a pair counts in the bucket of its first
+    common band only, members of the bucket's largest component meet only others, and pairs must be close by all their
+    registers and then by their smallest hashes, which are whole sets for most texts. Larger buckets are split by their
+    members' next bands until they are that small; there a pair at the threshold is missed if it shares no second band
+    (8e-5). Nothing is capped or dropped.
 
     Null and empty texts and texts of white space have no shingles, 0 as n_shingles, and form components of their own.
     A null id gives a null component and ``kept`` true. Repeated ids: each row is handled by its own text, and links
@@ -203,7 +247,7 @@ def near_duplicate_classes(
     scratch = Scratch(spark)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     sig = scratch.keep(
-        texts.mapInArrow(_signatures(shingle, buckets, band_rows), "id long, n long, f1 long, f2 long, regs binary, bands array<long>"), "signatures"
+        texts.mapInArrow(_signatures(shingle, buckets, BAND_ROWS), "id long, n long, f1 long, f2 long, regs binary, bands array<long>"), "signatures"
     )
     some = sig.where("n > 0 and id is not null")
     classes = scratch.keep(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -216,9 +260,9 @@ def near_duplicate_classes(
         return scratch.keep(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), f"{name}-links")
 
     regs = reps.select("id", "n", "regs")
-    bands = reps.select("id", F.explode("bands").alias("key"))
+    bands = reps.select("id", F.posexplode("bands").alias("band", "key"))
     crowded = scratch.keep(bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = scratch.keep(bands.join(crowded, "key").select("key", "id", "center", "size"), "members")
+    members = scratch.keep(bands.join(crowded, "key").select("key", "band", "id", "center", "size"), "members")
     star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(regs.toDF("a", "na", "ra"), "a").join(regs.toDF("b", "nb", "rb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     star = scratch.keep(star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(buckets, least), "a long, b long"), "star-likely")
@@ -226,22 +270,24 @@ def near_duplicate_classes(
     labels = connected_components(links, scratch)
 
     more: list[DataFrame] = []
-    level = members.select("key", "id", "size", F.array("key").alias("path"))
+    level = members.select("key", "id", "size", F.array("band").alias("path"))
     while True:
-        named = level.join(labels, "id", "left").select("key", "id", "size", "path", F.coalesce("comp", "id").alias("comp"))
-        named = scratch.keep(named, "named")
+        named = scratch.keep(level.join(labels, "id", "left").select("key", "id", "size", "path", F.coalesce("comp", "id").alias("comp")), "named")
         mixed = scratch.keep(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
         open_ = scratch.keep(named.join(mixed, "key"), "open")
         scratch.drop(named, mixed)
-        few = open_.where(F.col("size") <= group_limit).select("key", "id", "comp").join(regs, "id")
-        pairs = few.select("key", "id", "comp", "n", "regs").repartition("key").sortWithinPartitions("key").mapInArrow(_cross(buckets, least, percent), "a long, b long")
+        few = open_.where(F.col("size") <= group_limit)
+        low = texts.join(few.select("id").distinct(), "id").mapInArrow(_smallest(shingle), "id long, low binary")
+        few = few.join(regs, "id").join(low, "id").select("key", "path", "id", "comp", "n", "regs", "low")
+        pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(_cross(buckets, least, percent), "a long, b long")
         more.append(confirmed(scratch.keep(pairs.distinct(), "cross-likely"), "cross"))
         large = open_.where(F.col("size") > group_limit)
         if large.isEmpty():
             break
-        own = reps.select("id", "bands")
-        split = large.join(own, "id").select("id", "path", F.explode(F.array_except("bands", "path")).alias("band"))
-        split = split.select("id", F.array_sort(F.concat("path", F.array("band"))).alias("path")).select(F.xxhash64("path").alias("key"), "id", "path").distinct()
+        later = F.sequence(F.element_at("path", -1) + 1, F.lit(buckets // BAND_ROWS - 1))
+        later = F.when(F.element_at("path", -1) < buckets // BAND_ROWS - 1, later).otherwise(F.array().cast("array<int>"))
+        split = large.join(reps.select("id", "bands"), "id").select("id", "bands", F.explode(F.transform(later, lambda p: F.concat("path", F.array(p)))).alias("path"))
+        split = split.select(F.xxhash64(F.transform("path", lambda p: F.get("bands", p))).alias("key"), "id", "path")
         split = scratch.keep(split, "split")
         sizes = scratch.keep(split.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "split-sizes")
         level = split.join(sizes, "key").select("key", "id", "size", "path")
