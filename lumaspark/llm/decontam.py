@@ -33,14 +33,17 @@ def _named(text: Column) -> Column:
     return F.regexp_replace(text, _NAMES, f"$1{NAME}")
 
 
-def template(text: Column) -> Column:
-    """The template of a text as an array of words; empty for null and for texts without letters and digits."""
-    named = _named(text)
-    measured = F.regexp_replace(F.regexp_replace(named, _MEASURES, f" {NUMBER} {UNIT} "), _DIGITS, f" {NUMBER} ")
-    marked = F.when(named.rlike(r"\p{N}"), measured).otherwise(named)
-    spread = F.regexp_replace(marked, NAME, f" {NAME} ")
-    words = F.split(F.trim(F.lower(F.regexp_replace(F.when(marked.contains(NAME), spread).otherwise(marked), _DROP, " "))), " ")
-    return F.coalesce(F.filter(words, lambda w: w != ""), F.array().cast("array<string>"))
+def templates(rows: DataFrame, text: str = "text", words: str = "words") -> DataFrame:
+    """``rows`` with the template of a text as an array of words; empty for null and for texts without letters and digits.
+
+    Every step is a column of its own, so none is computed twice."""
+    marked = F.when(F.col("_t").rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace("_t", _MEASURES, f" {NUMBER} {UNIT} "), _DIGITS, f" {NUMBER} ")).otherwise(F.col("_t"))
+    spread = F.when(F.col("_t").contains(NAME), F.replace("_t", F.lit(NAME), F.lit(f" {NAME} "))).otherwise(F.col("_t"))
+    out = rows.withColumn("_t", _named(F.col(text)))
+    out = out.withColumn("_t", marked).withColumn("_t", spread)
+    out = out.withColumn("_t", F.trim(F.lower(F.regexp_replace("_t", _DROP, " "))))
+    none = F.array().cast("array<string>")
+    return out.withColumn(words, F.when(F.coalesce(F.col("_t"), F.lit("")) == "", none).otherwise(F.split("_t", " "))).drop("_t")
 
 
 def values(text: Column) -> Column:
@@ -62,6 +65,10 @@ def _windows(words: Column, size: int) -> Column:
     return F.when(F.arrays_overlap(words, F.array(*map(F.lit, marks))), solid).otherwise(every)
 
 
+def _sized(windows: Column, size: int) -> Column:
+    return F.transform(windows, lambda w: F.struct(F.lit(size).alias("size"), w["place"].alias("doc_place"), w["hash"].alias("hash")))
+
+
 def _slots(words: Column, found: Column, place: Column, size: Column) -> Column:
     """Values of the placeholders of one window, each with its type, in order."""
 
@@ -107,7 +114,7 @@ def contaminated(
     scratch = Scratch(spark)
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id is not null")
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("item_id is not null")
-    words = items.select("item_id", template(F.col("text")).alias("words"), values(F.col("text")).alias("found"))
+    words = templates(items).select("item_id", "words", values(F.col("text")).alias("found"))
     words = words.where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(window)))
     own = words.select("item_id", "words", "found", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("place"))
     cut = F.expr("slice(words, place, size)")
@@ -121,10 +128,10 @@ def contaminated(
     shape = items_kept.agg(F.count("*").alias("rows"), F.collect_set("size").alias("sizes"), F.max(F.coalesce(F.size("slots"), F.lit(0))).alias("slots")).first()
     totals = own.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"))
 
-    canon = text.select("doc_id", template(F.col("text")).alias("words"))
+    canon = templates(text).select("doc_id", "words")
     sizes = sorted(shape["sizes"] or [window])
-    every = F.concat(*[F.transform(_windows(F.col("words"), s), lambda w, s=s: F.struct(F.lit(s).alias("size"), w["place"].alias("doc_place"), w["hash"].alias("hash"))) for s in sizes])
-    spread = canon.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.size", "w.doc_place", "w.hash")
+    places = [_sized(_windows(F.col("words"), size), size) for size in sizes]
+    spread = canon.select("doc_id", F.explode(F.concat(*places)).alias("w")).select("doc_id", "w.size", "w.doc_place", "w.hash")
     side = items_kept if shape["rows"] > BROADCAST_ROWS else F.broadcast(items_kept)
     hits = spread.join(side, ["size", "hash"]).select("doc_id", "doc_place", "item_id", "place", "size", "hash", "slots")
     hits = scratch.keep(hits, "hits")
@@ -134,7 +141,7 @@ def contaminated(
         return found.select("doc_id", "item_id", "n_windows", "n_matched", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_consistent"))
     pairs = scratch.keep(found, "pairs")
     wanted = hits.where(F.size("slots") > 0).join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    again = text.join(wanted.select("doc_id").distinct(), "doc_id").select("doc_id", template(F.col("text")).alias("words"), values(F.col("text")).alias("found"))
+    again = templates(text.join(wanted.select("doc_id").distinct(), "doc_id")).select("doc_id", "words", values(F.col("text")).alias("found"))
     met = wanted.join(again, "doc_id").where(F.xxhash64(F.expr("slice(words, doc_place, size)")) == F.col("hash"))
     met = met.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("slots").alias("item"), _slots(F.col("words"), F.col("found"), F.col("doc_place"), F.col("size")).alias("doc"))).alias("s"))
     counts = met.groupBy("doc_id", "item_id", F.col("s.item").alias("item"), F.col("s.doc").alias("doc")).agg(F.count("*").alias("n"))
