@@ -87,8 +87,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_w
     words = docs.where(docs[lang_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), F.explode(F.split(text, " ")).alias("key"))
     counted = scratch.keep(words.where(F.length("key").between(1, 64)).groupBy("lang", "key").agg(F.count("*").alias("n")), "words")
     marked = F.concat(F.lit("^"), "key", F.lit("$"))
-    gram_lists = [F.transform(F.sequence(F.lit(1), F.length(marked) + 1 - k), lambda i, k=k: F.substring(marked, i, F.lit(k))) for k in range(1, LONGEST + 1)]
-    pieces = F.flatten(F.array(*[F.when(F.length(marked) >= k, g).otherwise(F.array().cast("array<string>")) for k, g in enumerate(gram_lists, 1)]))
+
+    def of_length(k: int) -> Column:
+        places = F.when(F.length(marked) >= k, F.sequence(F.lit(1), F.length(marked) + 1 - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.substring(marked, i, F.lit(k)))
+
+    pieces = F.concat(*[of_length(k) for k in range(1, LONGEST + 1)])
     grams = scratch.keep(counted.select("lang", "n", F.explode(pieces).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
 
     def top(table: DataFrame, limit: int) -> list[_Count]:
