@@ -1,7 +1,7 @@
 """Byte-level BPE: exact merging, a transducer lexicon for frequent words, and decoding.
 
-A text is cut before every space that a non-space follows; the splitting pattern always starts a new token there, so
-the pieces are encoded one by one. Frequent pieces are looked up in a minimal acyclic automaton whose arc outputs
+A text is cut at every line end between two non-spaces and before every space that a non-space follows; the splitting
+pattern always starts a new token there, so the pieces are encoded one by one. Frequent pieces are looked up in a minimal acyclic automaton whose arc outputs
 add up to the piece's place in a table of id lists; all others are split by the pattern and merged exactly.
 """
 
@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from .textkit import chunks
 
 CUT = re.compile(r" (?=\S)")
-MEMO = 200_000
+LINE = re.compile(r"(?<=\S)\n(?=\S)")
+MEMO = 400_000
+#: Marks at a word's end that the pattern takes as one run.
+TAIL = ".,;:!?%*#&$|\"()-_=+/@"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,6 +58,7 @@ class ByteBpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.table = MergeTable(self)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.stops = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -115,6 +119,70 @@ class ByteBpe:
         return b"".join([tokens[i] for i in ids]).decode("utf-8", "replace")
 
 
+class MergeTable:
+    """The merges as sorted arrays, to merge many words together."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, bpe: ByteBpe):
+        pairs = np.array([a << 32 | b for a, b in bpe.merges], dtype=np.int64).reshape(-1)
+        found = np.array(list(bpe.merges.values()), dtype=np.int64).reshape(-1, 2)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], found[order, 0].astype(np.int32)
+        self.merged = np.zeros(int(found[:, 0].max(initial=-1)) + 1, dtype=np.int64)
+        self.merged[found[:, 0]] = found[:, 1]
+        self.single = np.array(bpe.single, dtype=np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        if not len(self.pairs):
+            return np.full(key.shape, self.NONE, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], self.NONE)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words that are one pattern match each. Words of one length make a matrix; every step merges each
+        row's leftmost pair of lowest rank, so rows stay equally long until they are done."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
+            if length:
+                raw = np.frombuffer(b"".join([words[i] for i in rows]), dtype=np.uint8).reshape(len(rows), length)
+                self._merge_equal(self.single[raw], rows, out)
+        return out
+
+    def _merge_equal(self, ids: np.ndarray, rows: np.ndarray, out: list[bytes]) -> None:
+        def done(block: np.ndarray, places: np.ndarray) -> None:
+            data, size = block.astype("<u4").tobytes(), 4 * block.shape[1]
+            for k, place in enumerate(places.tolist()):
+                out[place] = data[k * size : (k + 1) * size]
+
+        ranks = self.rank(ids[:, :-1], ids[:, 1:])
+        while ids.shape[1] > 1 and len(ids):
+            at = ranks.argmin(axis=1)
+            line = np.arange(len(ids))
+            best = ranks[line, at]
+            over = best == self.NONE
+            if over.any():
+                done(ids[over], rows[over])
+                live = ~over
+                ids, ranks, rows, at, best = ids[live], ranks[live], rows[live], at[live], best[live]
+                line = np.arange(len(ids))
+            width = ids.shape[1]
+            ids[line, at] = self.merged[best]
+            keep = np.ones(ids.shape, dtype=bool)
+            keep[line, at + 1] = False
+            ids = ids[keep].reshape(len(line), width - 1)
+            keep = np.ones(ranks.shape, dtype=bool)
+            keep[line, at] = False
+            ranks = ranks[keep].reshape(len(line), width - 2)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+            ranks[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], ids[before, at[before]])
+            ranks[after, at[after]] = self.rank(ids[after, at[after]], ids[after, at[after] + 1])
+        done(ids, rows)
+
+
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """A minimal acyclic transducer over ``words`` and its id lists, as one block of bytes.
 
@@ -231,47 +299,78 @@ class Lexicon:
 
 
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by pieces and a bounded memo of known pieces."""
+    """Ids of texts as little-endian unsigned 32-bit integers, by pieces and a bounded memo of known pieces.
+
+    ``encode_new`` encodes pieces, ``encode_text`` whole texts that hold a special token's string."""
 
     def __init__(self, special: list[str], encode_new, encode_text, memo: int = MEMO):
         self.special, self.encode_new, self.encode_text, self.limit = special, encode_new, encode_text, memo
         self.inner: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.line_end = encode_new(["\n"])[0]
+
+    def _learn(self, memo: dict[str, bytes], seen: set[str], prefix: str) -> None:
+        seen.difference_update(memo)
+        if seen:
+            new = list(seen)
+            memo.update(zip(new, self.encode_new([prefix + p for p in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) > self.limit:
-            self.inner = {}
-        cut = [None if any(s in t for s in self.special) else CUT.split(t) for t in texts]
-        new = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        new.difference_update(self.inner)
-        if new:
-            new = list(new)
-            self.inner.update(zip(new, self.encode_new([" " + p for p in new]), strict=True))
-        heads = self.encode_new([p[0] if p else "" for p in cut])
-        known = self.inner.__getitem__
-        return [
-            self.encode_text(text) if pieces is None else head + b"".join(map(known, pieces[1:]))
-            for text, pieces, head in zip(texts, cut, heads, strict=True)
-        ]
+        if len(self.inner) + len(self.heads) > self.limit:
+            self.inner, self.heads = {}, {}
+        cut = [None if any(s in t for s in self.special) else [CUT.split(line) for line in LINE.split(t)] for t in texts]
+        inner, heads = set(), set()
+        for lines in cut:
+            for pieces in lines or ():
+                heads.add(pieces[0])
+                inner.update(pieces[1:])
+        self._learn(self.inner, inner, " ")
+        self._learn(self.heads, heads, "")
+        return [self.encode_text(text) if lines is None else self._joined(lines) for text, lines in zip(texts, cut, strict=True)]
+
+    def _joined(self, lines: list[list[str]]) -> bytes:
+        known, heads = self.inner.__getitem__, self.heads
+        return self.line_end.join([heads[pieces[0]] + b"".join(map(known, pieces[1:])) for pieces in lines])
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 def lexicon_encoder(bpe: ByteBpe, lexicon: Lexicon) -> PieceEncoder:
-    def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    tails: dict[str, bytes] = {"": b""}
 
     def encode_new(pieces: list[str]) -> list[bytes]:
         places = lexicon.places([p.encode() for p in pieces]).tolist()
-        return [lexicon.ids(at) if at >= 0 else packed(bpe.plain(p)) for p, at in zip(pieces, places, strict=True)]
+        out, unseen, words, ends = [b""] * len(pieces), [], [], []
+        for k, (piece, at) in enumerate(zip(pieces, places, strict=True)):
+            if at >= 0:
+                out[k] = lexicon.ids(at)
+                continue
+            core = piece.rstrip(TAIL)
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                end = piece[len(core) :]
+                if end not in tails:
+                    tails[end] = packed(bpe.merge(end.encode()))
+                unseen.append(k)
+                words.append(core.encode())
+                ends.append(tails[end])
+            else:
+                out[k] = packed(bpe.plain(piece))
+        if len(tails) > 100_000:
+            tails.clear()
+            tails[""] = b""
+        for k, ids, end in zip(unseen, bpe.table.merge(words), ends, strict=True):
+            out[k] = ids + end
+        return out
 
     return PieceEncoder(list(bpe.special), encode_new, lambda text: packed(bpe.encode(text)))
 
 
 def frequent_words(docs: DataFrame, text_col: str, limit: int, most_bytes: int = 48) -> list[str]:
-    """The ``limit`` most frequent space-separated words over all rows, ties by the word; at most ``limit`` rows
-    reach the driver. Texts hold commas, line ends and such inside words, as pieces do."""
-    words = docs.select(F.explode(F.split(docs[text_col].cast("string"), " ")).alias("w")).where(F.octet_length("w").between(1, most_bytes))
+    """The ``limit`` most frequent words between spaces and line ends over all rows, ties by the word; at most ``limit``
+    rows reach the driver. Words keep commas and such, as pieces do."""
+    words = docs.select(F.explode(F.split(docs[text_col].cast("string"), "[ \n]")).alias("w")).where(F.octet_length("w").between(1, most_bytes))
     top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(limit)
     return [r.w for r in top.select("w").collect()]
 
