@@ -9,6 +9,7 @@ few pages and a query of the numbers reads no ids.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -50,9 +51,9 @@ def library_encoder(spec: str) -> PieceEncoder:
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode_new(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return PieceEncoder(special, encode_new, lambda text: encode_new([text])[0])
+    return PieceEncoder(special, encode_new, lambda text: encode_new([text])[0], memo=2 * MEMO)
 
 
 def _encode(spec, end_id: int):
