@@ -112,8 +112,9 @@ class Classifier:
 
 
 def _pool(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Maxima over each text's own places and one place of padding."""
-    return np.maximum.reduceat(values, starts[:-1], axis=0)
+    """Maxima over each text's own places, without its padding."""
+    edges = np.stack((starts[:-1], starts[1:] - PAD), axis=1).reshape(-1)
+    return np.maximum.reduceat(values, edges, axis=0)[::2]
 
 
 def _examples(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -143,7 +144,7 @@ def _step(model: Classifier, batch: list, labels: np.ndarray, sums: dict[str, np
         pooled.append(top)
         at = np.empty(top.shape, dtype=np.int64)
         for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-            at[i] = a + values[a:b].argmax(axis=0)
+            at[i] = a + values[a : b - PAD].argmax(axis=0)
         where.append(at)
     hidden = np.concatenate(pooled, axis=1) + model.bias
     active = (hidden > 0) * drop
