@@ -167,9 +167,23 @@ def sao_edge_row(row: Column, offsets: Sequence[int], bit_depth: int = 8) -> Col
     return F.concat(F.aggregate(inner, first, step), F.when(F.size(row) > 1, F.slice(row, -1, 1)).otherwise(F.array().cast("array<bigint>")))
 
 
+def reconstruct(predicted: Column, residual: Column, bit_depth: int = 8) -> Column:
+    """A sample from its prediction and residual."""
+    return _clamp(predicted + residual, 0, (1 << bit_depth) - 1).cast("long")
+
+
 # --- run lengths ---
 
 
+def canonical_codes(lengths: DataFrame) -> DataFrame:
+    """``(symbol, bits, code)`` of a Huffman table given as ``(place, symbol, bits)``: within the order of places, a code is the sum
+    of the spans of all codes before, read at its own length."""
+    line = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    span = F.call_function("shiftleft", F.lit(1).cast("long"), (16 - F.col("bits")).cast("int"))
+    before = F.coalesce(F.sum(span).over(line), F.lit(0).cast("long"))
+    return lengths.select("symbol", "bits", F.call_function("shiftright", before, (16 - F.col("bits")).cast("int")).alias("code"))
+
+
 def run_lengths(coefficients: DataFrame, key: str = "block_id", order: str = "i", value: str = "v") -> DataFrame:
     """Non-zero AC coefficients in zigzag order with the zeros before each: ``(key, i, v, run, skips, bits)``; ``skips``
     counts whole runs of 16 zeros, ``run`` what remains, ``bits`` the length of the value's code."""

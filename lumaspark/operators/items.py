@@ -118,3 +118,10 @@ def metadata_rollup(items: DataFrame, primary: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(here & (F.col("item_type") == "grid")), F.lit(False)).alias("is_grid"),
         F.coalesce(F.bool_or(F.col("is_alpha") & ~here), F.lit(False)).alias("has_alpha"),
     )
+
+
+def tile_payloads(tiles: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Tiles ``(file_id, to_ord, to_item_id)`` with the length of their data; a tile without a location gets an error code."""
+    places = lengths.select("file_id", F.col("item_id").alias("to_item_id"), "total_length")
+    joined = tiles.join(places, ["file_id", "to_item_id"], "left")
+    return joined.withColumn("code", F.when(F.col("total_length").isNull(), "INVALID_CONTAINER"))

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspark.functions import checksums, limits, tables
-from lumaspark.operators import blocks, items, pixels
+from lumaspark.functions import checksums, enums, limits, tables
+from lumaspark.operators import blocks, encode, hevc, items, pixels
 
 from . import fixtures_plans, shapes
 
@@ -471,6 +471,100 @@ def output_formats(spark, sf_dir):
     return tables.output_formats(spark)
 
 
+def _large(size: int) -> str:
+    side = size // 8
+    n = side * side
+    return f"select image_id // {n} as block_id, x + (image_id % {n} % {side}) * 8 as x, y + (image_id % {n} // {side}) * 8 as y, v - 128 as v from ({PX}) where (image_id // {n} + 1) * {n} <= (select count(*) from embeddings)"
+
+
+def _large_transform(size: int, compat: bool = False) -> None:
+    """Blocks of several embeddings side by side, as far as they fill one."""
+    side = size // 8
+    n = side * side
+    rows = tables.dct_matrix(size, compat)
+
+    def run(spark, sf_dir):
+        whole = shapes.table(spark, sf_dir, "embeddings").count() // n
+        tiles = shapes.blocks(spark, sf_dir).withColumns({"tile": F.col("image_id") % n, "image_id": F.floor(F.col("image_id") / n)}).where(F.col("image_id") < whole)
+        grid = pixels.assemble_grid(tiles, "tile", side, 8, 8, size, size)
+        return blocks.inverse_dct(grid.select(F.col("image_id").alias("block_id"), "x", "y", (F.col("v") - 128).alias("v")), size, compat=compat)
+
+    run.__name__ = f"idct{size}" + "_compat" * compat
+    first = f"select block_id, y, n as x, (sum(v * c)::bigint + 64) >> 7 as v from ({_large(size)}) join {_values(rows)} on k = x group by block_id, y, n"
+    query(f"select block_id, x::bigint as x, n::bigint as y, (sum(v * c)::bigint + 2048) >> 12 as v from ({first}) join {_values(rows)} on k = y group by block_id, x, n")(run)
+
+
+_large_transform(16)
+_large_transform(32)
+_large_transform(32, compat=True)
+
+
+@query(f"select c.image_id, c.x, c.y, greatest(0, least(255, c.v + r.v - 128)) as v from ({PX}) c join ({PX}) r on r.image_id = c.image_id + 1 and r.x = c.x and r.y = c.y")
+def reconstruct_samples(spark, sf_dir):
+    residual = shapes.blocks(spark, sf_dir).select((F.col("image_id") - 1).alias("image_id"), "x", "y", (F.col("v") - 128).alias("r"))
+    joined = shapes.blocks(spark, sf_dir).join(residual, ["image_id", "x", "y"])
+    return joined.select("image_id", "x", "y", blocks.reconstruct(F.col("v"), F.col("r")).alias("v"))
+
+
+@query("""select v::int as init_value, q::int as qp, (case when s >= 64 then s - 64 else 63 - s end)::int as state, (s >= 64)::int as likely
+  from (select v, q, least(126, greatest(1, ((((v >> 4) * 5 - 45) * q) >> 4) + ((v & 15) << 3) - 16)) as s from range(0, 256) a(v), range(0, 52) b(q))""")
+def context_states(spark, sf_dir):
+    values = spark.range(256).select(F.col("id").cast("int").alias("init_value")).withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(51))))
+    state, likely = enums.context_state(F.col("init_value"), F.col("qp"))
+    return values.select("init_value", "qp", state.cast("int").alias("state"), likely.alias("likely"))
+
+
+def _lengths(kind: str) -> list[tuple[int, int, int]]:
+    symbols = bytes.fromhex(encode.AC_SYMBOLS[kind])
+    bits = [n for n, count in enumerate(encode.AC_LENGTHS[kind], 1) for _ in range(count)]
+    return [(place, symbol, n) for place, (symbol, n) in enumerate(zip(symbols, bits, strict=True))]
+
+
+@query(f"""select symbol::bigint as symbol, bits::bigint as bits, (coalesce(sum(1::bigint << (16 - bits)) over (order by place rows between unbounded preceding and 1 preceding), 0)::bigint) >> (16 - bits) as code
+  from (values {", ".join(map(str, _lengths("luma")))}) t(place, symbol, bits)""")
+def huffman_codes(spark, sf_dir):
+    return blocks.canonical_codes(spark.createDataFrame(_lengths("luma"), "place long, symbol long, bits long"))
+
+
+@query("""select o_orderkey as file_id, text, case when lower(trim(text)) in ('jpeg', 'jpg', 'image/jpeg', 'image/jpg') then 'jpeg' when lower(trim(text)) in ('png', 'image/png') then 'png'
+    when lower(trim(text)) in ('webp', 'image/webp') then 'webp' when lower(trim(text)) in ('heic', 'image/heic') then 'heic' end as format
+  from (select o_orderkey, [' Image/JPEG', 'jpg', 'PNG ', 'image/webp', 'gif', 'HEIC', 'image/jpg'][o_orderkey % 7 + 1] as text from orders)""")
+def format_lookup(spark, sf_dir):
+    names = F.array(*map(F.lit, (" Image/JPEG", "jpg", "PNG ", "image/webp", "gif", "HEIC", "image/jpg")))
+    rows = shapes.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.element_at(names, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("text"))
+    return rows.withColumn("format", enums.output_format(F.col("text")))
+
+
+@query("select i::bigint as kind, coalesce(name, 'OTHER') as name, i in (0, 1) or i between 16 and 21 as is_slice, i between 16 and 21 as is_irap from range(0, 64) r(i) left join (values "
+       + ", ".join(f"({k}, '{v}')" for k, v in tables.NAL_TYPES.items()) + ") t(k, name) on k = i")
+def nal_types(spark, sf_dir):
+    kind = F.col("id")
+    return spark.range(64).select(kind.alias("kind"), enums.nal_name(kind).alias("name"), enums.nal_is_slice(kind).alias("is_slice"), enums.nal_is_irap(kind).alias("is_irap"))
+
+
+@query("""select p_partkey, tag::int as tag, case when tag between 5 and 8 then h else w end as width, case when tag between 5 and 8 then w else h end as height, (case when tag between 1 and 8 then tag end)::int as valid
+  from (select p_partkey, p_partkey % 10 as tag, p_size::bigint as w, p_partkey % 37 as h from part)""")
+def oriented_sizes(spark, sf_dir):
+    rows = shapes.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 10).cast("int").alias("tag"), F.col("p_size").cast("long").alias("w"), (F.col("p_partkey") % 37).alias("h"))
+    width, height = enums.oriented(F.col("w"), F.col("h"), F.col("tag"))
+    return rows.select("p_partkey", "tag", width.alias("width"), height.alias("height"), enums.orientation(F.col("tag")).alias("valid"))
+
+
+@query(f"""select t.file_id, t.from_item_id, t.to_ord, t.to_item_id, l.total_length, case when l.total_length is null then 'INVALID_CONTAINER' end as code
+  from (select e.* from ({EDGES}) e join (select file_id, from_item_id, min(ref_ord) as ref_ord from ({EDGES}) where ref_type = 'dimg' group by all) f using (file_id, from_item_id, ref_ord)) t
+  left join (select file_id, item_id, sum(length)::bigint as total_length from ({LINES}) group by all) l on l.file_id = t.file_id and l.item_id = t.to_item_id""")
+def tile_payloads(spark, sf_dir):
+    tiles = items.first_edge_targets(shapes.edges(spark, sf_dir), "dimg")
+    joined = items.tile_payloads(tiles, items.item_lengths(shapes.extents(spark, sf_dir)))
+    return joined.select("file_id", "from_item_id", "to_ord", "to_item_id", "total_length", "code")
+
+
+@query()
+def range_table(spark, sf_dir):
+    """Ranges of the less probable symbol by state and quarter."""
+    return spark.createDataFrame([(s, q, r) for s, row in enumerate(hevc.lps_ranges()) for q, r in enumerate(row)], "state int, quarter int, size int")
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | fixtures_plans.queries()
 

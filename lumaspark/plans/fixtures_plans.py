@@ -22,6 +22,10 @@ def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"compatible_brands": F.array_join("compatible_brands", ","), "error": F.col("error.code")})
 
 
+def inspect_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.inspect(files.from_bytes(spark, synthetic.fixtures())).withColumn("error", F.col("error.code"))
+
+
 def box_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_boxes(files.from_bytes(spark, synthetic.fixtures())).withColumn("error", F.col("error.code"))
 
@@ -49,5 +53,5 @@ def _converted(kind: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = {f.__name__: f for f in (detect_files, probe_files, box_scan, nal_scan, decoded_pixels)}
+    made = {f.__name__: f for f in (detect_files, probe_files, inspect_files, box_scan, nal_scan, decoded_pixels)}
     return made | {f"{kind}_bytes": _converted(kind) for kind in ("jpeg", "png", "heic")}

@@ -229,3 +229,8 @@ def metadata(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     }
     message = F.coalesce("error.message", "error_code")
     return out.select("file_id", *[F.when(ok, c).alias(n) for n, c in values.items()], F.when(~ok, F.struct(F.col("error_code").alias("code"), message.alias("message"))).alias("error"))
+
+
+def inspect(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The short form: width, height, number of items and whether there is alpha."""
+    return metadata(files, limits).select("file_id", "width", "height", F.col("item_count").alias("image_count"), "has_alpha", "error")
