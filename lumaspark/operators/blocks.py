@@ -50,7 +50,7 @@ def quant_table(base: Sequence[int], quality: Column, place: Column) -> Column:
 
 def quant_tables(spark, low: int = 1, high: int = 100) -> DataFrame:
     """``(quality, place, luma, chroma)`` for every quality."""
-    rows = spark.range(low, high + 1).withColumnRenamed("id", "quality").join(spark.range(64).withColumnRenamed("id", "place"))
+    rows = spark.range(low, high + 1).select(F.col("id").alias("quality"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("place"))
     return rows.select("quality", "place", *[quant_table(t, F.col("quality"), F.col("place")).alias(n) for n, t in (("luma", JPEG_LUMA), ("chroma", JPEG_CHROMA))])
 
 
