@@ -24,6 +24,8 @@ BUCKETS = 128
 BAND_ROWS = 4
 #: Smallest 32-bit hashes kept of a text for the second comparison: whole sets up to this size.
 SMALLEST = 1024
+#: Ids of texts to read again (8 bytes each) up to which they are broadcast to the scan; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 _seed = mix(np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -254,9 +256,13 @@ def near_duplicate_classes(
     reps = scratch.keep(some.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).where("id = rep").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "regs", "bands"), "representatives")
     least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / buckets) ** 0.5
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = scratch.keep(ids.distinct(), "ids")
+        return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id")
+
     def confirmed(likely: DataFrame, name: str) -> DataFrame:
-        ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-        full = likely.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+        found = texts_of(likely.select(F.col("a").alias("id")).union(likely.select("b")))
+        full = likely.join(found.toDF("a", "ta"), "a").join(found.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         return scratch.keep(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), f"{name}-links")
 
     regs = reps.select("id", "n", "regs")
@@ -277,7 +283,7 @@ def near_duplicate_classes(
         open_ = scratch.keep(named.join(mixed, "key"), "open")
         scratch.drop(named, mixed)
         few = open_.where(F.col("size") <= group_limit)
-        low = texts.join(few.select("id").distinct(), "id").mapInArrow(_smallest(shingle), "id long, low binary")
+        low = texts_of(few.select("id")).mapInArrow(_smallest(shingle), "id long, low binary")
         few = few.join(regs, "id").join(low, "id").select("key", "path", "id", "comp", "n", "regs", "low")
         pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(_cross(buckets, least, percent), "a long, b long")
         more.append(confirmed(scratch.keep(pairs.distinct(), "cross-likely"), "cross"))
