@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import PieceEncoder
+from .bpe import MEMO, PieceEncoder
 from .scratch import Scratch
 from .textkit import chunks
 
