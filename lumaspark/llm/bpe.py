@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frequent import most_frequent
+from .scratch import Scratch
 from .textkit import chunks
 
 CUT = re.compile(r" (?=\S)")
@@ -368,11 +370,14 @@ def lexicon_encoder(bpe: ByteBpe, lexicon: Lexicon) -> PieceEncoder:
 
 
 def frequent_words(docs: DataFrame, text_col: str, limit: int, most_bytes: int = 48) -> list[str]:
-    """The ``limit`` most frequent words between spaces and line ends over all rows, ties by the word; at most ``limit``
-    rows reach the driver. Words keep commas and such, as pieces do."""
+    """The most frequent words between spaces and line ends over all rows; at most ``limit`` rows reach the driver. Words keep
+    commas and such, as pieces do."""
     words = docs.select(F.explode(F.split(docs[text_col].cast("string"), "[ \n]")).alias("w")).where(F.octet_length("w").between(1, most_bytes))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(limit)
-    return [r.w for r in top.select("w").collect()]
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.keep(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "words")
+    found = sorted(r.w for r in most_frequent(counted, limit))
+    scratch.drop(counted)
+    return found
 
 
 def build_lexicon(bpe: ByteBpe, words: list[str]) -> bytes:

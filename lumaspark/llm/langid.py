@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frequent import most_frequent
 from .scratch import Scratch
 from .textkit import chunks
 
@@ -80,8 +81,8 @@ def _scores(rows: list[_Count], languages: list[str]) -> tuple[dict[str, int], n
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_words: int = 40_000, top_grams: int = 40_000) -> LanguageModel:
     """Learn from every row of ``docs`` with text and language. Words are runs of letters, lower-cased.
 
-    At most ``top_words`` words and ``top_grams`` n-grams of each language reach the driver, chosen by frequency, ties
-    by the word; the counts themselves cover all rows. No such row gives a model without languages."""
+    At most ``top_words`` words and ``top_grams`` n-grams of each language reach the driver, chosen by frequency; the counts
+    themselves cover all rows. No such row gives a model without languages."""
     scratch = Scratch(docs.sparkSession)
     text = F.lower(F.regexp_replace(docs[text_col].cast("string"), r"[^\p{L}\p{M}]+", " "))
     words = docs.where(docs[lang_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), F.explode(F.split(text, " ")).alias("key"))
@@ -97,11 +98,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_w
 
     def top(table: DataFrame, limit: int) -> list[_Count]:
         totals = {r.lang: r.total for r in table.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
-        rows = []
-        for lang in sorted(totals):
-            best = table.where(F.col("lang") == lang).orderBy(F.desc("n"), "key").limit(limit).collect()
-            rows += [_Count(lang, r.key, r.n, totals[lang]) for r in best]
-        return rows
+        return [_Count(lang, r.key, r.n, totals[lang]) for lang in sorted(totals) for r in most_frequent(table.where(F.col("lang") == lang).select("key", "n"), limit)]
 
     word_rows, gram_rows = top(counted, top_words), top(grams, top_grams)
     scratch.drop(counted, grams)

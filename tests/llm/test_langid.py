@@ -39,7 +39,7 @@ def test_counts_and_backoff(spark):
     assert {"^abc", "abc$", "^ab", "a", "^q"} <= set(model.grams) and max(map(len, model.grams)) == langid.LONGEST
     assert model.unseen("abd")[0] > model.unseen("abd")[1]
     assert (model.unseen("é") == model.unseen("é")).all()
-    assert len(langid.train(docs, top_words=1).words) == 2
+    assert set(langid.train(docs, top_words=1).words) == {"abc", "qqq"}
 
 
 def test_without_training_rows(spark):
