@@ -20,7 +20,8 @@ UNITS = (
     "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|yd|l|ml|s|sec|seconds|min|minutes|h|hr|hours|days|weeks|months|years|mph|kmh|hz|khz|mhz|ghz|"
     "w|kw|v|a|j|kj|n|pa|k|c|f|percent|degrees|dollars|euros|cents|pounds|meters|metres|miles|grams|liters|litres"
 )
-_NAMES = r"([\p{L}\p{N}],? )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+_NAME_RUN = r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+_NAMES = rf" (?<=[\p{{L}}\p{{N}}],? ){_NAME_RUN}"
 _DIGITS = r"\p{N}+(?:[.,:/-]\p{N}+)*"
 _MEASURES = rf"({_DIGITS}) ?({UNITS})\b"
 _DROP = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"
@@ -30,7 +31,7 @@ BROADCAST_ROWS = 250_000
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(text, _NAMES, f"$1{NAME}")
+    return F.regexp_replace(text, _NAMES, f" {NAME}")
 
 
 def templates(rows: DataFrame, text: str = "text", words: str = "words") -> DataFrame:
@@ -50,23 +51,27 @@ def values(text: Column) -> Column:
     """The values behind placeholders, in order, by type: struct of arrays ``names, numbers, units``."""
     named = _named(text)
     return F.struct(
-        F.regexp_extract_all(text, F.lit(_NAMES), F.lit(2)).alias("names"),
+        F.regexp_extract_all(text, F.lit(_NAMES), F.lit(1)).alias("names"),
         F.regexp_extract_all(named, F.lit(f"({_DIGITS})"), F.lit(1)).alias("numbers"),
         F.regexp_extract_all(named, F.lit(_MEASURES), F.lit(2)).alias("units"),
     )
 
 
 def _windows(words: Column, size: int) -> Column:
-    """(place, hash) of each window of ``size`` words of which at least half are no placeholders."""
+    """(size, doc_place, hash) of each window of ``size`` words of which at least half are no placeholders.
+
+    Words are taken by index, so a text of n words takes n steps; the hash of the words is that of their array."""
     marks = (NAME, NUMBER, UNIT)
-    enough = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>"))
-    every = F.transform(enough, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(words, i, size)).alias("hash")))
-    solid = F.filter(every, lambda w: 2 * F.size(F.filter(F.slice(words, w["place"], size), lambda x: ~x.isin(*marks))) >= size)
-    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, marks))), solid).otherwise(every)
+    enough = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
+
+    def window(i: Column) -> Column:
+        return F.struct(F.lit(size).alias("size"), (i + 1).alias("doc_place"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("hash"))
 
+    def solid(w: Column) -> Column:
+        return sum(F.get(words, w["doc_place"] + (k - 1)).isin(*marks).cast("int") for k in range(size)) * 2 <= size
 
-def _sized(windows: Column, size: int) -> Column:
-    return F.transform(windows, lambda w: F.struct(F.lit(size).alias("size"), w["place"].alias("doc_place"), w["hash"].alias("hash")))
+    every = F.transform(enough, window)
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, marks))), F.filter(every, solid)).otherwise(every)
 
 
 def _slots(words: Column, found: Column, place: Column, size: Column) -> Column:
@@ -130,7 +135,7 @@ def contaminated(
 
     canon = templates(text).select("doc_id", "words")
     sizes = sorted(shape["sizes"] or [window])
-    places = [_sized(_windows(F.col("words"), size), size) for size in sizes]
+    places = [_windows(F.col("words"), size) for size in sizes]
     spread = canon.select("doc_id", F.explode(F.concat(*places)).alias("w")).select("doc_id", "w.size", "w.doc_place", "w.hash")
     side = items_kept if shape["rows"] > BROADCAST_ROWS else F.broadcast(items_kept)
     hits = spread.join(side, ["size", "hash"]).select("doc_id", "doc_place", "item_id", "place", "size", "hash", "slots")

@@ -156,7 +156,14 @@ def _template_sql(source: str, key: str) -> str:
       select {key}, trim(lower(regexp_replace(replace(t, chr(2), concat(' ', chr(2), ' ')), concat('[^\\p{{L}}\\p{{N}}', {_MARKS}, ']+'), ' ', 'g'))) as t from (
         select {key}, case when regexp_matches(t, '\\p{{N}}') then regexp_replace(regexp_replace(t, '{decontam._MEASURES}', concat(' ', chr(3), ' ', chr(4), ' '), 'g'),
           '{decontam._DIGITS}', concat(' ', chr(3), ' '), 'g') else t end as t
-        from (select {key}, regexp_replace(text, '{decontam._NAMES}', concat('\\1', chr(2)), 'g') as t from {source} where text is not null and {key} is not null))) where t <> ''"""
+        from (select {key}, {_NAMED_SQL} as t from {source} where text is not null and {key} is not null))) where t <> ''"""
+
+
+#: Without lookbehind a name right after another one is found in a second pass.
+_NAMED_SQL = (
+    f"regexp_replace(regexp_replace(text, '([\\p{{L}}\\p{{N}}],? ){decontam._NAME_RUN}', concat('\\1', chr(2)), 'g'), "
+    f"concat('([\\p{{L}}\\p{{N}}', chr(2), '],? ){decontam._NAME_RUN}'), concat('\\1', chr(2)), 'g')"
+)
 
 
 _MARKS = "chr(2), chr(3), chr(4)"
