@@ -1,7 +1,6 @@
 """Byte-level BPE: exact merging, a transducer lexicon for frequent words, and decoding.
 
-A text is cut at every line end between two non-spaces and before every space that a non-space follows; the splitting
-pattern always starts a new token there, so the pieces are encoded one by one. Frequent pieces are looked up in a minimal acyclic automaton whose arc outputs
+Texts are encoded by pieces (see there). Frequent pieces are looked up in a minimal acyclic automaton whose arc outputs
 add up to the piece's place in a table of id lists; all others are split by the pattern and merged exactly.
 """
 
@@ -21,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frequent import most_frequent
+from .pieces import PieceEncoder
 from .scratch import Scratch
 from .textkit import chunks
 
-CUT = re.compile(r" (?=\S)")
-LINE = re.compile(r"(?<=\S)\n(?=\S)")
-MEMO = 400_000
+#: Bytes of text that are encoded together.
+CHUNK = 6 << 20
 #: Marks at a word's end that the pattern takes as one run.
 TAIL = ".,;:!?%*#&$|\"()-_=+/@"
 
@@ -300,41 +299,6 @@ class Lexicon:
         return self.flat[self.first[place] : self.first[place + 1]].tobytes()
 
 
-class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by pieces and a bounded memo of known pieces.
-
-    ``encode_new`` encodes pieces, ``encode_text`` whole texts that hold a special token's string."""
-
-    def __init__(self, special: list[str], encode_new, encode_text, memo: int = MEMO):
-        self.special, self.encode_new, self.encode_text, self.limit = special, encode_new, encode_text, memo
-        self.inner: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.line_end = encode_new(["\n"])[0]
-
-    def _learn(self, memo: dict[str, bytes], seen: set[str], prefix: str) -> None:
-        seen.difference_update(memo)
-        if seen:
-            new = list(seen)
-            memo.update(zip(new, self.encode_new([prefix + p for p in new]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) + len(self.heads) > self.limit:
-            self.inner, self.heads = {}, {}
-        cut = [None if any(s in t for s in self.special) else [CUT.split(line) for line in LINE.split(t)] for t in texts]
-        inner, heads = set(), set()
-        for lines in cut:
-            for pieces in lines or ():
-                heads.add(pieces[0])
-                inner.update(pieces[1:])
-        self._learn(self.inner, inner, " ")
-        self._learn(self.heads, heads, "")
-        return [self.encode_text(text) if lines is None else self._joined(lines) for text, lines in zip(texts, cut, strict=True)]
-
-    def _joined(self, lines: list[list[str]]) -> bytes:
-        known, heads = self.inner.__getitem__, self.heads
-        return self.line_end.join([heads[pieces[0]] + b"".join(map(known, pieces[1:])) for pieces in lines])
-
-
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -390,16 +354,17 @@ def _encode_decode(spec, lexicon, columns: list[str]):
         encoder = lexicon_encoder(bpe, Lexicon(lexicon.value))
         for batch in batches:
             text = batch.column("text")
-            for at, to, _, _ in chunks(text):
-                ids = encoder.encode([t or "" for t in text.slice(at, to - at).to_pylist()])
-                decoded = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-                made = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+            for at, to, _, _ in chunks(text, CHUNK):
+                ids, first = encoder.encode(text.slice(at, to - at))
+                places = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                decoded = [bpe.decode(ids[a:b].tolist()) for a, b in places]
+                made = {"n_tokens": pa.array(np.diff(first).astype(np.int64))}
                 if "ids" in columns:
-                    made["ids"] = pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
+                    made["ids"] = pa.array([ids[a:b].astype("<i4") for a, b in places], pa.list_(pa.int32()))
                     made["decoded"] = pa.array(decoded, pa.string())
                 if "ids_sha256" in columns:
-                    made["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in ids])
-                    made["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded])
+                    made["ids_sha256"] = pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in places], pa.string())
+                    made["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), *made.values()], names=["id", *made])
 
     return run

@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MEMO, PieceEncoder
+from .bpe import CHUNK, TAIL, byte_alphabet
+from .pieces import MEMO, PieceEncoder
 from .scratch import Scratch
 from .textkit import chunks
 
@@ -41,7 +42,10 @@ LAYOUT = {
 
 
 def library_encoder(spec: str) -> PieceEncoder:
-    """Encodes with the public tokenizers library, without its own threads; only new pieces reach it."""
+    """Encodes with the public tokenizers library, without its own threads; only new pieces reach it.
+
+    A run of letters, with a space before it or not, is one match of the splitting pattern, and so are the marks behind it. Such
+    a run goes to the library's BPE model as it is, everything else through the library's whole pipeline."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -49,26 +53,51 @@ def library_encoder(spec: str) -> PieceEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    letters = {byte: char for char, byte in byte_alphabet().items()}
+    known: dict[str, bytes] = {"": b""}
+    model = tokenizer.model
 
-    def encode_new(pieces: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def whole(texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return PieceEncoder(special, encode_new, lambda text: encode_new([text])[0], memo=2 * MEMO)
+    def run(text: str) -> bytes:
+        found = known.get(text)
+        if found is None:
+            ids = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+            found = known[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
 
+    def encode_new(pieces: list[str]) -> list[bytes]:
+        if len(known) > MEMO:
+            known.clear()
+            known[""] = b""
+        out: list[bytes] = [b""] * len(pieces)
+        rest = []
+        for k, piece in enumerate(pieces):
+            core = piece.rstrip(TAIL)
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                out[k] = run(core) + run(piece[len(core) :])
+            else:
+                rest.append(k)
+        for k, ids in zip(rest, whole([pieces[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    return PieceEncoder(special, encode_new, lambda text: whole([text])[0])
 
-def _encode(spec, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
 
+def _encode(spec, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(spec.value)
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column("text")
-            for at, to, _, _ in chunks(text):
-                ids = [x + end for x in encoder.encode([t or "" for t in text.slice(at, to - at).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for at, to, _, _ in chunks(text, CHUNK):
+                ids, first = encoder.encode(text.slice(at, to - at))
+                sizes = np.diff(first) + 1
                 ends = np.concatenate(([0], np.cumsum(sizes)))
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+                whole = np.insert(ids, first[1:], end_id).astype("<i4")
+                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, to - at), pa.array(sizes), pa.array(np.full(to - at, part)), pa.array(total + ends[:-1]), tokens],
                     names=["doc_id", "n_tokens", "part", "part_start", "tokens"],
