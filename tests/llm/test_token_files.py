@@ -46,7 +46,7 @@ def test_layout(spark, tmp_path):
     few = token_files.read_token_files(spark, path).where("doc_id = 4321")
     assert few.count() == 1 and few.first().tokens[-1] == 0
     plan = token_files.read_token_files(spark, path).select("doc_id", "start")._jdf.queryExecution().toString()
-    assert "tokens" not in plan.split("Physical Plan")[1]
+    assert "tokens:array" not in plan.split("Physical Plan")[1]
 
 
 def test_empty_table(spark):
