@@ -25,7 +25,7 @@ from .scratch import Scratch
 from .textkit import chunks
 
 #: Bytes of text that are encoded together.
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 #: Marks at a word's end that the pattern takes as one run.
 TAIL = ".,;:!?%*#&$|\"()-_=+/@"
 
