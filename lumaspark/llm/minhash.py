@@ -26,6 +26,8 @@ BAND_ROWS = 4
 SMALLEST = 1024
 #: Ids of texts to read again (8 bytes each) up to which they are broadcast to the scan; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sides of a row where two blocks of a bucket meet; WHOLE where a bucket or block meets itself.
+WHOLE, LEFT, RIGHT = 0, 1, 2
 
 _seed = mix(np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -143,20 +145,21 @@ class _Bucket:
         self.regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, buckets)
         self.words = self.regs.view(np.uint64)
         self.low = [np.frombuffer(b, dtype=np.uint32) for b in table.column("low").to_pylist()]
-        self.path = table.column("path")[0].as_py()
+        self.side = table.column("side").to_numpy()
+        self.band = table.column("band")[0].as_py()
 
     def first_here(self, i: int, other: np.ndarray) -> np.ndarray:
-        """Of ``other`` those whose first bands in common with i are this bucket's; each pair has one such bucket."""
-        same = self.words[other] == self.words[i]
-        last = self.path[-1] + 1
-        return other[(same[:, :last].sum(axis=1) == len(self.path))]
+        """Of ``other`` those whose first band in common with i is this bucket's; each pair has one such bucket."""
+        same = self.words[other, : self.band + 1] == self.words[i, : self.band + 1]
+        return other[same.sum(axis=1) == 1]
 
     def pairs(self, least: float, percent: int) -> Iterator[tuple[int, int]]:
-        """Members of the largest component meet only others."""
+        """Members of the largest component meet only others. Of two blocks, members of one meet those of the other."""
         names, which, count = np.unique(self.comp, return_inverse=True, return_counts=True)
         main = count.argmax()
-        for i in np.flatnonzero(which != main):
-            other = np.flatnonzero((which == main) | (which > which[i]))
+        blocks = self.side.any()
+        for i in np.flatnonzero(self.side == LEFT if blocks else which != main):
+            other = np.flatnonzero((self.side == RIGHT) & (which != which[i]) if blocks else (which == main) | (which > which[i]))
             other = other[100 * np.minimum(self.sizes[i], self.sizes[other]) >= percent * np.maximum(self.sizes[i], self.sizes[other])]
             other = self.first_here(i, other)
             other = other[(self.regs[other] == self.regs[i]).mean(axis=1) >= least]
@@ -195,6 +198,22 @@ def _cross(buckets: int, least: float, percent: int):
     return run
 
 
+def _block_pairs(large: DataFrame, block: int) -> DataFrame:
+    """``(key, band, id, comp, side)``: the members of each bucket once for every two blocks that meet, under a key of these two.
+
+    Blocks hold about ``block`` members, either of the bucket's largest component or outside it; the former do not meet
+    each other."""
+    counts = large.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    shape = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    shape = shape.select("key", "main", F.ceil((F.col("all") - F.col("most")) / block).alias("rest"), F.ceil(F.col("most") / block).alias("same"))
+    outside, dealt = F.col("comp") != F.col("main"), F.xxhash64("id")
+    own = F.when(outside, F.pmod(dealt, "rest")).otherwise(F.col("rest") + F.pmod(dealt, "same"))
+    others = F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("rest") + F.col("same") - 1).otherwise(F.col("rest") - 1))
+    rows = large.join(shape, "key").select("key", "band", "id", "comp", own.alias("own"), F.explode(others).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), WHOLE).when(F.col("own") < F.col("other"), LEFT).otherwise(RIGHT)
+    return rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "band", "id", "comp", side.alias("side"))
+
+
 def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,9 +256,11 @@ def near_duplicate_classes(
     the members) and components are formed. What is left to compare are members of *different* components in one
     bucket. Buckets of up to ``group_limit`` members are compared in one task: a pair counts in the bucket of its first
     common band only, members of the bucket's largest component meet only others, and pairs must be close by all their
-    registers and then by their smallest hashes, which are whole sets for most texts. Larger buckets are split by their
-    members' next bands until they are that small; there a pair at the threshold is missed if it shares no second band
-    (8e-5). Nothing is capped or dropped.
+    registers and then by their smallest hashes, which are whole sets for most texts. Larger buckets are dealt by their
+    ids' hashes to blocks of about half ``group_limit`` members, and every two blocks that can hold members of different
+    components meet in a task of their own, so the same pairs are compared whatever the limit; the work in such
+    a bucket grows with the product of its members and those outside its largest component. Nothing is capped or
+    dropped.
 
     Null and empty texts and texts of white space have no shingles, 0 as n_shingles, and form components of their own.
     A null id gives a null component and ``kept`` true. Repeated ids: each row is handled by its own text, and links
@@ -275,33 +296,21 @@ def near_duplicate_classes(
     links = confirmed(star, "star")
     labels = connected_components(links, scratch)
 
-    more: list[DataFrame] = []
-    level = members.select("key", "id", "size", F.array("band").alias("path"))
-    while True:
-        named = scratch.keep(level.join(labels, "id", "left").select("key", "id", "size", "path", F.coalesce("comp", "id").alias("comp")), "named")
-        mixed = scratch.keep(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
-        open_ = scratch.keep(named.join(mixed, "key"), "open")
-        scratch.drop(named, mixed)
-        few = open_.where(F.col("size") <= group_limit)
-        low = texts_of(few.select("id")).mapInArrow(_smallest(shingle), "id long, low binary")
-        few = few.join(regs, "id").join(low, "id").select("key", "path", "id", "comp", "n", "regs", "low")
-        pairs = few.repartition("key").sortWithinPartitions("key").mapInArrow(_cross(buckets, least, percent), "a long, b long")
-        more.append(confirmed(scratch.keep(pairs.distinct(), "cross-likely"), "cross"))
-        large = open_.where(F.col("size") > group_limit)
-        if large.isEmpty():
-            break
-        later = F.sequence(F.element_at("path", -1) + 1, F.lit(buckets // BAND_ROWS - 1))
-        later = F.when(F.element_at("path", -1) < buckets // BAND_ROWS - 1, later).otherwise(F.array().cast("array<int>"))
-        split = large.join(reps.select("id", "bands"), "id").select("id", "bands", F.explode(F.transform(later, lambda p: F.concat("path", F.array(p)))).alias("path"))
-        split = split.select(F.xxhash64(F.transform("path", lambda p: F.get("bands", p))).alias("key"), "id", "path")
-        split = scratch.keep(split, "split")
-        sizes = scratch.keep(split.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "split-sizes")
-        level = split.join(sizes, "key").select("key", "id", "size", "path")
-    every = links
-    for found in more:
-        every = every.union(found)
-    if any(not found.isEmpty() for found in more):
-        labels = connected_components(every, scratch)
+    named = members.select("key", "band", "id", "size").join(labels, "id", "left").select("key", "band", "id", "size", F.coalesce("comp", "id").alias("comp"))
+    named = scratch.keep(named, "named")
+    mixed = scratch.keep(named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "mixed")
+    open_ = scratch.keep(named.join(mixed, "key"), "open")
+    scratch.drop(named, mixed)
+    met = open_.where(F.col("size") <= group_limit).select("key", "band", "id", "comp", F.lit(WHOLE).alias("side"))
+    large = open_.where(F.col("size") > group_limit)
+    if not large.isEmpty():
+        met = met.union(_block_pairs(large, max(1, group_limit // 2)))
+    low = texts_of(open_.select("id")).mapInArrow(_smallest(shingle), "id long, low binary")
+    met = met.join(regs, "id").join(low, "id").select("key", "band", "id", "comp", "side", "n", "regs", "low")
+    pairs = met.repartition("key").sortWithinPartitions("key").mapInArrow(_cross(buckets, least, percent), "a long, b long")
+    crossed = confirmed(scratch.keep(pairs.distinct(), "cross-likely"), "cross")
+    if not crossed.isEmpty():
+        labels = connected_components(links.union(crossed), scratch)
     rep_of = classes.where("copies > 1").select("f1", "f2", "rep")
     out = sig.select("id", "n", "f1", "f2").join(rep_of, ["f1", "f2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
     out = out.join(labels.toDF("rep", "comp"), "rep", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep")).alias("component_id"))

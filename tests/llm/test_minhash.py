@@ -98,3 +98,16 @@ def test_components(spark):
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark))
     assert {(r.id, r.comp) for r in found.collect()} == {(x, root(x)) for x in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_large_buckets_are_compared_completely(spark):
+    """Pairs that share few bands are found in buckets of any size."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    hot = [word() for _ in range(24)]
+    rows = [(i, " ".join([*hot, *(word() for _ in range(rng.randint(8, 30)))])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda limit: {(r.doc_id, r.component_id) for r in minhash.near_duplicate_classes(docs, percent=43, group_limit=limit).collect()}
+    whole = run(4096)
+    assert 20 < len({c for _, c in whole}) < 150
+    assert run(8) == whole
