@@ -3,7 +3,8 @@
 A word seen in training scores by its smoothed log frequency in each language. An unseen word is scored by its
 character n-grams: at every place the longest n-gram that was seen is taken, each shorter length at a penalty. All
 counts are taken over all training rows; the model keeps a fixed number of the most frequent words and n-grams of each
-language, so its size does not depend on the input.
+language, each with its count in every language, so its size does not depend on the input; words and n-grams that are
+frequent in no language are scored as unseen.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_w
     """Learn from every row of ``docs`` with text and language. Words are runs of letters, lower-cased.
 
     At most ``top_words`` words and ``top_grams`` n-grams of each language reach the driver, chosen by frequency; the counts
-    themselves cover all rows. No such row gives a model without languages."""
+    themselves cover all rows, and those of a kept key are taken from every language, also where it is below that language's
+    cut. No such row gives a model without languages."""
     scratch = Scratch(docs.sparkSession)
     text = F.lower(F.regexp_replace(docs[text_col].cast("string"), r"[^\p{L}\p{M}]+", " "))
     words = docs.where(docs[lang_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), F.explode(F.split(text, " ")).alias("key"))
@@ -98,7 +100,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_w
 
     def top(table: DataFrame, limit: int) -> list[_Count]:
         totals = {r.lang: r.total for r in table.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
-        return [_Count(lang, r.key, r.n, totals[lang]) for lang in sorted(totals) for r in most_frequent(table.where(F.col("lang") == lang).select("key", "n"), limit)]
+        kept = sorted({r.key for lang in sorted(totals) for r in most_frequent(table.where(F.col("lang") == lang).select("key", "n"), limit)})
+        if not kept:
+            return []
+        keys = table.sparkSession.createDataFrame(pa.table({"key": pa.array(kept, pa.string())}))
+        return [_Count(r.lang, r.key, r.n, totals[r.lang]) for r in table.join(F.broadcast(keys), "key").select("lang", "key", "n").collect()]
 
     word_rows, gram_rows = top(counted, top_words), top(grams, top_grams)
     scratch.drop(counted, grams)

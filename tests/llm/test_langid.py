@@ -48,3 +48,10 @@ def test_without_training_rows(spark):
     row = langid.identify(docs, model).first()
     assert (row.lang_pred, row.score) == ("und", 0.0)
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_kept_words_have_the_counts_of_every_language(spark):
+    docs = spark.createDataFrame([("abc abc abc xyz", "l"), ("xyz xyz abc", "m")], "text string, lang string")
+    whole, cut = langid.train(docs), langid.train(docs, top_words=1)
+    assert cut.words == whole.words == {"abc": 0, "xyz": 1}
+    assert (cut.word_scores == whole.word_scores).all()
