@@ -26,6 +26,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(["article", "main"])
+CONTAINERS = frozenset("div section td center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 JUNK = (
     "ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|sidebar|side|menu|nav|navbar|navigation|breadcrumb|"
@@ -60,12 +61,15 @@ def _junk(tag: str, attributes: str, inside_main: bool) -> bool:
 
 
 class _Lines:
-    """Lines of a page: text, weight (length outside links) and whether they stand in an article or main element."""
+    """Lines of a page: text, weight (length outside links), whether they stand in an article or main element, and the open
+    containers around them."""
 
     def __init__(self):
         self.text: list[str] = []
         self.weight: list[int] = []
         self.main: list[bool] = []
+        self.inside: list[tuple[int, ...]] = []
+        self.chain: tuple[int, ...] = ()
         self._parts: list[str] = []
         self._linked = 0
 
@@ -81,18 +85,37 @@ class _Lines:
                 self.text.append(line)
                 self.weight.append(max(0, len(line) - self._linked))
                 self.main.append(main)
+                self.inside.append(self.chain)
             self._parts, self._linked = [], 0
 
     def gap(self) -> None:
         self.text += [""] * WINDOW
         self.weight += [0] * WINDOW
         self.main += [False] * WINDOW
+        self.inside += [()] * WINDOW
+
+    def bridged(self) -> list[int]:
+        """Numbers of the lines without the gaps between two lines of one container, or of a container and one within it."""
+        kept: list[int] = []
+        last = -1
+        for i, text in enumerate(self.text):
+            if text:
+                if last < 0:
+                    kept += range(i)
+                elif i > last + 1:
+                    outer, inner = sorted((self.inside[last], self.inside[i]), key=len)
+                    if outer != inner and (not outer or inner[: len(outer)] != outer):
+                        kept += range(last + 1, i)
+                kept.append(i)
+                last = i
+        return [*kept, *range(last + 1, len(self.text))]
 
 
 def lines(html: str) -> _Lines:
     """Strip markup. A dropped element ends at its own end tag, or where an article or main element begins."""
     out, at, main, links = _Lines(), 0, 0, 0
     skip, depth = "", 0
+    opened: list[tuple[str, int]] = []
     for token in _TOKEN.finditer(html):
         if not skip and token.start() > at:
             out.add(html[at : token.start()], links > 0)
@@ -127,6 +150,13 @@ def lines(html: str) -> _Lines:
             links = 0 if closing else 1
         elif tag not in INLINE:
             out.end(main > 0)
+            if tag in CONTAINERS:
+                if not closing:
+                    opened.append((tag, token.start()))
+                elif any(t == tag for t, _ in opened):
+                    while opened.pop()[0] != tag:
+                        pass
+                out.chain = tuple(k for _, k in opened)
             if tag in MAIN:
                 main = max(0, main - 1) if closing else main + 1
                 if not main:
@@ -160,9 +190,9 @@ def main_text(html: str | None, surge: int = SURGE, window: int = WINDOW) -> str
     """The article's text: white space inside a block is one space, blocks are joined in page order by one space.
 
     If the page marks its article or main element, only lines inside it weigh anything, so the regions are those of
-    the article, however short. Otherwise text inside links weighs nothing, and the regions that hold at least a
-    quarter as much as the largest are kept; without any surge, the largest stretch is. Null, empty and text-free
-    pages give an empty text."""
+    the article, however short. Otherwise text inside links weighs nothing, dropped elements between lines of one
+    container are no gap, and the regions with at least as much text outside links as inside are kept; without any
+    such, the largest is. Null, empty and text-free pages give an empty text."""
     if not html:
         return ""
     page = lines(html)
@@ -170,10 +200,12 @@ def main_text(html: str | None, surge: int = SURGE, window: int = WINDOW) -> str
         weight = [len(t) if m else 0 for t, m in zip(page.text, page.main, strict=True)]
         kept = regions(weight, 1, window)
     else:
+        order = page.bridged()
+        page.text, page.main, page.weight = ([column[i] for i in order] for column in (page.text, page.main, page.weight))
         weight = page.weight
         kept = regions(weight, surge, window) or sorted(regions(weight, 1, window), key=lambda r: -sum(weight[r[0] : r[1]]))[:1]
-        most = max((sum(weight[a:b]) for a, b in kept), default=0)
-        kept = [(a, b) for a, b in kept if 4 * sum(weight[a:b]) >= most]
+        dense = [(a, b) for a, b in kept if 2 * sum(weight[a:b]) >= sum(map(len, page.text[a:b]))]
+        kept = dense or sorted(kept, key=lambda r: -sum(weight[r[0] : r[1]]))[:1]
     return " ".join(t for a, b in kept for t, m in zip(page.text[a:b], page.main[a:b], strict=True) if t and (m or not any(page.main)))
 
 

@@ -45,3 +45,11 @@ def test_table(spark):
     assert html.extract_main_text(pages.limit(0)).count() == 0
     long = "<article>" + "<p>word &amp; word</p>" * 50_000 + "</article>"
     assert len(html.main_text(long)) == 50_000 * 12 - 1
+
+
+def test_dropped_elements_do_not_end_an_article_without_markup():
+    long, late = ("Sentence of the article's first part. " * 80).strip(), ("Sentence of its last part. " * 22).strip()
+    page = f'<body><div class="menu">Menu</div><div><p>{long}</p><div class="ad">Buy now</div><p>{late}</p><form>Name</form><p>The end.</p></div><footer>end</footer>'
+    assert html.main_text(page) == f"{long} {late} The end."
+    apart = f'<body><div>{long}</div><div class="ad">Buy</div><div>{late}</div><div class="ad">Buy</div><div><a href="/">{late}</a> and more text, but less than that within links, so none of an article.</div>'
+    assert html.main_text(apart) == f"{long} {late}"
