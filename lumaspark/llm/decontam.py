@@ -8,12 +8,17 @@ behind them must then correspond: one value of the item to one value of the docu
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"
+#: Stands before a capitalised word that may be a name or the start of a sentence.
+START = "\u0005"
 
 # Units of measure that are replaced after a number.
 UNITS = (
@@ -24,7 +29,8 @@ _NAME_RUN = r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
 _NAMES = rf" (?<=[\p{{L}}\p{{N}}],? ){_NAME_RUN}"
 _DIGITS = r"\p{N}+(?:[.,:/-]\p{N}+)*"
 _MEASURES = rf"({_DIGITS}) ?({UNITS})\b"
-_DROP = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+"
+_STARTS = rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)"
+_DROP = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{START}]+"
 
 #: Rows of benchmark windows (8 bytes of hash, two numbers) up to which they are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 250_000
@@ -36,15 +42,29 @@ def _named(text: Column) -> Column:
 
 def templates(rows: DataFrame, text: str = "text", words: str = "words") -> DataFrame:
     """``rows`` with the template of a text as an array of words; empty for null and for texts without letters and digits.
+    ``starts`` is the same with START before capitalised words that are no placeholders; empty without such words.
 
     Every step is a column of its own, so none is computed twice."""
     marked = F.when(F.col("_t").rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace("_t", _MEASURES, f" {NUMBER} {UNIT} "), _DIGITS, f" {NUMBER} ")).otherwise(F.col("_t"))
     spread = F.when(F.col("_t").contains(NAME), F.replace("_t", F.lit(NAME), F.lit(f" {NAME} "))).otherwise(F.col("_t"))
     out = rows.withColumn("_t", _named(F.col(text)))
+    out = out.withColumn("_t", F.regexp_replace("_t", _STARTS, f"{START}$1"))
     out = out.withColumn("_t", marked).withColumn("_t", spread)
     out = out.withColumn("_t", F.trim(F.lower(F.regexp_replace("_t", _DROP, " "))))
     none = F.array().cast("array<string>")
-    return out.withColumn(words, F.when(F.coalesce(F.col("_t"), F.lit("")) == "", none).otherwise(F.split("_t", " "))).drop("_t")
+    out = out.withColumn("starts", F.when(F.coalesce(F.col("_t").contains(START), F.lit(False)), F.split("_t", " ")).otherwise(none))
+    return out.withColumn(words, F.when(F.coalesce(F.col("_t"), F.lit("")) == "", none).otherwise(F.split(F.translate("_t", START, ""), " "))).drop("_t")
+
+
+def _as_names(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``kept``, ``marked`` and ``named``: places, words and template words where a capitalised word with START
+    is a name and the rest of its run belongs to it."""
+    size = F.size("starts")
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    rest = lambda i: (F.get("starts", i) == NAME) & F.coalesce(F.get("starts", i - 1).startswith(START), F.lit(False))
+    out = rows.withColumn("kept", F.filter(places, lambda i: ~rest(i)))
+    out = out.withColumn("marked", F.transform("kept", lambda i: F.get("starts", i)))
+    return out.withColumn("named", F.transform("marked", lambda x: F.when(x.startswith(START), F.lit(NAME)).otherwise(x)))
 
 
 def values(text: Column) -> Column:
@@ -57,13 +77,17 @@ def values(text: Column) -> Column:
     )
 
 
-def _windows(words: Column, size: int) -> Column:
-    """(size, doc_place, hash) of each window of ``size`` words of which at least half are no placeholders.
+def _windows(words: Column, size: int, marked: Column | None = None) -> Column:
+    """(size, doc_place, hash) of each window of ``size`` words of which at least half are no placeholders; with ``marked``
+    only those that hold a word with START there.
 
     Words are taken by index, so a text of n words takes n steps; the hash of the words is that of their array."""
     marks = (NAME, NUMBER, UNIT)
     enough = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
 
+    if marked is not None:
+        enough = F.filter(enough, lambda i: reduce(or_, [F.get(marked, i + k).startswith(START) for k in range(size)]))
+
     def window(i: Column) -> Column:
         return F.struct(F.lit(size).alias("size"), (i + 1).alias("doc_place"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("hash"))
 
@@ -106,7 +130,9 @@ def contaminated(
     ``consistent`` of all (half, as a document may hold an item twice with different values). ``n_matched`` counts
     distinct item windows; ``n_slots`` and ``n_consistent`` count meetings, 0 where there are no placeholders.
 
-    An item's first word counts as written and also as a name, as it may follow other words in a document. Null, empty
+    An item's first word counts as written and also as a name, as it may follow other words in a document. So do
+    capitalised words at the start of sentences, lines, quotes and brackets, on both sides: a window matches as written
+    or with all of them as names; such names are not compared as placeholders. Null, empty
     and word-free texts and items match nothing; null ids are not reported; rows that share an id count as one
     document or item; other columns are ignored, whatever their names; an empty table on either side gives an
     empty table.
@@ -117,9 +143,9 @@ def contaminated(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id is not null")
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text")).where("item_id is not null")
-    words = templates(items).select("item_id", "words", values(F.col("text")).alias("found"))
+    text = docs.select(docs[id_col].cast("long").alias("doc_id"), F.translate(docs[text_col].cast("string"), START, " ").alias("text")).where("doc_id is not null")
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), F.translate(benchmark[item_text_col].cast("string"), START, " ").alias("text")).where("item_id is not null")
+    words = templates(items).select("item_id", "words", "starts", values(F.col("text")).alias("found"))
     words = words.where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(window)))
     own = words.select("item_id", "words", "found", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("place"))
     cut = F.expr("slice(words, place, size)")
@@ -129,13 +155,17 @@ def contaminated(
     )
     as_name = F.concat(F.array(F.lit(NAME)), F.expr("slice(cut, 2, size)"))
     first = own.where("place = 1 and size > 1 and element_at(cut, 1) <> '" + NAME + "'").select("item_id", "size", "place", F.xxhash64(as_name).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
-    items_kept = scratch.keep(own.drop("cut").unionByName(first), "item-windows")
+    named = _as_names(words.where(F.size("starts") > 0).select("item_id", "starts")).withColumn("size", F.least(F.size("named"), F.lit(window)))
+    named = named.select("*", F.explode(F.sequence(F.lit(1), F.size("named") - F.col("size") + 1)).alias("at"))
+    named = named.where(F.exists(F.expr("slice(marked, at, size)"), lambda x: x.startswith(START))).select("item_id", "size", (F.get("kept", F.col("at") - 1) + 1).alias("place"), F.expr("slice(named, at, size)").alias("cut"))
+    named = named.where(solid).select("item_id", "size", "place", F.xxhash64("cut").alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
+    items_kept = scratch.keep(own.drop("cut").unionByName(first).unionByName(named).dropDuplicates(["item_id", "size", "place", "hash"]), "item-windows")
     shape = items_kept.agg(F.count("*").alias("rows"), F.collect_set("size").alias("sizes"), F.max(F.coalesce(F.size("slots"), F.lit(0))).alias("slots")).first()
     totals = own.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"))
 
-    canon = templates(text).select("doc_id", "words")
+    canon = _as_names(templates(text).select("doc_id", "words", "starts")).select("doc_id", "words", "marked", "named")
     sizes = sorted(shape["sizes"] or [window])
-    places = [_windows(F.col("words"), size) for size in sizes]
+    places = [w for size in sizes for w in (_windows(F.col("words"), size), _windows(F.col("named"), size, F.col("marked")))]
     spread = canon.select("doc_id", F.explode(F.concat(*places)).alias("w")).select("doc_id", "w.size", "w.doc_place", "w.hash")
     side = items_kept if shape["rows"] > BROADCAST_ROWS else F.broadcast(items_kept)
     hits = spread.join(side, ["size", "hash"]).select("doc_id", "doc_place", "item_id", "place", "size", "hash", "slots")

@@ -90,3 +90,12 @@ def test_plan_is_native(spark):
     d = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = decontam.contaminated(d, d.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_names_at_sentence_starts(spark):
+    item = "Tom has 12 apples. Anna gives him 5 more. Clara Smith takes 3 of the apples away. Peter asks how many are left now."
+    docs = [
+        (1, "Intro. Kate has 7 apples. Paul gives him 9 more. Maria takes 2 of the apples away. Oscar Brown asks how many are left now. End."),
+        (2, "Intro. Kate sees 7 pears. Paul sells him 9 boats. Maria paints 2 of the walls red. Oscar asks nobody at all about it."),
+    ]
+    assert set(pairs(spark, docs, [(1, item)])) == {(1, 1)}
