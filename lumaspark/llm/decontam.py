@@ -77,7 +77,12 @@ def values(text: Column) -> Column:
     )
 
 
-def _windows(words: Column, size: int, marked: Column | None = None) -> Column:
+def _plain(text: str) -> Column:
+    """Words of a text as written, without placeholders, in lower case."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
+
+
+def _windows(words: Column, size: int, marked: Column | None = None, tag: int | None = None) -> Column:
     """(size, doc_place, hash) of each window of ``size`` words of which at least half are no placeholders; with ``marked``
     only those that hold a word with START there.
 
@@ -89,7 +94,7 @@ def _windows(words: Column, size: int, marked: Column | None = None) -> Column:
         enough = F.filter(enough, lambda i: reduce(or_, [F.get(marked, i + k).startswith(START) for k in range(size)]))
 
     def window(i: Column) -> Column:
-        return F.struct(F.lit(size).alias("size"), (i + 1).alias("doc_place"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("hash"))
+        return F.struct(F.lit(size if tag is None else tag).alias("size"), (i + 1).alias("doc_place"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("hash"))
 
     def solid(w: Column) -> Column:
         return sum(F.get(words, w["doc_place"] + (k - 1)).isin(*marks).cast("int") for k in range(size)) * 2 <= size
@@ -132,7 +137,8 @@ def contaminated(
 
     An item's first word counts as written and also as a name, as it may follow other words in a document. So do
     capitalised words at the start of sentences, lines, quotes and brackets, on both sides: a window matches as written
-    or with all of them as names; such names are not compared as placeholders. Null, empty
+    or with all of them as names; such names are not compared as placeholders. Windows of mostly placeholders do not
+    count; an item that has no others is looked for as written, by windows of its own words. Null, empty
     and word-free texts and items match nothing; null ids are not reported; rows that share an id count as one
     document or item; other columns are ignored, whatever their names; an empty table on either side gives an
     empty table.
@@ -145,7 +151,7 @@ def contaminated(
     scratch = Scratch(spark)
     text = docs.select(docs[id_col].cast("long").alias("doc_id"), F.translate(docs[text_col].cast("string"), START, " ").alias("text")).where("doc_id is not null")
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), F.translate(benchmark[item_text_col].cast("string"), START, " ").alias("text")).where("item_id is not null")
-    words = templates(items).select("item_id", "words", "starts", values(F.col("text")).alias("found"))
+    words = templates(items).select("item_id", "text", "words", "starts", values(F.col("text")).alias("found"))
     words = words.where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(window)))
     own = words.select("item_id", "words", "found", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("place"))
     cut = F.expr("slice(words, place, size)")
@@ -155,17 +161,25 @@ def contaminated(
     )
     as_name = F.concat(F.array(F.lit(NAME)), F.expr("slice(cut, 2, size)"))
     first = own.where("place = 1 and size > 1 and element_at(cut, 1) <> '" + NAME + "'").select("item_id", "size", "place", F.xxhash64(as_name).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
-    named = _as_names(words.where(F.size("starts") > 0).select("item_id", "starts")).withColumn("size", F.least(F.size("named"), F.lit(window)))
+    literal = words.join(own.select("item_id").distinct(), "item_id", "left_anti").select("item_id", _plain("text").alias("plain"))
+    literal = literal.where(F.size("plain") > 0).withColumn("size", F.least(F.size("plain"), F.lit(window)))
+    literal = literal.select("item_id", "plain", "size", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)).alias("place"))
+    literal = literal.select("item_id", (-F.col("size")).alias("size"), "place", F.xxhash64(F.expr("slice(plain, place, size)")).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
+    literal = scratch.keep(literal, "literal-windows")
+    named = _as_names(words.join(literal.select("item_id").distinct(), "item_id", "left_anti").where(F.size("starts") > 0).select("item_id", "starts")).withColumn("size", F.least(F.size("named"), F.lit(window)))
     named = named.select("*", F.explode(F.sequence(F.lit(1), F.size("named") - F.col("size") + 1)).alias("at"))
     named = named.where(F.exists(F.expr("slice(marked, at, size)"), lambda x: x.startswith(START))).select("item_id", "size", (F.get("kept", F.col("at") - 1) + 1).alias("place"), F.expr("slice(named, at, size)").alias("cut"))
     named = named.where(solid).select("item_id", "size", "place", F.xxhash64("cut").alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
-    items_kept = scratch.keep(own.drop("cut").unionByName(first).unionByName(named).dropDuplicates(["item_id", "size", "place", "hash"]), "item-windows")
+    items_kept = scratch.keep(own.drop("cut").unionByName(first).unionByName(named).unionByName(literal).dropDuplicates(["item_id", "size", "place", "hash"]), "item-windows")
     shape = items_kept.agg(F.count("*").alias("rows"), F.collect_set("size").alias("sizes"), F.max(F.coalesce(F.size("slots"), F.lit(0))).alias("slots")).first()
-    totals = own.groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"))
+    totals = own.select("item_id", "hash").union(literal.select("item_id", "hash")).groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"))
 
-    canon = _as_names(templates(text).select("doc_id", "words", "starts")).select("doc_id", "words", "marked", "named")
     sizes = sorted(shape["sizes"] or [window])
-    places = [w for size in sizes for w in (_windows(F.col("words"), size), _windows(F.col("named"), size, F.col("marked")))]
+    exact = [-size for size in sizes if size < 0]
+    canon = templates(text).withColumns({"plain": _plain("text")} if exact else {})
+    canon = _as_names(canon).select("doc_id", "words", "marked", "named", *(["plain"] if exact else []))
+    places = [_windows(F.col("plain"), size, tag=-size) for size in exact]
+    places += [w for size in sizes if size > 0 for w in (_windows(F.col("words"), size), _windows(F.col("named"), size, F.col("marked")))]
     spread = canon.select("doc_id", F.explode(F.concat(*places)).alias("w")).select("doc_id", "w.size", "w.doc_place", "w.hash")
     side = items_kept if shape["rows"] > BROADCAST_ROWS else F.broadcast(items_kept)
     hits = spread.join(side, ["size", "hash"]).select("doc_id", "doc_place", "item_id", "place", "size", "hash", "slots")

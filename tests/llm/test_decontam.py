@@ -99,3 +99,11 @@ def test_names_at_sentence_starts(spark):
         (2, "Intro. Kate sees 7 pears. Paul sells him 9 boats. Maria paints 2 of the walls red. Oscar asks nobody at all about it."),
     ]
     assert set(pairs(spark, docs, [(1, item)])) == {(1, 1)}
+
+
+def test_items_of_placeholders_are_found_as_written(spark):
+    items = [(1, "12 + 7 - 5 * 3 = 4"), (2, "3 kg, 4 km, 5 s, 6 m"), (3, ITEM)]
+    docs = [(1, "Before: 12 + 7 - 5 * 3 = 4, after."), (2, "It has 13 + 8 - 6 * 2 = 9 of them."), (3, "List: 3 kg, 4 km, 5 s, 6 m."), (4, ITEM)]
+    found = pairs(spark, docs, items)
+    assert set(found) == {(1, 1), (3, 2), (4, 3)}
+    assert found[1, 1].n_windows == found[1, 1].n_matched == 1
