@@ -36,9 +36,13 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id."""
-    classes = minhash.near_duplicate_classes(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(classes, docs.doc_id == classes["_gone"], "left_anti").select(*_columns(docs))
+    """One row of each group stays, that of the smallest id; rows are numbered, so ids may be repeated or null."""
+    columns = _columns(docs)
+    rows = Scratch(spark).keep(docs.select(*columns, F.monotonically_increasing_id().alias("_row")), "numbered")
+    classes = minhash.near_duplicate_classes(rows, id_col="_row").select("_row", "component_id")
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row")
+    kept = rows.select("_row", "doc_id").join(classes, "_row").groupBy("component_id").agg(first).select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

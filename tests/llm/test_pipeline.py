@@ -72,3 +72,10 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for query in (queries.op4_toxicity, queries.op10_language_id, queries.op7_benchmark_decontamination, queries.op1_minhash_near_dedup):
         assert query(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_a_group_stays_with_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(5, text("a")), (1, text("a")), (1, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (2, text("c")), (3, ""), (4, "")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, text("a")), (None, text("b")), (2, text("c")), (3, ""), (4, "")], key=str)
