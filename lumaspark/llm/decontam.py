@@ -25,14 +25,16 @@ UNITS = (
     "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|yd|l|ml|s|sec|seconds|min|minutes|h|hr|hours|days|weeks|months|years|mph|kmh|hz|khz|mhz|ghz|"
     "w|kw|v|a|j|kj|n|pa|k|c|f|percent|degrees|dollars|euros|cents|pounds|meters|metres|miles|grams|liters|litres"
 )
-_NAME_RUN = r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+# Possessive throughout: a repeated group that could give back would take a stack frame for each name or number of a run.
+_NAME_RUN = r"(\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+)"
 _NAMES = rf" (?<=[\p{{L}}\p{{N}}],? ){_NAME_RUN}"
-_DIGITS = r"\p{N}+(?:[.,:/-]\p{N}+)*"
-_MEASURES = rf"({_DIGITS}) ?({UNITS})\b"
+_DIGITS = r"\p{N}++(?:[.,:/-]\p{N}++)*+"
+#: Only from a run's start: a run without a unit behind it has none from any later place either.
+_MEASURES = rf"(?<!\p{{N}})(?<!\p{{N}}[.,:/-])({_DIGITS}) ?({UNITS})\b"
 _STARTS = rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)"
 _DROP = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{START}]+"
 
-#: Rows of benchmark windows (8 bytes of hash, two numbers) up to which they are broadcast; more are joined by shuffle.
+#: Benchmark windows (8 bytes of hash, two numbers) and their placeholder values up to which they are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 250_000
 
 
@@ -83,18 +85,19 @@ def _plain(text: str) -> Column:
 
 
 def _windows(words: Column, size: int, marked: Column | None = None, tag: int | None = None) -> Column:
-    """(size, doc_place, hash) of each window of ``size`` words of which at least half are no placeholders; with ``marked``
-    only those that hold a word with START there.
+    """(size, doc_place, hash, own) of each window of ``size`` words of which at least half are no placeholders; with ``marked``
+    only those that hold a word with START there. ``own``: places count the template's own words.
 
     Words are taken by index, so a text of n words takes n steps; the hash of the words is that of their array."""
     marks = (NAME, NUMBER, UNIT)
+    own = F.lit(marked is None and tag is None)
     enough = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
 
     if marked is not None:
         enough = F.filter(enough, lambda i: reduce(or_, [F.get(marked, i + k).startswith(START) for k in range(size)]))
 
     def window(i: Column) -> Column:
-        return F.struct(F.lit(size if tag is None else tag).alias("size"), (i + 1).alias("doc_place"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("hash"))
+        return F.struct(F.lit(size if tag is None else tag).alias("size"), (i + 1).alias("doc_place"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("hash"), own.alias("own"))
 
     def solid(w: Column) -> Column:
         return sum(F.get(words, w["doc_place"] + (k - 1)).isin(*marks).cast("int") for k in range(size)) * 2 <= size
@@ -103,17 +106,16 @@ def _windows(words: Column, size: int, marked: Column | None = None, tag: int |
     return F.when(F.arrays_overlap(words, F.array(*map(F.lit, marks))), F.filter(every, solid)).otherwise(every)
 
 
-def _slots(words: Column, found: Column, place: Column, size: Column) -> Column:
-    """Values of the placeholders of one window, each with its type, in order."""
+def _slots(words: Column, found: Column) -> Column:
+    """(place, value) of every placeholder of a text, the value with its type before it; places count from 1."""
 
-    def nth(i: Column) -> Column:
-        word = F.element_at(words, i)
-        rank = F.size(F.filter(F.slice(words, 1, i), lambda x: x == word))
-        kind = F.when(word == NAME, found["names"]).when(word == NUMBER, found["numbers"]).otherwise(found["units"])
-        return F.concat(word, F.coalesce(F.get(kind, rank - 1), F.lit("")))
+    def of_kind(mark: str, kind: str) -> Column:
+        size = F.size(words)
+        places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        own = F.filter(places, lambda i: F.element_at(words, i) == mark)
+        return F.transform(own, lambda i, k: F.struct(i.alias("place"), F.concat(F.lit(mark), F.coalesce(F.get(found[kind], k), F.lit(""))).alias("value")))
 
-    inside = F.sequence(place, place + size - 1)
-    return F.transform(F.filter(inside, lambda i: F.element_at(words, i).isin(NAME, NUMBER, UNIT)), nth)
+    return F.concat(of_kind(NAME, "names"), of_kind(NUMBER, "numbers"), of_kind(UNIT, "units"))
 
 
 def contaminated(
@@ -122,6 +124,7 @@ def contaminated(
     window: int = 6,
     least: float = 0.5,
     consistent: float = 0.5,
+    least_words: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -138,63 +141,77 @@ def contaminated(
     An item's first word counts as written and also as a name, as it may follow other words in a document. So do
     capitalised words at the start of sentences, lines, quotes and brackets, on both sides: a window matches as written
     or with all of them as names; such names are not compared as placeholders. Windows of mostly placeholders do not
-    count; an item that has no others is looked for as written, by windows of its own words. Null, empty
-    and word-free texts and items match nothing; null ids are not reported; rows that share an id count as one
-    document or item; other columns are ignored, whatever their names; an empty table on either side gives an
-    empty table.
-
-    Only hashes that occur in the benchmark leave a task. The benchmark's windows are counted first and broadcast only up
-    to BROADCAST_ROWS, beyond that the join shuffles. Placeholders are compared in a second pass over the
-    matched documents, which is planned only if the benchmark has any.
+    count; an item that has no others is looked for as written, by windows of its own words. Items of fewer than
+    ``least_words`` words are no evidence and match nothing, nor do null, empty and word-free texts and items. Very long
+    texts, runs of names or numbers and lines without an end are handled whole, in steps that grow with their length.
+    Null ids are not reported; rows that share an id count as one document or item, repeated rows change nothing; ties for
+    a value's most frequent meeting count the same; other columns are ignored, whatever their names; an empty table
+    on either side gives an empty table.
+
+    Only hashes that occur in the benchmark leave a task. The benchmark's windows are counted with their placeholder values
+    first and broadcast only up to BROADCAST_ROWS, beyond that the join shuffles. Placeholders are compared in a second pass
+    over the matched documents, place by place, which is planned only if the benchmark has any.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    text = docs.select(docs[id_col].cast("long").alias("doc_id"), F.translate(docs[text_col].cast("string"), START, " ").alias("text")).where("doc_id is not null")
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), F.translate(benchmark[item_text_col].cast("string"), START, " ").alias("text")).where("item_id is not null")
+    marks = NAME + NUMBER + UNIT + START
+
+    def given(table: DataFrame, key: str, column: str, name: str) -> DataFrame:
+        plain = F.translate(table[column].cast("string"), marks, " " * len(marks))
+        return table.select(table[key].cast("long").alias(name), plain.alias("text")).where(F.col(name).isNotNull())
+
+    text = given(docs, id_col, text_col, "doc_id").withColumn("copy", F.xxhash64("text"))
+    items = given(benchmark, item_col, item_text_col, "item_id")
+    none = F.lit(None).cast("array<struct<at:int,value:string>>").alias("slots")
     words = templates(items).select("item_id", "text", "words", "starts", values(F.col("text")).alias("found"))
-    words = words.where(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(window)))
-    own = words.select("item_id", "words", "found", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("place"))
+    words = words.where(F.size("words") >= max(1, least_words)).withColumn("size", F.least(F.size("words"), F.lit(window)))
+    own = words.withColumn("every", _slots(F.col("words"), F.col("found")))
+    own = own.select("item_id", "words", "every", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("place"))
     cut = F.expr("slice(words, place, size)")
     solid = F.size(F.filter(cut, lambda x: ~x.isin(NAME, NUMBER, UNIT))) * 2 >= F.col("size")
-    own = own.where(solid).select(
-        "item_id", "size", "place", F.xxhash64(cut).alias("hash"), _slots(F.col("words"), F.col("found"), F.col("place"), F.col("size")).alias("slots"), cut.alias("cut")
-    )
+    inside = F.filter("every", lambda s: (s["place"] >= F.col("place")) & (s["place"] < F.col("place") + F.col("size")))
+    slots = F.transform(inside, lambda s: F.struct((s["place"] - F.col("place")).alias("at"), s["value"].alias("value")))
+    own = own.where(solid).select("item_id", "size", "place", F.xxhash64(cut).alias("hash"), slots.alias("slots"), cut.alias("cut"))
     as_name = F.concat(F.array(F.lit(NAME)), F.expr("slice(cut, 2, size)"))
-    first = own.where("place = 1 and size > 1 and element_at(cut, 1) <> '" + NAME + "'").select("item_id", "size", "place", F.xxhash64(as_name).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
+    first = own.where("place = 1 and size > 1 and element_at(cut, 1) <> '" + NAME + "'").select("item_id", "size", "place", F.xxhash64(as_name).alias("hash"), none)
     literal = words.join(own.select("item_id").distinct(), "item_id", "left_anti").select("item_id", _plain("text").alias("plain"))
-    literal = literal.where(F.size("plain") > 0).withColumn("size", F.least(F.size("plain"), F.lit(window)))
+    literal = literal.where(F.size("plain") >= max(1, least_words)).withColumn("size", F.least(F.size("plain"), F.lit(window)))
     literal = literal.select("item_id", "plain", "size", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)).alias("place"))
-    literal = literal.select("item_id", (-F.col("size")).alias("size"), "place", F.xxhash64(F.expr("slice(plain, place, size)")).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
+    literal = literal.select("item_id", (-F.col("size")).alias("size"), "place", F.xxhash64(F.expr("slice(plain, place, size)")).alias("hash"), none)
     literal = scratch.keep(literal, "literal-windows")
     named = _as_names(words.join(literal.select("item_id").distinct(), "item_id", "left_anti").where(F.size("starts") > 0).select("item_id", "starts")).withColumn("size", F.least(F.size("named"), F.lit(window)))
     named = named.select("*", F.explode(F.sequence(F.lit(1), F.size("named") - F.col("size") + 1)).alias("at"))
     named = named.where(F.exists(F.expr("slice(marked, at, size)"), lambda x: x.startswith(START))).select("item_id", "size", (F.get("kept", F.col("at") - 1) + 1).alias("place"), F.expr("slice(named, at, size)").alias("cut"))
-    named = named.where(solid).select("item_id", "size", "place", F.xxhash64("cut").alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
+    named = named.where(solid).select("item_id", "size", "place", F.xxhash64("cut").alias("hash"), none)
     items_kept = scratch.keep(own.drop("cut").unionByName(first).unionByName(named).unionByName(literal).dropDuplicates(["item_id", "size", "place", "hash"]), "item-windows")
-    shape = items_kept.agg(F.count("*").alias("rows"), F.collect_set("size").alias("sizes"), F.max(F.coalesce(F.size("slots"), F.lit(0))).alias("slots")).first()
+    weight = F.sum(1 + F.greatest(F.lit(0), F.coalesce(F.size("slots"), F.lit(0))))
+    shape = items_kept.agg(weight.alias("weight"), F.collect_set("size").alias("sizes"), F.max(F.coalesce(F.size("slots"), F.lit(0))).alias("slots")).first()
     totals = own.select("item_id", "hash").union(literal.select("item_id", "hash")).groupBy("item_id").agg(F.countDistinct("hash").alias("n_windows"))
 
     sizes = sorted(shape["sizes"] or [window])
     exact = [-size for size in sizes if size < 0]
     canon = templates(text).withColumns({"plain": _plain("text")} if exact else {})
-    canon = _as_names(canon).select("doc_id", "words", "marked", "named", *(["plain"] if exact else []))
+    canon = _as_names(canon).select("doc_id", "copy", "words", "marked", "named", *(["plain"] if exact else []))
     places = [_windows(F.col("plain"), size, tag=-size) for size in exact]
     places += [w for size in sizes if size > 0 for w in (_windows(F.col("words"), size), _windows(F.col("named"), size, F.col("marked")))]
-    spread = canon.select("doc_id", F.explode(F.concat(*places)).alias("w")).select("doc_id", "w.size", "w.doc_place", "w.hash")
-    side = items_kept if shape["rows"] > BROADCAST_ROWS else F.broadcast(items_kept)
-    hits = spread.join(side, ["size", "hash"]).select("doc_id", "doc_place", "item_id", "place", "size", "hash", "slots")
+    spread = canon.select("doc_id", "copy", F.explode(F.concat(*places)).alias("w")).select("doc_id", "copy", "w.*")
+    few = (shape["weight"] or 0) <= BROADCAST_ROWS
+    hits = spread.join(F.broadcast(items_kept) if few else items_kept, ["size", "hash"]).select("doc_id", "copy", "doc_place", "own", "item_id", "place", "slots")
     hits = scratch.keep(hits, "hits")
     matched = hits.join(totals, "item_id")
     found = matched.groupBy("doc_id", "item_id", "n_windows").agg(F.countDistinct("place").alias("n_matched")).where(F.col("n_matched") >= least * F.col("n_windows"))
-    if not shape["slots"]:
+    if (shape["slots"] or 0) <= 0:
         return found.select("doc_id", "item_id", "n_windows", "n_matched", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("n_consistent"))
     pairs = scratch.keep(found, "pairs")
-    wanted = hits.where(F.size("slots") > 0).join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    again = templates(text.join(wanted.select("doc_id").distinct(), "doc_id")).select("doc_id", "words", values(F.col("text")).alias("found"))
-    met = wanted.join(again, "doc_id").where(F.xxhash64(F.expr("slice(words, doc_place, size)")) == F.col("hash"))
-    met = met.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("slots").alias("item"), _slots(F.col("words"), F.col("found"), F.col("doc_place"), F.col("size")).alias("doc"))).alias("s"))
-    counts = met.groupBy("doc_id", "item_id", F.col("s.item").alias("item"), F.col("s.doc").alias("doc")).agg(F.count("*").alias("n"))
+    wanted = hits.where(F.col("own") & (F.size("slots") > 0)).join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"])
+    wanted = wanted.dropDuplicates(["doc_id", "copy", "doc_place", "item_id", "place"])
+    wanted = wanted.select("doc_id", "copy", "item_id", "doc_place", F.explode("slots").alias("s")).select("doc_id", "copy", "item_id", (F.col("doc_place") + F.col("s.at")).alias("place"), F.col("s.value").alias("item"))
+    again = text.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "copy"])
+    again = templates(again).withColumn("found", values(F.col("text")))
+    again = again.select("doc_id", "copy", F.explode(_slots(F.col("words"), F.col("found"))).alias("s")).select("doc_id", "copy", "s.place", F.col("s.value").alias("doc"))
+    met = wanted.join(again, ["doc_id", "copy", "place"])
+    counts = met.groupBy("doc_id", "item_id", "item", "doc").agg(F.count("*").alias("n"))
     best = counts.groupBy("doc_id", "item_id", "item").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    slots = best.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), F.sum("most").alias("n_consistent"))
-    out = pairs.join(slots, ["doc_id", "item_id"], "left").na.fill(0, ["n_slots", "n_consistent"])
+    compared = best.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), F.sum("most").alias("n_consistent"))
+    out = pairs.join(compared, ["doc_id", "item_id"], "left").na.fill(0, ["n_slots", "n_consistent"])
     return out.where(F.col("n_consistent") >= consistent * F.col("n_slots")).select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "n_consistent")

@@ -151,18 +151,24 @@ from ruled left join bounds using (host)
 """
 
 
+# Typed without the possessive forms of the operator: the same matches, as nothing follows a run that it could give back to.
+_SQL_RUN = r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+_SQL_DIGITS = r"\p{N}+(?:[.,:/-]\p{N}+)*"
+_SQL_MEASURES = rf"({_SQL_DIGITS}) ?({decontam.UNITS})\b"
+
+
 def _template_sql(source: str, key: str) -> str:
     return f"""select {key}, string_split(t, ' ') as words from (
       select {key}, trim(lower(regexp_replace(replace(t, chr(2), concat(' ', chr(2), ' ')), concat('[^\\p{{L}}\\p{{N}}', {_MARKS}, ']+'), ' ', 'g'))) as t from (
-        select {key}, case when regexp_matches(t, '\\p{{N}}') then regexp_replace(regexp_replace(t, '{decontam._MEASURES}', concat(' ', chr(3), ' ', chr(4), ' '), 'g'),
-          '{decontam._DIGITS}', concat(' ', chr(3), ' '), 'g') else t end as t
+        select {key}, case when regexp_matches(t, '\\p{{N}}') then regexp_replace(regexp_replace(t, '{_SQL_MEASURES}', concat(' ', chr(3), ' ', chr(4), ' '), 'g'),
+          '{_SQL_DIGITS}', concat(' ', chr(3), ' '), 'g') else t end as t
         from (select {key}, {_NAMED_SQL} as t from {source} where text is not null and {key} is not null))) where t <> ''"""
 
 
 #: Without lookbehind a name right after another one is found in a second pass.
 _NAMED_SQL = (
-    f"regexp_replace(regexp_replace(text, '([\\p{{L}}\\p{{N}}],? ){decontam._NAME_RUN}', concat('\\1', chr(2)), 'g'), "
-    f"concat('([\\p{{L}}\\p{{N}}', chr(2), '],? ){decontam._NAME_RUN}'), concat('\\1', chr(2)), 'g')"
+    f"regexp_replace(regexp_replace(text, '([\\p{{L}}\\p{{N}}],? ){_SQL_RUN}', concat('\\1', chr(2)), 'g'), "
+    f"concat('([\\p{{L}}\\p{{N}}', chr(2), '],? ){_SQL_RUN}'), concat('\\1', chr(2)), 'g')"
 )
 
 
@@ -170,7 +176,7 @@ _MARKS = "chr(2), chr(3), chr(4)"
 #: For benchmarks without placeholders, as the supplied ones are: slots are not compared.
 OP7_SQL = f"""
 with items as ({_template_sql("benchmark", "item_id")}),
-sized as (select item_id, words, least(6, len(words)) as size from items),
+sized as (select item_id, words, least(6, len(words)) as size from items where len(words) >= 4),
 own as (select * from (select item_id, size, place, words[place : place + size - 1] as cut from (select *, unnest(range(1, len(words) - size + 2)) as place from sized))
   where 2 * len(list_filter(cut, lambda x: x not in ({_MARKS}))) >= size),
 keyed as (select item_id, size, place, array_to_string(cut, ' ') as w from own

@@ -24,7 +24,7 @@ def brute(docs, items, window=6, least=0.5):
     for item, text in items:
         words = plain(text)
         size = min(window, len(words))
-        if not size:
+        if len(words) < 4:
             continue
         own = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
         for doc, body in docs:
@@ -75,7 +75,7 @@ def test_slots_must_correspond(spark):
 
 
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
-    docs, items = [(1, ITEM), (2, ITEM + " again"), (None, ITEM)], [(1, ITEM), (2, "orbit lamp"), (None, "x")]
+    docs, items = [(1, ITEM), (2, ITEM + " again"), (None, ITEM)], [(1, ITEM), (2, "orbit lamp river stone"), (None, "x")]
     first = set(pairs(spark, docs, items))
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     assert set(pairs(spark, docs, items)) == first == {(1, 1), (2, 1)}
@@ -107,3 +107,79 @@ def test_items_of_placeholders_are_found_as_written(spark):
     found = pairs(spark, docs, items)
     assert set(found) == {(1, 1), (3, 2), (4, 3)}
     assert found[1, 1].n_windows == found[1, 1].n_matched == 1
+
+
+def test_items_of_few_words_are_no_evidence(spark):
+    assert pairs(spark, [(1, "a cat sat")], [(1, "cat"), (2, "a cat sat"), (3, "Cat?")]) == {}
+    assert set(pairs(spark, [(1, "a cat sat")], [(1, "cat")], least_words=1)) == {(1, 1)}
+
+
+def test_very_long_runs(spark):
+    """Names, numbers and a line without an end, each of 20,000 words, with an item behind them."""
+    docs = [
+        (1, "Anna " * 20_000 + "end. " + ITEM),
+        (2, "12," * 20_000 + " end. " + ITEM),
+        (3, "word " * 20_000 + ITEM),
+        (4, "12 km " * 20_000 + ITEM),
+        (5, "Anna" * 20_000 + " " + "1" * 20_000 + " " + ITEM),
+        (6, "Anna " * 20_000),
+    ]
+    assert set(pairs(spark, docs, [(1, ITEM)])) == {(i, 1) for i in range(1, 6)}
+
+
+def brute_slots(text, item, window=6):
+    """Meetings of placeholder values, by plain loops, for texts without names at sentence starts."""
+
+    def template(t):
+        words, found = [], []
+        for w in re.findall(r"[A-Za-z]+|[0-9]+", t):
+            if w.isdigit():
+                words.append("#")
+                found.append("#" + w)
+            elif words and w[0].isupper():
+                words.append("@")
+                found.append("@" + w)
+            elif words and words[-1] == "#" and w in decontam.UNITS.split("|"):
+                words.append("~")
+                found.append("~" + w)
+            else:
+                words.append(w.lower())
+                found.append(None)
+        return words, found
+
+    (a, av), (b, bv) = template(item), template(text)
+    met = {}
+    for i in range(len(a) - window + 1):
+        for j in range(len(b) - window + 1):
+            cut = a[i : i + window]
+            if cut == b[j : j + window] and 2 * sum(w in "#@~" for w in cut) <= window:
+                for k in range(window):
+                    if av[i + k]:
+                        met.setdefault(av[i + k], []).append(bv[j + k])
+    return sum(map(len, met.values())), sum(max(map(v.count, v)) for v in met.values())
+
+
+def test_slots_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [(i, "") for i in range(8)]
+    docs = []
+    for i, _ in items:
+        words = ["so"] + [rng.choice([rng.choice(WORDS), rng.choice(WORDS), str(rng.randint(1, 9)), "Paris", f"{rng.randint(1, 9)} km"]) for _ in range(40)]
+        words = [w for k, w in enumerate(words) if not (w[0].isupper() and words[k - 1][0].isupper())]
+        items[i] = (i, " ".join(words))
+        same = {str(n): str(n + 10) for n in range(10)} | {"Paris": "Rome"}
+        changed = [re.sub(r"[0-9]+|Paris", lambda m: same[m[0]] if rng.random() < 0.9 else m[0], w) for w in words]
+        docs.append((100 + i, "and " + " ".join(changed) + " or"))
+    docs += [(100, docs[0][1])] * 2
+    found = pairs(spark, docs, items)
+    assert {(100 + i, i) for i in range(8)} == set(found)
+    text = dict(docs)
+    for (doc, item), r in found.items():
+        assert (r.n_slots, r.n_consistent) == brute_slots(text[doc], dict(items)[item]), (doc, item)
+    assert sum(r.n_slots for r in found.values()) > 100
+
+
+def test_repeated_ids(spark):
+    rows = [(1, ITEM)] * 40 + [(1, "other words " + ITEM)] * 40
+    (row,) = pairs(spark, rows, [(7, ITEM), (7, ITEM)]).values()
+    assert row.n_matched == row.n_windows and row.n_slots == row.n_consistent
