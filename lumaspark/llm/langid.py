@@ -1,33 +1,36 @@
 """Language identification, word first with backoff.
 
 A word seen in training scores by its smoothed log frequency in each language. An unseen word is scored by its
-character n-grams: at every place the longest n-gram that was seen is taken, each shorter length at a penalty. All
-counts are taken over all training rows; the model keeps a fixed number of the most frequent words and n-grams of each
-language, each with its count in every language, so its size does not depend on the input; words and n-grams that are
-frequent in no language are scored as unseen.
+character n-grams: at every place the longest n-gram that was seen is taken, and the mean over the places counts. (A penalty for
+shorter n-grams would shift all languages alike.) All words and n-grams of all training rows are kept, as tables.
+
+A fixed number of the most frequent words is broadcast and scored within the scan of the texts. Only the others leave it: each
+distinct one is looked up, or covered by n-grams, once, and their scores are summed by text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from typing import NamedTuple
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frequent import most_frequent
 from .scratch import Scratch
-from .textkit import chunks
+from .textkit import LetterWords, Spans, chunks, code_tables, mix
 
 UNKNOWN = "und"
 LONGEST = 5
-BACKOFF = np.log(0.4)
-MEMO = 300_000
-_RUN = re.compile(r"[^\W\d_]+")
+#: Words with their scores that are broadcast at most, and scores in all; how many there are changes no result.
+BROADCAST_WORDS, BROADCAST_SCORES = 65_536, 1 << 22
+#: Bytes of text, and code points of words, that are handled together.
+CHUNK, SPELLED = 2 << 20, 400_000
+#: Places to which summed log frequencies are rounded, so that the order of a sum changes no result.
+PLACES = 6
 
 
 def split_remainder(id_col: Column, parts: int) -> Column:
@@ -37,162 +40,203 @@ def split_remainder(id_col: Column, parts: int) -> Column:
 
 @dataclass
 class LanguageModel:
-    """Log frequencies: a row per word or n-gram, a column per language."""
+    """Log frequencies by language, in the order of ``languages``: tables ``(key, n, scores)`` of all words and of all n-grams, and
+    the most frequent words as sorted hashes with their scores."""
 
     languages: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-    floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean score of the n-grams that cover an unseen word, ``LONGEST`` characters or fewer at each place."""
-        marked = f"^{word}$"
-        total, places = np.zeros(len(self.languages)), 0
-        for at in range(1, len(marked)):
-            for n in range(min(LONGEST, at + 1), 0, -1):
-                row = self.grams.get(marked[at + 1 - n : at + 1])
-                if row is not None:
-                    total += self.gram_scores[row] + (LONGEST - n) * BACKOFF
-                    places += 1
-                    break
-        return total / places if places else self.floor
-
-
-class _Count(NamedTuple):
-    lang: str
-    key: str
-    n: int
-    total: int
-
-
-def _scores(rows: list[_Count], languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log relative frequencies."""
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    hashes: np.ndarray | None = None
+    scores: np.ndarray | None = None
+
+
+def _count_words(languages: list[str]):
     place = {lang: i for i, lang in enumerate(languages)}
-    keys = {k: i for i, k in enumerate(sorted({r.key for r in rows}))}
-    counts = np.zeros((len(keys), len(languages)))
-    totals = np.ones(len(languages))
-    for r in rows:
-        counts[keys[r.key], place[r.lang]] = r.n
-        totals[place[r.lang]] = r.total
-    return keys, (np.log(counts + 0.5) - np.log(totals + 0.5 * max(1, len(keys)))).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = np.array([place[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+            for at, to, data, offsets in chunks(batch.column("text"), CHUNK):
+                words = LetterWords(data, offsets)
+                lang = np.repeat(code[at:to], np.diff(words.first))
+                _, where, n = np.unique(mix(words.hashes() + lang.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.strings(where), pa.string()), pa.array(lang[where]), pa.array(n)], names=["key", "lang", "n"])
+
+    return run
+
+
+def _spelled(words: list[str]) -> Iterator[tuple[int, int, str, np.ndarray]]:
+    """(from word, to word, all of them between ^ and $, first place of each and the end), by about SPELLED code points."""
+    sizes = np.cumsum([0, *(len(w) + 2 for w in words)])
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SPELLED, side="right")) - 1)
+        yield at, to, "".join([f"^{w}$" for w in words[at:to]]), sizes[at : to + 1] - sizes[at]
+        at = to
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_words: int = 40_000, top_grams: int = 40_000) -> LanguageModel:
-    """Learn from every row of ``docs`` with text and language. Words are runs of letters, lower-cased.
+def _count_grams(languages: int):
+    """Counts of the n-grams of each batch's words, by language."""
 
-    At most ``top_words`` words and ``top_grams`` n-grams of each language reach the driver, chosen by frequency; the counts
-    themselves cover all rows, and those of a kept key are taken from every language, also where it is below that language's
-    cut. No such row gives a model without languages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [batch.column(f"c{i}").to_numpy() for i in range(languages)]
+            for at, to, text, first in _spelled(batch.column("key").to_pylist()):
+                spans = Spans(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), code_tables()["value"])
+                word = np.repeat(np.arange(to - at), np.diff(first))
+                left = first[1:][word] - np.arange(first[-1])
+                start = np.concatenate([np.flatnonzero(left >= k) for k in range(1, LONGEST + 1)])
+                end = start + np.repeat(np.arange(1, LONGEST + 1), [int((left >= k).sum()) for k in range(1, LONGEST + 1)])
+                _, where, which = np.unique(spans.span_hash(start, end), return_index=True, return_inverse=True)
+                names = [text[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+                own, which = word[start] + at, which.reshape(-1)
+                sums = [pa.array(np.bincount(which, weights=c[own], minlength=len(where)).astype(np.int64)) for c in counts]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *sums], names=["key", *(f"c{i}" for i in range(languages))])
+
+    return run
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broadcast_words: int = BROADCAST_WORDS) -> LanguageModel:
+    """Learn from every row of ``docs`` with text and language. Words are runs of letters and marks with a letter, lower-cased.
+
+    Every word and n-gram is kept with its count in every language; two rows of sums reach the driver, and at most
+    ``broadcast_words`` words with their scores. Rows with a null text or language teach nothing; without any row that holds
+    a word there are no languages. Very long texts and words are handled whole; repeated rows count again."""
     scratch = Scratch(docs.sparkSession)
-    text = F.lower(F.regexp_replace(docs[text_col].cast("string"), r"[^\p{L}\p{M}]+", " "))
-    words = docs.where(docs[lang_col].isNotNull()).select(docs[lang_col].cast("string").alias("lang"), F.explode(F.split(text, " ")).alias("key"))
-    counted = scratch.keep(words.where(F.length("key").between(1, 64)).groupBy("lang", "key").agg(F.count("*").alias("n")), "words")
-    marked = F.concat(F.lit("^"), "key", F.lit("$"))
-
-    def of_length(k: int) -> Column:
-        places = F.when(F.length(marked) >= k, F.sequence(F.lit(1), F.length(marked) + 1 - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.substring(marked, i, F.lit(k)))
-
-    pieces = F.concat(*[of_length(k) for k in range(1, LONGEST + 1)])
-    grams = scratch.keep(counted.select("lang", "n", F.explode(pieces).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
-
-    def top(table: DataFrame, limit: int) -> list[_Count]:
-        totals = {r.lang: r.total for r in table.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
-        kept = sorted({r.key for lang in sorted(totals) for r in most_frequent(table.where(F.col("lang") == lang).select("key", "n"), limit)})
-        if not kept:
-            return []
-        keys = table.sparkSession.createDataFrame(pa.table({"key": pa.array(kept, pa.string())}))
-        return [_Count(r.lang, r.key, r.n, totals[r.lang]) for r in table.join(F.broadcast(keys), "key").select("lang", "key", "n").collect()]
-
-    word_rows, gram_rows = top(counted, top_words), top(grams, top_grams)
-    scratch.drop(counted, grams)
-    languages = sorted({r.lang for r in word_rows})
-    keys, scores = _scores(word_rows, languages)
-    gram_keys, gram_scores = _scores(gram_rows, languages)
-    floor = scores.min(axis=0).mean() * np.ones(len(languages)) if len(scores) else np.zeros(len(languages))
-    return LanguageModel(languages, keys, scores, gram_keys, gram_scores, floor)
-
-
-class Identifier:
-    """Scores texts with a bounded memo of words."""
-
-    def __init__(self, model: LanguageModel):
-        self.model = model
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place = {}
-        self.rows = [np.zeros((1, len(self.model.languages)), dtype=np.float32)]
-        self.size = 1
-
-    def _learn(self, new: list[str]) -> None:
-        model, made = self.model, []
-        for word in new:
-            if not any(c.isalpha() for c in word):
-                self.place[word] = 0
-                continue
-            row = model.words.get(word)
-            made.append(model.word_scores[row] if row is not None else model.unseen(word))
-            self.place[word] = self.size
-            self.size += 1
-        if made:
-            self.rows.append(np.array(made, dtype=np.float32))
-
-    def texts(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Best language and its score: the softmax of the summed scores, tempered by the square root of the number of
-        words. Ties go to the language first in alphabetical order."""
-        languages = self.model.languages
-        split = [_RUN.findall(t.lower()) for t in texts]
-        if len(self.place) > MEMO:
-            self._reset()
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.place)
-        self._learn(sorted(new))
-        table = np.concatenate(self.rows)
-        self.rows = [table]
-        known, names, scores = self.place.__getitem__, [], []
-        for words in split:
-            rows = np.fromiter(map(known, words), dtype=np.int64, count=len(words))
-            rows = rows[rows > 0]
-            if not len(rows) or not languages:
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total = table[rows].sum(axis=0, dtype=np.float64) / len(rows) ** 0.5
-            odds = np.exp(total - total.max())
-            best = int(odds.argmax())
-            names.append(languages[best])
-            scores.append(float(odds[best] / odds.sum()))
-        return names, scores
-
-
-def _identify(model):
+    rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang is not null")
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    if not languages:
+        return LanguageModel([])
+    columns = [f"c{i}" for i in range(len(languages))]
+    numbers = ", ".join(f"{c} long" for c in columns)
+    counted = rows.where("text is not null").mapInArrow(_count_words(languages), "key string, lang long, n long")
+    of = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(columns)]
+    words = scratch.keep(counted.groupBy("key").agg(*of), "words")
+    grams = words.repartition(F.xxhash64("key")).mapInArrow(_count_grams(len(languages)), f"key string, {numbers}")
+    grams = scratch.keep(grams.groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]), "grams")
+
+    def scored(table: DataFrame) -> tuple[DataFrame, list[int]]:
+        sums = table.agg(F.count("*").alias("keys"), *[F.sum(c).alias(c) for c in columns]).first()
+        some = [i for i, c in enumerate(columns) if sums[c]]
+        scores = [F.log(F.col(columns[i]) + 0.5) - F.log(F.lit(sums[columns[i]] + 0.5 * sums["keys"])) for i in some]
+        every = sum((F.col(c) for c in columns), F.lit(0))
+        return table.select("key", every.alias("n"), F.array(*scores).alias("scores") if some else F.array().cast("array<double>").alias("scores")), some
+
+    (words, some), (grams, _) = scored(words), scored(grams)
+    if not some:
+        return LanguageModel([])
+    top = most_frequent(words, min(broadcast_words, BROADCAST_SCORES // len(some)))
+    return LanguageModel([languages[i] for i in some], words, grams, *_lookup([r.key for r in top], [r.scores for r in top], len(some)))
+
+
+def _lookup(words: list[str], scores: list[list[float]], languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and the rows that go with them."""
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(LetterWords(data, offsets).hashes() for _, _, data, offsets in chunks(pa.array(words, pa.string())))])
+    order = np.argsort(hashes)
+    return hashes[order], np.array(scores, dtype=np.float64).reshape(-1, languages)[order]
+
+
+def _known_words(known, languages: int):
+    """Per text: number of words, sums of the scores of broadcast words, and the other words with their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identifier = Identifier(model.value)
+        hashes, scores = known.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            text = batch.column("_lang_text")
             rest = [i for i, name in enumerate(batch.schema.names) if name != "_lang_text"]
-            for at, to, _, _ in chunks(text):
-                names, scores = identifier.texts([t or "" for t in text.slice(at, to - at).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(at, to - at) for i in rest), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*(batch.schema.names[i] for i in rest), "lang_pred", "score"],
-                )
+            for at, to, data, offsets in chunks(batch.column("_lang_text"), CHUNK):
+                words = LetterWords(data, offsets)
+                own = words.hashes()
+                place = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
+                hit = hashes[place] == own if len(hashes) else np.zeros(len(own), dtype=bool)
+                count = np.diff(words.first)
+                text = np.repeat(np.arange(to - at), count)
+                sums = np.stack([np.bincount(text[hit], weights=scores[place[hit], i], minlength=to - at) for i in range(languages)], axis=1).astype(np.float64)
+                other = np.flatnonzero(~hit)
+                other = other[np.lexsort((own[other], text[other]))]
+                new = np.ones(len(other), dtype=bool)
+                new[1:] = (own[other][1:] != own[other][:-1]) | (text[other][1:] != text[other][:-1])
+                begin = np.flatnonzero(new)
+                kept, times = other[begin], np.diff(np.append(begin, len(other)))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(text[kept], minlength=to - at))))
+                parts = [pa.array(own[kept].view(np.int64)), pa.array(words.strings(kept), pa.string()), pa.array(times.astype(np.int64))]
+                made = [
+                    pa.array(row + np.arange(to - at)),
+                    pa.array(count.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(to - at + 1) * languages, pa.int32()), pa.array(sums.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["h", "w", "n"])),
+                ]
+                row += to - at
+                names = [*(batch.schema.names[i] for i in rest), "_lang_row", "_lang_n", "_lang_sums", "_lang_rest"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, to - at) for i in rest), *made], names=names)
 
     return run
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each place of a word the LONGEST characters that end there, or as many as there are."""
+    for batch in batches:
+        hashes = batch.column("h").to_numpy()
+        for at, to, text, first in _spelled(batch.column("w").to_pylist()):
+            word = np.repeat(np.arange(to - at), np.diff(first))
+            place = np.arange(first[-1])
+            begin = np.maximum(first[word], place + 1 - LONGEST)
+            use = place > first[word]
+            ends = [text[a:b] for a, b in zip(begin[use].tolist(), (place[use] + 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[at:to][word[use]]), pa.array(ends, pa.string())], names=["h", "key"])
+
+
+def _longest(contexts: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, scores)``: for each distinct ``key`` the scores of the longest of its endings that is in ``grams``.
+
+    Keys not found are cut by one character and made distinct again, and so on; then what was found is handed back. Both sides
+    of every join going down have distinct keys, so none is hot; going up a key serves at most as many as there are characters."""
+    levels, keys = [], contexts.select("key").distinct()
+    while True:
+        found = scratch.keep(keys.join(grams.select("key", "scores"), "key", "left"), "level")
+        levels.append(found)
+        missing = found.where("scores is null and char_length(key) > 1")
+        if missing.isEmpty():
+            break
+        keys = missing.select(F.expr("substring(key, 2)").alias("key")).distinct()
+    best = levels.pop()
+    for found in reversed(levels):
+        cut = found.where("scores is null").select("key", F.expr("substring(key, 2)").alias("short"))
+        best = found.where("scores is not null").union(cut.join(best.toDF("short", "scores"), "short").select("key", "scores"))
+    return best
+
+
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` of every whole text.
+    """``keep`` columns with ``lang_pred`` and ``score`` of every whole text: the language with the largest sum of its words'
+    scores, and the softmax of the sums, tempered by the square root of the number of words. Ties go to the language first
+    in alphabetical order.
 
     Null texts, texts without a letter, and every text under a model without languages give ``und`` and 0. Repeated rows
     give repeated results; very long texts are held one at a time; an empty table gives an empty table. ``keep`` names
     must differ from the two new ones; other columns are ignored, whatever their names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if not model.languages:
+        return docs.select(*[docs[c] for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    spark, size = docs.sparkSession, len(model.languages)
+    scratch = Scratch(spark)
+    known = spark.sparkContext.broadcast((model.hashes, model.scores))
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_lang_text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
-    return rows.mapInArrow(_identify(shared), schema)
+    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    schema += ["_lang_row long", "_lang_n long", "_lang_sums array<double>", "_lang_rest array<struct<h:long,w:string,n:long>>"]
+    partial = scratch.keep(rows.mapInArrow(_known_words(known, size), ", ".join(schema)), "partial")
+    rest = partial.select("_lang_row", F.inline("_lang_rest"))
+    met = rest.select("h", "w").distinct()
+    met = scratch.keep(met.join(model.words.select(F.col("key").alias("w"), "scores"), "w", "left").select("h", "w", "scores"), "met")
+    contexts = scratch.keep(met.where("scores is null").select("h", "w").mapInArrow(_contexts, "h long, key string"), "contexts")
+    places = contexts.join(_longest(contexts, model.grams, scratch), "key").where("scores is not null")
+    mean = F.array(*[F.avg(F.col("scores")[i]) for i in range(size)]).alias("scores")
+    scored = scratch.keep(met.where("scores is not null").select("h", "scores").union(places.groupBy("h").agg(mean)), "scored")
+    sums = rest.select("_lang_row", "h", "n").join(scored, "h").groupBy("_lang_row")
+    sums = sums.agg(F.array(*[F.sum(F.col("n") * F.col("scores")[i]) for i in range(size)]).alias("_lang_more"))
+    out = partial.drop("_lang_rest").join(sums, "_lang_row", "left")
+    more = lambda i: F.coalesce(F.col("_lang_more")[i], F.lit(0.0))
+    totals = F.array(*[F.round((F.col("_lang_sums")[i] + more(i)) / F.sqrt(F.greatest(F.lit(1), "_lang_n")), PLACES) for i in range(size)])
+    out = out.withColumn("_lang_totals", totals).withColumn("_lang_most", F.array_max("_lang_totals"))
+    some = F.col("_lang_n") > 0
+    best = F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("_lang_totals", F.col("_lang_most")).cast("int"))
+    odds = F.aggregate("_lang_totals", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("_lang_most")))
+    return out.select(*keep, F.when(some, best).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, 1 / odds).otherwise(0.0).alias("score"))

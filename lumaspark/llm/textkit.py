@@ -7,6 +7,7 @@ arithmetic: a polynomial prefix sum over the whole buffer gives the hash of any
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +47,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-class Words:
-    """The words of a few texts. ``start``/``end``: byte places; ``first[i]:first[i+1]``: the words of text i."""
+class Spans:
+    """Hashes of spans of a sequence of symbols: equal symbols give equal hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE):
-        self.data, self.offsets = data, offsets
+    def __init__(self, data: np.ndarray, values: np.ndarray):
+        """``values``: a random number for each symbol that ``data`` can hold."""
+        self.data, self._values = data, values
+        self._prefix: np.ndarray | None = None
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        up, down = _powers(len(self.data) + 1)
+        if self._prefix is None:
+            values = self._values[self.data]
+            self._prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+            np.cumsum(values * up[: len(values)], out=self._prefix[1:])
+        return mix((self._prefix[end] - self._prefix[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+class Words(Spans):
+    """The words of a few texts, A-Z lower-cased if asked. ``start``/``end``: byte places; ``first[i]:first[i+1]``: the words of
+    text i."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE, values: np.ndarray | None = None):
+        super().__init__(data, (_BYTE_LOWER if lower else _BYTE) if values is None else values)
+        self.offsets = offsets
         n = len(data)
         solid = ~space[data]
         edge = np.zeros(n + 1, dtype=bool)
@@ -63,22 +83,63 @@ class Words:
         self.start = np.flatnonzero(solid & (~before | edge[:n]))
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self._lower = lower
-        self._prefix: np.ndarray | None = None
-
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges; equal bytes (A-Z lower-cased if asked) give equal hashes."""
-        up, down = _powers(len(self.data) + 1)
-        if self._prefix is None:
-            values = (_BYTE_LOWER if self._lower else _BYTE)[self.data]
-            self._prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-            np.cumsum(values * up[: len(values)], out=self._prefix[1:])
-        return mix((self._prefix[end] - self._prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)
 
 
+_CODES: dict[str, np.ndarray] = {}
+NEITHER, LETTER, MARK = 0, 1, 2
+#: Beyond the code points below the first number, none is a letter or mark but the variation selectors of the second range.
+_LAST, _SELECTORS = 0x32400, (0xE0100, 0xE01F0)
+
+
+def code_tables() -> dict[str, np.ndarray]:
+    """For each code point: kind (LETTER, MARK or NEITHER), its lower-case form where that is one code point, a random number."""
+    if not _CODES:
+        kind, lower = np.zeros(0x110000, dtype=np.uint8), np.arange(0x110000, dtype=np.uint32)
+        kind[_SELECTORS[0] : _SELECTORS[1]] = MARK
+        for code in range(_LAST):
+            category = unicodedata.category(chr(code))
+            if category[0] in "LM":
+                kind[code] = LETTER if category[0] == "L" else MARK
+                small = chr(code).lower()
+                if len(small) == 1:
+                    lower[code] = ord(small)
+        _CODES.update(kind=kind, lower=lower, value=mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)))
+    return _CODES
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts in UTF-8, and the offsets in them."""
+    try:
+        text = data.tobytes().decode("utf-8")
+        offsets = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+    except UnicodeDecodeError:
+        parts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        text, offsets = "".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), offsets
+
+
+class LetterWords(Words):
+    """Runs of letters and marks with at least one letter, lower-cased; places count code points."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        tables = code_tables()
+        codes, places = code_points(data, offsets)
+        super().__init__(tables["lower"][codes], places, space=tables["kind"] == NEITHER, values=tables["value"])
+        if (tables["kind"][codes] == MARK).any():
+            letters = np.concatenate(([0], np.cumsum(tables["kind"][codes] == LETTER)))
+            some = letters[self.end] > letters[self.start]
+            self.start, self.end = self.start[some], self.end[some]
+            self.first = np.searchsorted(self.start, places)
+
+    def strings(self, which: np.ndarray) -> list[str]:
+        """Some words by number."""
+        text = self.data.astype("<u4", copy=False).tobytes().decode("utf-32-le")
+        return [text[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, offsets) of a string column, by about ``limit`` bytes; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
