@@ -339,7 +339,7 @@ def frequent_words(docs: DataFrame, text_col: str, limit: int, most_bytes: int =
     words = docs.select(F.explode(F.split(docs[text_col].cast("string"), "[ \n]")).alias("w")).where(F.octet_length("w").between(1, most_bytes))
     scratch = Scratch(docs.sparkSession)
     counted = scratch.keep(words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "words")
-    found = sorted(r.w for r in most_frequent(counted, limit))
+    found = sorted(most_frequent(counted, limit).select("w").toArrow()["w"].to_pylist())
     scratch.drop(counted)
     return found
 

@@ -4,8 +4,9 @@ A word seen in training scores by its smoothed log frequency in each language. A
 character n-grams: at every place the longest n-gram that was seen is taken, and the mean over the places counts. (A penalty for
 shorter n-grams would shift all languages alike.) All words and n-grams of all training rows are kept, as tables.
 
-A fixed number of the most frequent words is broadcast and scored within the scan of the texts. Only the others leave it: each
-distinct one is looked up, or covered by n-grams, once, and their scores are summed by text.
+A fixed number of the most frequent words and n-grams is broadcast. Frequent words are scored within the scan of the texts; only the
+others leave it: each distinct one is looked up, or covered by n-grams, once, and their scores are summed by text. Likewise only the
+places of unseen words without a frequent n-gram of full length are looked up in the table of n-grams.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from .textkit import LetterWords, Spans, chunks, code_tables, mix
 
 UNKNOWN = "und"
 LONGEST = 5
-#: Words with their scores that are broadcast at most, and scores in all; how many there are changes no result.
-BROADCAST_WORDS, BROADCAST_SCORES = 65_536, 1 << 22
+#: Words, and n-grams, that are broadcast with their scores at most, and scores in all; how many there are changes no result.
+BROADCAST_KEYS, BROADCAST_SCORES = 65_536, 1 << 22
 #: Bytes of text, and code points of words, that are handled together.
-CHUNK, SPELLED = 2 << 20, 400_000
+CHUNK, SPELLED = 1 << 20, 100_000
 #: Places to which summed log frequencies are rounded, so that the order of a sum changes no result.
 PLACES = 6
 
@@ -41,13 +42,13 @@ def split_remainder(id_col: Column, parts: int) -> Column:
 @dataclass
 class LanguageModel:
     """Log frequencies by language, in the order of ``languages``: tables ``(key, n, scores)`` of all words and of all n-grams, and
-    the most frequent words as sorted hashes with their scores."""
+    the most frequent of each as sorted hashes with their scores."""
 
     languages: list[str]
     words: DataFrame | None = None
     grams: DataFrame | None = None
-    hashes: np.ndarray | None = None
-    scores: np.ndarray | None = None
+    known_words: tuple[np.ndarray, np.ndarray] | None = None
+    known_grams: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def _count_words(languages: list[str]):
@@ -96,11 +97,11 @@ def _count_grams(languages: int):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broadcast_words: int = BROADCAST_WORDS) -> LanguageModel:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broadcast_keys: int = BROADCAST_KEYS) -> LanguageModel:
     """Learn from every row of ``docs`` with text and language. Words are runs of letters and marks with a letter, lower-cased.
 
     Every word and n-gram is kept with its count in every language; two rows of sums reach the driver, and at most
-    ``broadcast_words`` words with their scores. Rows with a null text or language teach nothing; without any row that holds
+    ``broadcast_keys`` words and n-grams with their scores. Rows with a null text or language teach nothing; without any row that holds
     a word there are no languages. Very long texts and words are handled whole; repeated rows count again."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang is not null")
@@ -125,18 +126,39 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broad
     (words, some), (grams, _) = scored(words), scored(grams)
     if not some:
         return LanguageModel([])
-    top = most_frequent(words, min(broadcast_words, BROADCAST_SCORES // len(some)))
-    return LanguageModel([languages[i] for i in some], words, grams, *_lookup([r.key for r in top], [r.scores for r in top], len(some)))
+    most = min(broadcast_keys, BROADCAST_SCORES // len(some))
+    full = (F.char_length("key") == LONGEST) | (F.startswith("key", F.lit("^")) & (F.char_length("key") > 1))
+    known = [_lookup(most_frequent(table, most), len(some)) for table in (words, grams.where(full))]
+    return LanguageModel([languages[i] for i in some], words, grams, *known)
+
+
+def _lookup(rows: DataFrame, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of keys and the scores that go with them."""
+    found = rows.select("key", "scores").toArrow()
+    keys = found["key"].to_pylist()
+    sizes = np.cumsum([0, *map(len, keys)])
+    spans = Spans(np.frombuffer("".join(keys).encode("utf-32-le"), dtype="<u4"), code_tables()["value"])
+    hashes = spans.span_hash(sizes[:-1], sizes[1:])
+    order = np.argsort(hashes)
+    return hashes[order], np.array(found["scores"].to_pylist(), dtype=np.float64).reshape(-1, languages)[order]
 
 
-def _lookup(words: list[str], scores: list[list[float]], languages: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and the rows that go with them."""
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(LetterWords(data, offsets).hashes() for _, _, data, offsets in chunks(pa.array(words, pa.string())))])
-    order = np.argsort(hashes)
-    return hashes[order], np.array(scores, dtype=np.float64).reshape(-1, languages)[order]
+def _find(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted hash, and whether it is there."""
+    place = np.minimum(np.searchsorted(hashes, wanted), max(0, len(hashes) - 1))
+    return place, hashes[place] == wanted if len(hashes) else np.zeros(len(wanted), dtype=bool)
+
+
+def _sums(owner: np.ndarray, scores: np.ndarray, owners: int) -> np.ndarray:
+    """Sums of score rows by owner."""
+    return np.stack([np.bincount(owner, weights=scores[:, i], minlength=owners) for i in range(scores.shape[1])], axis=1).astype(np.float64)
 
 
-def _known_words(known, languages: int):
+def _lists(sums: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.reshape(-1)))
+
+
+def _known_words(known):
     """Per text: number of words, sums of the scores of broadcast words, and the other words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +169,10 @@ def _known_words(known, languages: int):
             for at, to, data, offsets in chunks(batch.column("_lang_text"), CHUNK):
                 words = LetterWords(data, offsets)
                 own = words.hashes()
-                place = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
-                hit = hashes[place] == own if len(hashes) else np.zeros(len(own), dtype=bool)
+                place, hit = _find(hashes, own)
                 count = np.diff(words.first)
                 text = np.repeat(np.arange(to - at), count)
-                sums = np.stack([np.bincount(text[hit], weights=scores[place[hit], i], minlength=to - at) for i in range(languages)], axis=1).astype(np.float64)
+                sums = _sums(text[hit], scores[place[hit]], to - at)
                 other = np.flatnonzero(~hit)
                 other = other[np.lexsort((own[other], text[other]))]
                 new = np.ones(len(other), dtype=bool)
@@ -163,7 +184,7 @@ def _known_words(known, languages: int):
                 made = [
                     pa.array(row + np.arange(to - at)),
                     pa.array(count.astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(to - at + 1) * languages, pa.int32()), pa.array(sums.reshape(-1))),
+                    _lists(sums),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=["h", "w", "n"])),
                 ]
                 row += to - at
@@ -173,17 +194,28 @@ def _known_words(known, languages: int):
     return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each place of a word the LONGEST characters that end there, or as many as there are."""
-    for batch in batches:
-        hashes = batch.column("h").to_numpy()
-        for at, to, text, first in _spelled(batch.column("w").to_pylist()):
-            word = np.repeat(np.arange(to - at), np.diff(first))
-            place = np.arange(first[-1])
-            begin = np.maximum(first[word], place + 1 - LONGEST)
-            use = place > first[word]
-            ends = [text[a:b] for a, b in zip(begin[use].tolist(), (place[use] + 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at:to][word[use]]), pa.array(ends, pa.string())], names=["h", "key"])
+def _cover(known):
+    """Per word: number of places whose whole context (the LONGEST characters that end there, or as many as there are) is a broadcast
+    n-gram, sums of their scores, and the contexts at all other places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, scores = known.value
+        for batch in batches:
+            for at, to, text, first in _spelled(batch.column("w").to_pylist()):
+                spans = Spans(np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), code_tables()["value"])
+                word = np.repeat(np.arange(to - at), np.diff(first))
+                place = np.arange(first[-1])
+                use = place > first[word]
+                word, end = word[use], place[use] + 1
+                begin = np.maximum(first[word], end - LONGEST)
+                found, hit = _find(hashes, spans.span_hash(begin, end))
+                sums = _sums(word[hit], scores[found[hit]], to - at)
+                rest = [text[a:b] for a, b in zip(begin[~hit].tolist(), end[~hit].tolist(), strict=True)]
+                ends = np.concatenate(([0], np.cumsum(np.bincount(word[~hit], minlength=to - at))))
+                made = [pa.array(np.bincount(word[hit], minlength=to - at).astype(np.int64)), _lists(sums), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest, pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(at, to - at), *made], names=["h", "places", "sums", "rest"])
+
+    return run
 
 
 def _longest(contexts: DataFrame, grams: DataFrame, scratch: Scratch) -> DataFrame:
@@ -218,18 +250,23 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
         return docs.select(*[docs[c] for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     spark, size = docs.sparkSession, len(model.languages)
     scratch = Scratch(spark)
-    known = spark.sparkContext.broadcast((model.hashes, model.scores))
+    known, grams = spark.sparkContext.broadcast(model.known_words), spark.sparkContext.broadcast(model.known_grams)
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_lang_text"))
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema += ["_lang_row long", "_lang_n long", "_lang_sums array<double>", "_lang_rest array<struct<h:long,w:string,n:long>>"]
-    partial = scratch.keep(rows.mapInArrow(_known_words(known, size), ", ".join(schema)), "partial")
+    partial = scratch.keep(rows.mapInArrow(_known_words(known), ", ".join(schema)), "partial")
     rest = partial.select("_lang_row", F.inline("_lang_rest"))
     met = rest.select("h", "w").distinct()
     met = scratch.keep(met.join(model.words.select(F.col("key").alias("w"), "scores"), "w", "left").select("h", "w", "scores"), "met")
-    contexts = scratch.keep(met.where("scores is null").select("h", "w").mapInArrow(_contexts, "h long, key string"), "contexts")
+    cover = met.where("scores is null").select("h", "w").mapInArrow(_cover(grams), "h long, places long, sums array<double>, rest array<string>")
+    cover = scratch.keep(cover, "cover")
+    contexts = cover.select("h", F.explode("rest").alias("key"))
     places = contexts.join(_longest(contexts, model.grams, scratch), "key").where("scores is not null")
-    mean = F.array(*[F.avg(F.col("scores")[i]) for i in range(size)]).alias("scores")
-    scored = scratch.keep(met.where("scores is not null").select("h", "scores").union(places.groupBy("h").agg(mean)), "scored")
+    places = places.groupBy("h").agg(F.count("*").alias("n"), *[F.sum(F.col("scores")[i]).alias(f"s{i}") for i in range(size)])
+    unseen = cover.select("h", "places", "sums").join(places, "h", "left")
+    covered = F.col("places") + F.coalesce("n", F.lit(0))
+    mean = F.array(*[(F.col("sums")[i] + F.coalesce(f"s{i}", F.lit(0.0))) / F.greatest(F.lit(1), covered) for i in range(size)])
+    scored = scratch.keep(met.where("scores is not null").select("h", "scores").union(unseen.select("h", mean.alias("scores"))), "scored")
     sums = rest.select("_lang_row", "h", "n").join(scored, "h").groupBy("_lang_row")
     sums = sums.agg(F.array(*[F.sum(F.col("n") * F.col("scores")[i]) for i in range(size)]).alias("_lang_more"))
     out = partial.drop("_lang_rest").join(sums, "_lang_row", "left")

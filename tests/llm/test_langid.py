@@ -105,7 +105,7 @@ def test_equals_brute_force(spark, broadcast):
     unseen = ["".join(rng.choice("kaeiostrngu") for _ in range(rng.randint(1, 12))) for _ in range(80)]
     rows = [*train, (907, " ".join(unseen), None), (908, "\u0939\u093f\u0928\u094d\u0926 \u0904 zzz qqq", None), (909, "x" * 30_000, None), (909, "x" * 30_000, None)]
     docs = spark.createDataFrame(train, "doc_id long, text string, lang string").repartition(3)
-    model = langid.train(docs, broadcast_words=broadcast)
+    model = langid.train(docs, broadcast_keys=broadcast)
     every = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     compared(langid.identify(every, model).collect(), brute(rows, train))
 
