@@ -27,7 +27,7 @@ from .textkit import LetterWords, Spans, chunks, code_tables, mix
 UNKNOWN = "und"
 LONGEST = 5
 #: Words, and n-grams, that are broadcast with their scores at most, and scores in all; how many there are changes no result.
-BROADCAST_KEYS, BROADCAST_SCORES = 65_536, 1 << 22
+BROADCAST_KEYS, BROADCAST_SCORES = 1 << 18, 1 << 22
 #: Bytes of text, and code points of words, that are handled together.
 CHUNK, SPELLED = 1 << 20, 100_000
 #: Places to which summed log frequencies are rounded, so that the order of a sum changes no result.

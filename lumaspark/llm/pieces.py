@@ -4,7 +4,7 @@ The splitting pattern of byte-level BPE starts a new token at every line end bet
 non-space follows. So texts fall into pieces that are encoded one by one, and a piece that occurs often is encoded once.
 
 Plain texts, whose only white space are single spaces and line ends between other characters, are split and numbered as whole
-columns; others go piece by piece. Both share a bounded memo of pieces.
+columns; others go piece by piece.
 """
 
 from __future__ import annotations
@@ -48,29 +48,32 @@ class PieceEncoder:
             pieces += ["\n"] * (n > 0) + [head, *(" " + p for p in rest)]
         return b"".join(self._lookup(pieces))
 
+    def encode_pieces(self, words: pa.Array, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of words, with a space before them unless they are heads."""
+        found = self._lookup([w if h else " " + w for w, h in zip(words.to_pylist(), head.tolist(), strict=True)])
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
     def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each text) of plain texts."""
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        number, names = words.indices.to_numpy(), words.dictionary.to_pylist()
-        line_end = np.array([n == "\n" for n in names], dtype=bool)[number]
+        number = words.indices.to_numpy()
+        line_end = pc.equal(words.dictionary, "\n").to_numpy(zero_copy_only=False)[number]
         head = line_end.copy()
         head[offsets[:-1]] = True
         head[1:] |= line_end[:-1]
         code = number.astype(np.int64) * 2 + head
-        used = np.zeros(2 * len(names), dtype=bool)
+        used = np.zeros(2 * len(words.dictionary), dtype=bool)
         used[code] = True
         codes = np.flatnonzero(used)
         place = np.cumsum(used) - 1
-        found = self._lookup([names[c >> 1] if c & 1 else " " + names[c >> 1] for c in codes.tolist()])
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, size = self.encode_pieces(words.dictionary.take(pa.array(codes >> 1)), (codes & 1).astype(bool))
         start = np.cumsum(size) - size
         which = place[code]
         sizes = size[which]
         ends = np.cumsum(sizes)
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
         ids = flat[np.repeat(start[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate(([0], ends))[offsets]
 

@@ -9,23 +9,27 @@ few pages and a query of the numbers reads no ids.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, TAIL, byte_alphabet
-from .pieces import MEMO, PieceEncoder
+from .bpe import TAIL, byte_alphabet
+from .pieces import PieceEncoder
 from .scratch import Scratch
 from .textkit import chunks
 
 SCHEMA = "doc_id long, n_tokens long, part long, part_start long, tokens array<int>"
 
+#: Bytes of text that are encoded together.
+CHUNK = 6 << 20
 #: Writer settings: version 2 pages give delta encoding where no dictionary is used.
 LAYOUT = {
     "compression": "zstd",
@@ -41,49 +45,91 @@ LAYOUT = {
 }
 
 
-def library_encoder(spec: str) -> PieceEncoder:
-    """Encodes with the public tokenizers library, without its own threads; only new pieces reach it.
-
-    A run of letters, with a space before it or not, is one match of the splitting pattern, and so are the marks behind it. Such
-    a run goes to the library's BPE model as it is, everything else through the library's whole pipeline."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(spec)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    letters = {byte: char for char, byte in byte_alphabet().items()}
-    known: dict[str, bytes] = {"": b""}
-    model = tokenizer.model
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def run(text: str) -> bytes:
-        found = known.get(text)
-        if found is None:
-            ids = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]
-            found = known[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def encode_new(pieces: list[str]) -> list[bytes]:
-        if len(known) > MEMO:
-            known.clear()
-            known[""] = b""
-        out: list[bytes] = [b""] * len(pieces)
-        rest = []
-        for k, piece in enumerate(pieces):
-            core = piece.rstrip(TAIL)
-            if (core[1:] if core[:1] == " " else core).isalpha():
-                out[k] = run(core) + run(piece[len(core) :])
-            else:
-                rest.append(k)
-        for k, ids in zip(rest, whole([pieces[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
-
-    return PieceEncoder(special, encode_new, lambda text: whole([text])[0])
+#: Letters that every version of Unicode counts as such, and a word of them with or without marks at its end. Such a word is one
+#: match of the splitting pattern, and so are the marks.
+_LETTER = r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2b8}\x{400}-\x{481}\x{48a}-\x{52f}]"
+_CORE = rf"^ ?{_LETTER}+"
+_SIMPLE = rf"^ ?{_LETTER}+[{re.escape(TAIL)}]*$"
+
+
+def _text(value: str) -> pa.Scalar:
+    return pa.scalar(value, pa.large_string())
+
+
+class LibraryEncoder(PieceEncoder):
+    """Encodes with the public tokenizers library, without its own threads.
+
+    Each distinct word of letters in a chunk goes to the library's BPE model once, in the vocabulary's alphabet, without the marks
+    at its end; so does each distinct run of marks. Everything else goes through the library's whole pipeline."""
+
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(spec)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        super().__init__(special, self._whole, lambda text: self._whole([text])[0])
+        alphabet = {byte: char for char, byte in byte_alphabet().items()}
+        self.alphabet = np.array([ord(alphabet[b]) for b in range(256)], dtype="<u4")
+        self.model = self.whole.model
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _matches(self, matches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of strings that are one match each and hold no line end."""
+        raw = np.frombuffer("\n".join(matches.to_pylist()).encode(), dtype=np.uint8)
+        text = np.where(raw == 10, np.uint32(10), self.alphabet[raw]).astype("<u4").tobytes().decode("utf-32-le")
+        tokenize, ids, sizes = self.model.tokenize, [], []
+        for match in text.split("\n"):
+            found = [t.id for t in tokenize(match)] if match else []
+            ids += found
+            sizes.append(len(found))
+        return np.array(ids, dtype="<u4"), np.array(sizes, dtype=np.int64)
+
+    def _simple(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pool, starts, sizes, at = [], [], [], 0
+        for part in (pc.utf8_rtrim(pieces, characters=TAIL), pc.replace_substring_regex(pieces, _CORE, "")):
+            distinct = part.dictionary_encode()
+            ids, size = self._matches(distinct.dictionary)
+            which = distinct.indices.to_numpy()
+            pool.append(ids)
+            starts.append((np.cumsum(size) - size + at)[which])
+            sizes.append(size[which])
+            at += len(ids)
+        start, size = np.stack(starts, axis=1).reshape(-1), np.stack(sizes, axis=1).reshape(-1)
+        ends = np.cumsum(size)
+        return np.concatenate(pool)[np.repeat(start - (ends - size), size) + np.arange(ends[-1])], sizes[0] + sizes[1]
+
+    def encode_pieces(self, words: pa.Array, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = pc.if_else(pa.array(head), words, pc.binary_join_element_wise(_text(""), words, _text(" ")))
+        simple = pc.match_substring_regex(pieces, _SIMPLE).to_numpy(zero_copy_only=False)
+        if simple.all() and len(simple):
+            return self._simple(pieces)
+        size = np.zeros(len(simple), dtype=np.int64)
+        rest = [np.frombuffer(b, "<u4") for b in self._whole(pieces.filter(pa.array(~simple)).to_pylist())]
+        size[~simple] = [len(r) for r in rest]
+        ids = np.zeros(0, "<u4")
+        if simple.any():
+            ids, size[simple] = self._simple(pieces.filter(pa.array(simple)))
+        flat = np.empty(size.sum(), dtype="<u4")
+        of_simple = np.repeat(simple, size)
+        flat[of_simple] = ids
+        flat[~of_simple] = np.concatenate([np.zeros(0, "<u4"), *rest])
+        return flat, size
+
+
+_ENCODERS: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(spec: str) -> LibraryEncoder:
+    """One encoder a worker process, for the last vocabulary asked for."""
+    if spec not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[spec] = LibraryEncoder(spec)
+    return _ENCODERS[spec]
 
 
 def _encode(spec, end_id: int):
@@ -96,7 +142,10 @@ def _encode(spec, end_id: int):
                 ids, first = encoder.encode(text.slice(at, to - at))
                 sizes = np.diff(first) + 1
                 ends = np.concatenate(([0], np.cumsum(sizes)))
-                whole = np.insert(ids, first[1:], end_id).astype("<i4")
+                whole = np.full(ends[-1], end_id, dtype="<i4")
+                own = np.ones(ends[-1], dtype=bool)
+                own[ends[1:] - 1] = False
+                whole[own] = ids
                 tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, to - at), pa.array(sizes), pa.array(np.full(to - at, part)), pa.array(total + ends[:-1]), tokens],
@@ -110,14 +159,14 @@ def _encode(spec, end_id: int):
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
     """Encode every whole text, append ``end_id``, and write files in ascending id order (null ids first).
 
-    Null and empty texts have the end id only. Rows that share an id stand together. Other columns are ignored. An
+    Null and empty texts have the end id only. Rows that share an id stand together, in the order of their texts. Other columns are ignored. An
     empty table gives files without rows. Rows are dealt by ranges of the id, so no task gets more than its share
     unless one id has very many rows.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(_encode(spec, end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 

@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def expected(rows):
     tokenizer, at, out = Tokenizer.from_file(PATH), 0, []
-    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         out.append((doc, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         at += len(ids)
@@ -22,6 +22,7 @@ def expected(rows):
 def test_round_trip(spark):
     rows = [(i * 7 % 101, f"text number {i} with <|endoftext|> words\nand " + "long " * (i % 13) * 20) for i in range(101)]
     rows += [(200, None), (201, ""), (None, "null id"), (202, "é" * 9000)]
+    rows += [(300, t) for t in ("b same id", None, "a same id", "a same id")] + [(301, "Word, word; WORD!! naïve слово, 12a x1 'tis don't 中文 ...\n-- (end)"), (302, "w" * 50_000 + " " + "," * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as tokens", "2 as part").repartition(5)
     got = token_files.round_trip(docs, PATH).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(rows)
