@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"
-#: Stands before a capitalised word that may be a name or the start of a sentence.
-START = "\u0005"
+#: Stands before a capitalised word that may be a name or the start of a sentence; the rest of its run, if it is a name.
+START, REST = "\u0005", "\u0006"
 
 # Units of measure that are replaced after a number.
 UNITS = (
@@ -31,8 +31,8 @@ _NAMES = rf" (?<=[\p{{L}}\p{{N}}],? ){_NAME_RUN}"
 _DIGITS = r"\p{N}++(?:[.,:/-]\p{N}++)*+"
 #: Only from a run's start: a run without a unit behind it has none from any later place either.
 _MEASURES = rf"(?<!\p{{N}})(?<!\p{{N}}[.,:/-])({_DIGITS}) ?({UNITS})\b"
-_STARTS = rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}+)"
-_DROP = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{START}]+"
+_STARTS = rf"(?<![\p{{L}}\p{{N}}{NAME}])(\p{{Lu}}\p{{Ll}}++)"
+_DROP = rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}{START}{REST}]++"
 
 #: Benchmark windows (8 bytes of hash, two numbers) and their placeholder values up to which they are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 250_000
@@ -42,31 +42,30 @@ def _named(text: Column) -> Column:
     return F.regexp_replace(text, _NAMES, f" {NAME}")
 
 
-def templates(rows: DataFrame, text: str = "text", words: str = "words") -> DataFrame:
+def templates(rows: DataFrame, text: str = "text", marked: str = "marked") -> DataFrame:
     """``rows`` with the template of a text as an array of words; empty for null and for texts without letters and digits.
-    ``starts`` is the same with START before capitalised words that are no placeholders; empty without such words.
+    START stands before capitalised words that are no placeholders, REST for a name's rest behind such a word.
 
     Every step is a column of its own, so none is computed twice."""
-    marked = F.when(F.col("_t").rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace("_t", _MEASURES, f" {NUMBER} {UNIT} "), _DIGITS, f" {NUMBER} ")).otherwise(F.col("_t"))
+    numbers = F.when(F.col("_t").rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace("_t", _MEASURES, f" {NUMBER} {UNIT} "), _DIGITS, f" {NUMBER} ")).otherwise(F.col("_t"))
     spread = F.when(F.col("_t").contains(NAME), F.replace("_t", F.lit(NAME), F.lit(f" {NAME} "))).otherwise(F.col("_t"))
     out = rows.withColumn("_t", _named(F.col(text)))
     out = out.withColumn("_t", F.regexp_replace("_t", _STARTS, f"{START}$1"))
-    out = out.withColumn("_t", marked).withColumn("_t", spread)
+    out = out.withColumn("_t", numbers).withColumn("_t", spread)
     out = out.withColumn("_t", F.trim(F.lower(F.regexp_replace("_t", _DROP, " "))))
+    out = out.withColumn("_t", F.when(F.col("_t").contains(START) & F.col("_t").contains(NAME), F.regexp_replace("_t", f"({START}[^ ]++) {NAME}", f"$1 {REST}")).otherwise(F.col("_t")))
     none = F.array().cast("array<string>")
-    out = out.withColumn("starts", F.when(F.coalesce(F.col("_t").contains(START), F.lit(False)), F.split("_t", " ")).otherwise(none))
-    return out.withColumn(words, F.when(F.coalesce(F.col("_t"), F.lit("")) == "", none).otherwise(F.split(F.translate("_t", START, ""), " "))).drop("_t")
+    return out.withColumn(marked, F.when(F.coalesce(F.col("_t"), F.lit("")) == "", none).otherwise(F.split("_t", " "))).drop("_t")
 
 
-def _as_names(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``kept``, ``marked`` and ``named``: places, words and template words where a capitalised word with START
-    is a name and the rest of its run belongs to it."""
-    size = F.size("starts")
-    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    rest = lambda i: (F.get("starts", i) == NAME) & F.coalesce(F.get("starts", i - 1).startswith(START), F.lit(False))
-    out = rows.withColumn("kept", F.filter(places, lambda i: ~rest(i)))
-    out = out.withColumn("marked", F.transform("kept", lambda i: F.get("starts", i)))
-    return out.withColumn("named", F.transform("marked", lambda x: F.when(x.startswith(START), F.lit(NAME)).otherwise(x)))
+def _as_written(x: Column) -> Column:
+    """A marked word where capitalised words with START are words as others."""
+    return F.when(x == REST, F.lit(NAME)).otherwise(F.ltrim(x, F.lit(START)))
+
+
+def _as_name(x: Column) -> Column:
+    """The same where they are names; then REST goes."""
+    return F.when(x.startswith(START), F.lit(NAME)).otherwise(x)
 
 
 def values(text: Column) -> Column:
@@ -84,26 +83,27 @@ def _plain(text: str) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " "), lambda x: x != "")
 
 
-def _windows(words: Column, size: int, marked: Column | None = None, tag: int | None = None) -> Column:
-    """(size, doc_place, hash, own) of each window of ``size`` words of which at least half are no placeholders; with ``marked``
-    only those that hold a word with START there. ``own``: places count the template's own words.
+def _hash(words: Column) -> Column:
+    """Hash of an array of words: that of the words' own hashes in order."""
+    return F.xxhash64(F.transform(words, lambda x: F.xxhash64(x)))
 
-    Words are taken by index, so a text of n words takes n steps; the hash of the words is that of their array."""
-    marks = (NAME, NUMBER, UNIT)
-    own = F.lit(marked is None and tag is None)
-    enough = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
 
-    if marked is not None:
-        enough = F.filter(enough, lambda i: reduce(or_, [F.get(marked, i + k).startswith(START) for k in range(size)]))
+def _windows(hashes: Column, size: int, starts: Column | None = None, tag: int | None = None) -> Column:
+    """(size, doc_place, hash, own) of each window of ``size`` words, given the hash of each word; with ``starts`` only those over a
+    word that is marked there. ``own``: places count the template's own words.
 
-    def window(i: Column) -> Column:
-        return F.struct(F.lit(size if tag is None else tag).alias("size"), (i + 1).alias("doc_place"), F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("hash"), own.alias("own"))
+    Words are taken by index, so a text of n words takes n steps. Windows of mostly placeholders need no check here: the
+    benchmark's side has none."""
+    last = F.size(hashes) - size
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    if starts is not None:
+        places = F.filter(places, lambda i: reduce(or_, [F.get(starts, i + k) for k in range(size)]))
 
-    def solid(w: Column) -> Column:
-        return sum(F.get(words, w["doc_place"] + (k - 1)).isin(*marks).cast("int") for k in range(size)) * 2 <= size
+    def window(i: Column) -> Column:
+        whole = F.xxhash64(*[F.get(hashes, i + k) for k in range(size)])
+        return F.struct(F.lit(size if tag is None else tag).alias("size"), (i + 1).alias("doc_place"), whole.alias("hash"), F.lit(starts is None and tag is None).alias("own"))
 
-    every = F.transform(enough, window)
-    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, marks))), F.filter(every, solid)).otherwise(every)
+    return F.transform(places, window)
 
 
 def _slots(words: Column, found: Column) -> Column:
@@ -154,7 +154,7 @@ def contaminated(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    marks = NAME + NUMBER + UNIT + START
+    marks = NAME + NUMBER + UNIT + START + REST
 
     def given(table: DataFrame, key: str, column: str, name: str) -> DataFrame:
         plain = F.translate(table[column].cast("string"), marks, " " * len(marks))
@@ -163,7 +163,7 @@ def contaminated(
     text = given(docs, id_col, text_col, "doc_id").withColumn("copy", F.xxhash64("text"))
     items = given(benchmark, item_col, item_text_col, "item_id")
     none = F.lit(None).cast("array<struct<at:int,value:string>>").alias("slots")
-    words = templates(items).select("item_id", "text", "words", "starts", values(F.col("text")).alias("found"))
+    words = templates(items).withColumn("words", F.transform("marked", _as_written)).select("item_id", "text", "words", "marked", values(F.col("text")).alias("found"))
     words = words.where(F.size("words") >= max(1, least_words)).withColumn("size", F.least(F.size("words"), F.lit(window)))
     own = words.withColumn("every", _slots(F.col("words"), F.col("found")))
     own = own.select("item_id", "words", "every", "size", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)).alias("place"))
@@ -171,18 +171,21 @@ def contaminated(
     solid = F.size(F.filter(cut, lambda x: ~x.isin(NAME, NUMBER, UNIT))) * 2 >= F.col("size")
     inside = F.filter("every", lambda s: (s["place"] >= F.col("place")) & (s["place"] < F.col("place") + F.col("size")))
     slots = F.transform(inside, lambda s: F.struct((s["place"] - F.col("place")).alias("at"), s["value"].alias("value")))
-    own = own.where(solid).select("item_id", "size", "place", F.xxhash64(cut).alias("hash"), slots.alias("slots"), cut.alias("cut"))
+    own = own.where(solid).select("item_id", "size", "place", _hash(cut).alias("hash"), slots.alias("slots"), cut.alias("cut"))
     as_name = F.concat(F.array(F.lit(NAME)), F.expr("slice(cut, 2, size)"))
-    first = own.where("place = 1 and size > 1 and element_at(cut, 1) <> '" + NAME + "'").select("item_id", "size", "place", F.xxhash64(as_name).alias("hash"), none)
+    first = own.where("place = 1 and size > 1 and element_at(cut, 1) <> '" + NAME + "'").select("item_id", "size", "place", _hash(as_name).alias("hash"), none)
     literal = words.join(own.select("item_id").distinct(), "item_id", "left_anti").select("item_id", _plain("text").alias("plain"))
     literal = literal.where(F.size("plain") >= max(1, least_words)).withColumn("size", F.least(F.size("plain"), F.lit(window)))
     literal = literal.select("item_id", "plain", "size", F.explode(F.sequence(F.lit(1), F.size("plain") - F.col("size") + 1)).alias("place"))
-    literal = literal.select("item_id", (-F.col("size")).alias("size"), "place", F.xxhash64(F.expr("slice(plain, place, size)")).alias("hash"), none)
+    literal = literal.select("item_id", (-F.col("size")).alias("size"), "place", _hash(F.expr("slice(plain, place, size)")).alias("hash"), none)
     literal = scratch.keep(literal, "literal-windows")
-    named = _as_names(words.join(literal.select("item_id").distinct(), "item_id", "left_anti").where(F.size("starts") > 0).select("item_id", "starts")).withColumn("size", F.least(F.size("named"), F.lit(window)))
+    named = words.join(literal.select("item_id").distinct(), "item_id", "left_anti").where(F.exists("marked", lambda x: x.startswith(START)))
+    places = F.filter(F.transform("marked", lambda x, i: F.when(x != REST, i + 1)), lambda i: i.isNotNull())
+    named = named.select("item_id", places.alias("kept"), F.filter("marked", lambda x: x != REST).alias("marked"))
+    named = named.withColumn("named", F.transform("marked", _as_name)).withColumn("size", F.least(F.size("named"), F.lit(window)))
     named = named.select("*", F.explode(F.sequence(F.lit(1), F.size("named") - F.col("size") + 1)).alias("at"))
-    named = named.where(F.exists(F.expr("slice(marked, at, size)"), lambda x: x.startswith(START))).select("item_id", "size", (F.get("kept", F.col("at") - 1) + 1).alias("place"), F.expr("slice(named, at, size)").alias("cut"))
-    named = named.where(solid).select("item_id", "size", "place", F.xxhash64("cut").alias("hash"), none)
+    named = named.where(F.exists(F.expr("slice(marked, at, size)"), lambda x: x.startswith(START))).select("item_id", "size", F.get("kept", F.col("at") - 1).alias("place"), F.expr("slice(named, at, size)").alias("cut"))
+    named = named.where(solid).select("item_id", "size", "place", _hash(F.col("cut")).alias("hash"), none)
     items_kept = scratch.keep(own.drop("cut").unionByName(first).unionByName(named).unionByName(literal).dropDuplicates(["item_id", "size", "place", "hash"]), "item-windows")
     weight = F.sum(1 + F.greatest(F.lit(0), F.coalesce(F.size("slots"), F.lit(0))))
     shape = items_kept.agg(weight.alias("weight"), F.collect_set("size").alias("sizes"), F.max(F.coalesce(F.size("slots"), F.lit(0))).alias("slots")).first()
@@ -191,9 +194,15 @@ def contaminated(
     sizes = sorted(shape["sizes"] or [window])
     exact = [-size for size in sizes if size < 0]
     canon = templates(text).withColumns({"plain": _plain("text")} if exact else {})
-    canon = _as_names(canon).select("doc_id", "copy", "words", "marked", "named", *(["plain"] if exact else []))
+    kept = F.when(F.exists("marked", lambda x: x == REST), F.filter("marked", lambda x: x != REST)).otherwise(F.col("marked"))
+    canon = canon.withColumn("named", kept)
+    hashed = {"words": F.transform("marked", lambda x: F.xxhash64(_as_written(x))), "names": F.transform("named", lambda x: F.xxhash64(_as_name(x)))}
+    hashed["over"] = F.transform("named", lambda x: x.startswith(START))
+    if exact:
+        hashed["plain"] = F.transform("plain", lambda x: F.xxhash64(x))
+    canon = canon.select("doc_id", "copy", *[c.alias(n) for n, c in hashed.items()])
     places = [_windows(F.col("plain"), size, tag=-size) for size in exact]
-    places += [w for size in sizes if size > 0 for w in (_windows(F.col("words"), size), _windows(F.col("named"), size, F.col("marked")))]
+    places += [w for size in sizes if size > 0 for w in (_windows(F.col("words"), size), _windows(F.col("names"), size, F.col("over")))]
     spread = canon.select("doc_id", "copy", F.explode(F.concat(*places)).alias("w")).select("doc_id", "copy", "w.*")
     few = (shape["weight"] or 0) <= BROADCAST_ROWS
     hits = spread.join(F.broadcast(items_kept) if few else items_kept, ["size", "hash"]).select("doc_id", "copy", "doc_place", "own", "item_id", "place", "slots")
@@ -207,7 +216,7 @@ def contaminated(
     wanted = wanted.dropDuplicates(["doc_id", "copy", "doc_place", "item_id", "place"])
     wanted = wanted.select("doc_id", "copy", "item_id", "doc_place", F.explode("slots").alias("s")).select("doc_id", "copy", "item_id", (F.col("doc_place") + F.col("s.at")).alias("place"), F.col("s.value").alias("item"))
     again = text.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "copy"])
-    again = templates(again).withColumn("found", values(F.col("text")))
+    again = templates(again).withColumn("words", F.transform("marked", _as_written)).withColumn("found", values(F.col("text")))
     again = again.select("doc_id", "copy", F.explode(_slots(F.col("words"), F.col("found"))).alias("s")).select("doc_id", "copy", "s.place", F.col("s.value").alias("doc"))
     met = wanted.join(again, ["doc_id", "copy", "place"])
     counts = met.groupBy("doc_id", "item_id", "item", "doc").agg(F.count("*").alias("n"))

@@ -29,7 +29,7 @@ from .textkit import chunks
 SCHEMA = "doc_id long, n_tokens long, part long, part_start long, tokens array<int>"
 
 #: Bytes of text that are encoded together.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Writer settings: version 2 pages give delta encoding where no dictionary is used.
 LAYOUT = {
     "compression": "zstd",
