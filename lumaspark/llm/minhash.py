@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
@@ -26,6 +27,11 @@ BAND_ROWS = 4
 SMALLEST = 1024
 #: Ids of texts to read again (8 bytes each) up to which they are broadcast to the scan; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Keys that more than one in so many rows share (and more than LEAST_HOT rows) are joined by broadcast: at most HOT_SHARE of them.
+HOT_SHARE, LEAST_HOT = 5_000, 1_000
+#: Shingles of a text whose 32-bit hashes may collide with another of its own: with more than two the comparison could err, which one
+#: text in 10^13 has.
+SLACK = 2
 #: Sides of a row where two blocks of a bucket meet; WHOLE where a bucket or block meets itself.
 WHOLE, LEFT, RIGHT = 0, 1, 2
 
@@ -62,6 +68,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray)
 
 def _signatures(shingle: int, buckets: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at, to, data, offsets in chunks(batch.column("text")):
                 hashes, first = distinct_shingles(Words(data, offsets), shingle)
@@ -83,15 +90,18 @@ def _signatures(shingle: int, buckets: int, rows: int):
                         regs[i], bands[i] = table[row].tobytes(), keys[row].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(number + np.arange(to - at)),
                         batch.column("id").slice(at, to - at),
+                        batch.column("copy").slice(at, to - at),
                         pa.array(size, pa.int64()),
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
                         pa.array(regs, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "f1", "f2", "regs", "bands"],
+                    names=["row", "id", "copy", "n", "f1", "f2", "regs", "bands"],
                 )
+                number += to - at
 
     return run
 
@@ -125,13 +135,13 @@ def _smallest(shingle: int):
 
 
 def _close(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two texts can be linked, by their smallest hashes: exact if both sets are whole, else by the share of
-    common ones among the smallest of the union, 4.5 standard deviations below the threshold at least."""
+    """Whether two texts can be linked, by their smallest hashes: up to SLACK collisions if both sets are whole, else by the share of
+    common ones among the smallest of the union, 4.5 standard deviations below the threshold at least. Whole texts decide later."""
     both = np.sort(np.concatenate((x, y)))
     twice = both[1:] == both[:-1]
     if len(x) < SMALLEST and len(y) < SMALLEST:
         shared = int(np.count_nonzero(twice))
-        return 100 * shared >= percent * (len(both) - shared)
+        return 100 * (shared + SLACK) >= percent * (len(both) - shared - SLACK)
     distinct = np.r_[True, ~twice]
     common = np.r_[twice, False][distinct][:SMALLEST]
     return bool(common.mean() >= percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / len(common)) ** 0.5)
@@ -263,23 +273,29 @@ def near_duplicate_classes(
     dropped.
 
     Null and empty texts and texts of white space have no shingles, 0 as n_shingles, and form components of their own.
-    A null id gives a null component and ``kept`` true. Repeated ids: each row is handled by its own text, and links
-    join the ids. Further columns of ``docs``, whatever their names, are ignored. An empty table gives an empty table.
+    A null id gives a null component and ``kept`` true. Repeated ids: each row is handled by its own text under a number of its
+    own, and gets the smallest id of its component; repeated rows are copies. Very long texts are read whole, a few at a
+    time. Further columns of ``docs``, whatever their names, are ignored. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    sig = scratch.keep(
-        texts.mapInArrow(_signatures(shingle, buckets, BAND_ROWS), "id long, n long, f1 long, f2 long, regs binary, bands array<long>"), "signatures"
-    )
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
+    schema = "row long, id long, copy long, n long, f1 long, f2 long, regs binary, bands array<long>"
+    sig = scratch.keep(texts.mapInArrow(_signatures(shingle, buckets, BAND_ROWS), schema), "signatures")
     some = sig.where("n > 0 and id is not null")
-    classes = scratch.keep(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = scratch.keep(some.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).where("id = rep").dropDuplicates(["id", "f1", "f2"]).select("id", "n", "regs", "bands"), "representatives")
+    classes = some.groupBy("f1", "f2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies"))
+    classes = scratch.keep(classes, "classes")
+    owners = sig.select("row", "id", "copy", "regs", "bands").join(classes.select(F.col("rep").alias("row"), "n"), "row")
+    owners = scratch.keep(owners, "representatives")
+    reps = owners.select(F.col("row").alias("id"), "n", "regs", "bands")
     least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / buckets) ** 0.5
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = scratch.keep(ids.distinct(), "ids")
-        return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id")
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """``(id, text)`` of representatives by number; rows that repeat an id and text are read once."""
+        wanted = rows.distinct().join(owners.select("row", F.col("id").alias("_id"), "copy"), F.col("id") == F.col("row")).select("row", F.col("_id").alias("id"), "copy")
+        wanted = scratch.keep(wanted, "wanted")
+        found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["id", "copy"])
+        return found.select(F.col("row").alias("id"), "text").dropDuplicates(["id"])
 
     def confirmed(likely: DataFrame, name: str) -> DataFrame:
         found = texts_of(likely.select(F.col("a").alias("id")).union(likely.select("b")))
@@ -311,7 +327,27 @@ def near_duplicate_classes(
     crossed = confirmed(scratch.keep(pairs.distinct(), "cross-likely"), "cross")
     if not crossed.isEmpty():
         labels = connected_components(links.union(crossed), scratch)
-    rep_of = classes.where("copies > 1").select("f1", "f2", "rep")
-    out = sig.select("id", "n", "f1", "f2").join(rep_of, ["f1", "f2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
-    out = out.join(labels.toDF("rep", "comp"), "rep", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep")).alias("component_id"))
+    merged = classes.join(labels.toDF("rep", "comp"), "rep", "left").select("f1", "f2", "low", "copies", F.coalesce("comp", "rep").alias("comp"))
+    merged = scratch.keep(merged, "merged")
+    lowest = merged.groupBy("comp").agg(F.min("low").alias("lowest"), F.count("*").alias("weight")).where("weight > 1")
+    merged = _join_uneven(merged, lowest, ["comp"], "lowest", F.xxhash64("f1", "f2"))
+    merged = merged.select("f1", "f2", "copies", F.coalesce("lowest", "low").alias("component"), (F.col("lowest") != F.col("low")).alias("moved"))
+    shared = scratch.keep(merged.where("copies > 1 or moved").select("f1", "f2", "component", F.col("copies").alias("weight")), "shared")
+    out = _join_uneven(sig.select("row", "id", "n", F.when(F.col("n") > 0, F.col("f1")).otherwise(F.col("row")).alias("f1"), "f2"), shared, ["f1", "f2"], "component", F.col("row"))
+    out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _join_uneven(left: DataFrame, right: DataFrame, keys: list[str], value: str, own: Column) -> DataFrame:
+    """``left`` with ``value`` of ``right`` (distinct keys, ``weight``: about how many rows of ``left`` have them), or null.
+
+    Heavy keys, HOT_SHARE at most, are joined by broadcast, and their rows are then dealt by ``own`` among the others."""
+    limit = max(LEAST_HOT, (right.agg(F.sum("weight")).first()[0] or 0) // HOT_SHARE)
+    heavy = right.where(F.col("weight") > limit).select(*keys, F.col(value).alias("_heavy"), F.lit(True).alias("_met"))
+    out = left.join(F.broadcast(heavy), keys, "left")
+    light = right.where(F.col("weight") <= limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value), F.lit(0).alias("_zero"))
+    out = out.withColumn("_zero", F.when(F.col("_met"), 1).otherwise(0)).withColumn("_deal", F.when(F.col("_met"), own).otherwise(F.col(keys[0])))
+    light = light.withColumnRenamed(f"_{keys[0]}", "_deal")
+    match = ["_deal", "_zero", *[f"_{k}" for k in keys[1:]]]
+    out = out.select("*", *[F.col(k).alias(f"_{k}") for k in keys[1:]]).join(light, match, "left")
+    return out.withColumn(value, F.coalesce("_heavy", value)).select(*left.columns, value)

@@ -18,22 +18,24 @@ def shingles(text, size=5):
 
 
 def brute(rows, percent=75):
-    sets = [(i, shingles(t)) for i, t in rows]
-    parent = {i: i for i, _ in rows if i is not None}
+    """(id, size, smallest id of the component) of each row; rows link by their own texts."""
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for n, (i, a) in enumerate(sets):
-        for j, b in sets[:n]:
-            if i is None or j is None or not a or not b:
-                continue
-            if 100 * len(a & b) >= percent * len(a | b):
-                x, y = sorted((root(i), root(j)))
-                parent[y] = x
-    return {(i, len(s), root(i) if i is not None else None) for i, s in sets}
+    for n, a in enumerate(sets):
+        for j, b in enumerate(sets[:n]):
+            if rows[n][0] is not None and rows[j][0] is not None and a and 100 * len(a & b) >= percent * len(a | b):
+                parent[root(n)] = root(j)
+    lowest = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            lowest[root(n)] = min(i, lowest.get(root(n), i))
+    return {(i, len(a), lowest.get(root(n)) if i is not None else None) for n, ((i, _), a) in enumerate(zip(rows, sets, strict=True))}
 
 
 def corpus(rng):
@@ -111,3 +113,31 @@ def test_large_buckets_are_compared_completely(spark):
     whole = run(4096)
     assert 20 < len({c for _, c in whole}) < 150
     assert run(8) == whole
+
+
+def test_repeated_ids(spark):
+    """300 different texts under two ids, some of them linked, and a text that a hundred rows repeat."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(400))
+    shared = [word() for _ in range(60)]
+    rows = []
+    for k in range(300):
+        own = [word() for _ in range(40)] if k % 3 else shared[:50] + [word() for _ in range(rng.randrange(12))]
+        rows.append((k % 2 + 5, " ".join(own)))
+    rows += [(5, "the same seven words in each row"), (7, "the same seven words in each row")] * 50 + [(2, " ".join(shared[:50]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicate_classes(docs).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_heavy_keys_and_long_texts(spark, monkeypatch):
+    """Classes and components that many rows share go by broadcast; a text of 100,000 words is compared whole."""
+    monkeypatch.setattr(minhash, "LEAST_HOT", 3)
+    monkeypatch.setattr(minhash, "HOT_SHARE", 10)
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(100_000)]
+    near = [w if k % 100 else "changed" for k, w in enumerate(long)]
+    rows = corpus(rng) + [(2000 + k, "alpha beta gamma delta epsilon zeta") for k in range(60)] + [(1999, " ".join(long)), (3000, " ".join(near)), (3001, " ".join(long[:50_000]))]
+    got = minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert {r.component_id for r in got if r.doc_id in (1999, 3000)} == {1999} and {r.component_id for r in got if r.doc_id == 3001} == {3001}
