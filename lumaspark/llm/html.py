@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block. Elements that never hold an article's text (scripts, styles, menus,
-page headers, footers, sidebars, notices, adverts, forms, reader comments) leave a gap of empty lines. Text
-lengths are summed over sliding windows of lines; where the sum surges a region begins, where it falls to nothing the
-region ends, and the text of the main regions is kept.
+page headers, footers, sidebars, notices, adverts, forms, reader comments) leave a gap of empty lines. Lengths of text outside
+links are summed over sliding windows of lines; where the sum surges a region begins, where it falls to nothing the region ends, and
+the text of the main regions is kept. How high a surge must be follows from the page's own lengths. An article or main element
+limits the lines that weigh anything; within it, dives still cut out lists of links.
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ JUNK = (
     "commentlist|disqus|respond|reply|replies|footer|masthead|topbar|toolbar|newsletter|subscribe|subscription|signup|login|related|"
     "recommended|widget|pagination|pager|skip"
 )
+# Words that only say what a named element is built as.
+BUILT = (
+    "area|article|articles|bar|block|body|bottom|box|btn|button|buttons|cell|col|column|container|content|count|form|group|header|holder|icons|"
+    "inner|item|items|label|left|links|list|main|meta|module|outer|page|panel|policy|post|posts|region|right|row|section|site|slot|stories|text|thread|"
+    "title|top|unit|wrap|wrapper|x"
+)
+_JUNK_PARTS, _BUILT_PARTS = frozenset(JUNK.split("|")), frozenset(BUILT.split("|"))
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -42,20 +50,35 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_JUNK = re.compile(rf"(?:^|[\s_-])(?:{JUNK})(?:$|[\s_-])")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+def junk_name(value: str) -> bool:
+    """Whether a class or id names something that is no article: a name all of whose parts do, or say only how it is built. One such
+    part among others (side-by-side, related-work) is no evidence."""
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if any(p in _JUNK_PARTS for p in parts) and all(p in _JUNK_PARTS or p in _BUILT_PARTS or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _named_junk(attributes: str) -> bool:
+    return any(name.lower() in ("class", "id") and junk_name(value.strip("\"'")) for name, value in _ATTRIBUTE.findall(attributes))
+
+
 def _junk(tag: str, attributes: str, inside_main: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside_main):
         return True
     if "=" not in attributes and "hidden" not in attributes.lower() or tag in MAIN or tag in ("body", "html"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+        name, value = name.lower(), value.strip("\"'")
+        low = value.lower()
+        if name == "hidden" or (name == "aria-hidden" and low == "true") or (name == "style" and _HIDDEN.search(low)):
             return True
-        if (name == "role" and value in ROLES) or (name in ("class", "id") and _JUNK.search(value)):
+        if (name == "role" and low in ROLES) or (name in ("class", "id") and junk_name(value)):
             return True
     return False
 
@@ -127,7 +150,7 @@ def lines(html: str) -> _Lines:
         if skip:
             if tag == skip:
                 depth += -1 if closing else not attributes.endswith("/")
-            if depth and not (tag in MAIN and not closing and not main and not _JUNK.search(attributes.lower().replace('"', " ").replace("'", " ").replace("=", " "))):
+            if depth and not (tag in MAIN and not closing and not main and not _named_junk(attributes)):
                 continue
             ended, skip, depth = tag == skip, "", 0
             out.gap()
@@ -139,7 +162,7 @@ def lines(html: str) -> _Lines:
             continue
         if not closing:
             junk = _junk(tag, attributes, main > 0)
-            if tag == "article" and main and _JUNK.search(" ".join(v.strip("\"'").lower() for _, v in _ATTRIBUTE.findall(attributes))):
+            if tag == "article" and main and _named_junk(attributes):
                 junk = True
             if junk and not attributes.endswith("/"):
                 if tag not in INLINE:
@@ -186,27 +209,55 @@ def regions(weight: list[int], surge: int = SURGE, window: int = WINDOW) -> list
     return found
 
 
+def _within_main(page: _Lines, window: int) -> list[int]:
+    """Lines of the article or main element without runs of at least ``window`` lines of links alone; all of them if nothing else is
+    there."""
+    own = [i for i, m in enumerate(page.main) if m and page.text[i]]
+    kept: list[int] = []
+    run: list[int] = []
+    for i in [*own, -1]:
+        if i >= 0 and 5 * page.weight[i] <= len(page.text[i]):
+            run.append(i)
+            continue
+        if len(run) < window:
+            kept += run
+        run = []
+        if i >= 0:
+            kept.append(i)
+    return kept if any(page.weight[i] for i in kept) else own
+
+
+def _of_page(page: _Lines, surge: int, window: int) -> list[int]:
+    """Lines of the regions with a surge and at least as much text outside links as inside, or of the heaviest region, and of
+    lighter ones that share a container with these."""
+    order = page.bridged()
+    weight = [page.weight[i] for i in order]
+    every = regions(weight, 1, window)
+    sizes = {r: sum(weight[r[0] : r[1]]) for r in every}
+    most = max((sum(weight[i : i + window]) for i in range(len(weight))), default=0)
+    high = set(regions(weight, min(surge, max(1, most // 2)), window))
+    dense = [r for r in every if r in high and 2 * sizes[r] >= sum(len(page.text[i]) for i in order[r[0] : r[1]])]
+    kept = dense or sorted(every, key=lambda r: -sizes[r])[:1]
+    homes = {page.inside[i] for a, b in kept for i in order[a:b] if page.text[i] and page.inside[i]}
+    kept += [r for r in every if r not in kept and any(page.inside[i] in homes for i in order[r[0] : r[1]] if page.weight[i])]
+    return [i for a, b in sorted(kept) for i in order[a:b] if page.text[i]]
+
+
 def main_text(html: str | None, surge: int = SURGE, window: int = WINDOW) -> str:
     """The article's text: white space inside a block is one space, blocks are joined in page order by one space.
 
-    If the page marks its article or main element, only lines inside it weigh anything, so the regions are those of
-    the article, however short. Otherwise text inside links weighs nothing, dropped elements between lines of one
-    container are no gap, and the regions with at least as much text outside links as inside are kept; without any
-    such, the largest is. Null, empty and text-free pages give an empty text."""
+    If the page marks its article or main element, only lines inside it weigh anything: the regions are those of the article
+    between runs of ``window`` lines of links alone, however short. Otherwise text inside links weighs nothing, dropped elements
+    between lines of one container are no gap, and the regions that surge to ``surge`` characters a window, or to half of the
+    page's highest window if that is less, are kept where they hold at least as much text outside links as inside; without any such, the
+    largest is. Lighter regions in the same container as a kept one stay as well. Of regions of equal weight the first counts.
+    Null, empty and text-free pages give an empty text. Elements left open end with the page; void elements hold nothing. Very
+    long pages are read whole, in steps that grow with their length."""
     if not html:
         return ""
     page = lines(html)
-    if any(page.main):
-        weight = [len(t) if m else 0 for t, m in zip(page.text, page.main, strict=True)]
-        kept = regions(weight, 1, window)
-    else:
-        order = page.bridged()
-        page.text, page.main, page.weight = ([column[i] for i in order] for column in (page.text, page.main, page.weight))
-        weight = page.weight
-        kept = regions(weight, surge, window) or sorted(regions(weight, 1, window), key=lambda r: -sum(weight[r[0] : r[1]]))[:1]
-        dense = [(a, b) for a, b in kept if 2 * sum(weight[a:b]) >= sum(map(len, page.text[a:b]))]
-        kept = dense or sorted(kept, key=lambda r: -sum(weight[r[0] : r[1]]))[:1]
-    return " ".join(t for a, b in kept for t, m in zip(page.text[a:b], page.main[a:b], strict=True) if t and (m or not any(page.main)))
+    kept = _within_main(page, window) if any(page.main) else _of_page(page, surge, window)
+    return " ".join(page.text[i] for i in kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

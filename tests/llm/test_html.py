@@ -53,3 +53,56 @@ def test_dropped_elements_do_not_end_an_article_without_markup():
     assert html.main_text(page) == f"{long} {late} The end."
     apart = f'<body><div>{long}</div><div class="ad">Buy</div><div>{late}</div><div class="ad">Buy</div><div><a href="/">{late}</a> and more text, but less than that within links, so none of an article.</div>'
     assert html.main_text(apart) == f"{long} {late}"
+
+
+def test_part_of_a_name_is_no_evidence():
+    text = "This paragraph belongs to the article and is as long as any other of it."
+    for name in ("side-by-side", "login-story", "related-work", "social-science", "comment-on-results", "shareholders", "adventure"):
+        assert html.main_text(f'<article><p>Start.</p><div class="{name}"><p>{text}</p></div><p id="{name}">End.</p></article>') == f"Start. {text} End."
+    for name in ("ad", "ad-slot", "ad_300x250", "adBanner", "cookie-notice", "comment-list", "comment-5", "share-buttons", "post-comments", "related-posts", "x sidebar"):
+        assert html.main_text(f'<article><p>Start.</p><div class="{name}"><p>{text}</p></div><p>End.</p></article>') == "Start. End."
+
+
+def test_short_last_paragraph_after_a_list_of_links():
+    body = "Plain text that runs on for quite a while, long enough to be the surge of this small page. " * 3
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(4))
+    page = f"<body><div><p>{body}</p><ul>{links}</ul><p>The end.</p></div><div><ul>{links}</ul><p>Imprint.</p></div></body>"
+    assert html.main_text(page) == f"{body.strip()} The end."
+
+
+def test_dives_within_an_article():
+    links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(5))
+    assert html.main_text(f'<article><h1><a href="/">Title</a></h1><p>Text.</p><ul>{links}</ul><p>More.</p><p><a href="/s">Source</a></p></article>') == "Title Text. More. Source"
+    assert html.main_text(f"<article><ul>{links}</ul></article>") == "Link 0 Link 1 Link 2 Link 3 Link 4"
+
+
+def test_void_and_open_elements():
+    assert html.main_text('<article>a<img class="ad" src="x">b<br>c<hr>d<input>e') == "a b c d e"
+    assert html.main_text("<article><p>one<div class=ad>x") == "one"
+
+
+def brute_regions(weight, surge, window):
+    """Every maximal run of starts of windows that hold anything, from its first line that weighs something."""
+    holds = [sum(weight[i : i + window]) for i in range(len(weight))]
+    found = []
+    for a in range(len(weight)):
+        for b in range(a + 1, len(weight) + 1):
+            whole = all(holds[a:b]) and (a == 0 or not holds[a - 1]) and (b == len(weight) or not holds[b])
+            if whole and max(holds[a:b]) >= surge:
+                found.append((min(i for i in range(a, b) if weight[i]), b))
+    return found
+
+
+def test_regions_equal_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        weight = [rng.choice([0, 0, 0, rng.randint(1, 90)]) for _ in range(rng.randrange(25))]
+        for surge in (1, 40, 120):
+            assert html.regions(weight, surge) == brute_regions(weight, surge, html.WINDOW)
+
+
+def test_very_long_page():
+    page = "<div>" * 3000 + "<p>word</p>" * 50_000 + "<" * 3000 + "a " * 100_000
+    assert len(html.main_text(page)) > 200_000
