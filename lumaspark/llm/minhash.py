@@ -12,12 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .scratch import Scratch
 from .textkit import Words, chunks, distinct_shingles, mix
+from .uneven import join_uneven
 
 MANTISSA_BITS = 10
 BUCKETS = 128
@@ -27,8 +28,6 @@ BAND_ROWS = 4
 SMALLEST = 1024
 #: Ids of texts to read again (8 bytes each) up to which they are broadcast to the scan; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Keys that more than one in so many rows share (and more than LEAST_HOT rows) are joined by broadcast: at most HOT_SHARE of them.
-HOT_SHARE, LEAST_HOT = 5_000, 1_000
 #: Shingles of a text whose 32-bit hashes may collide with another of its own: with more than two the comparison could err, which one
 #: text in 10^13 has.
 SLACK = 2
@@ -330,24 +329,9 @@ def near_duplicate_classes(
     merged = classes.join(labels.toDF("rep", "comp"), "rep", "left").select("f1", "f2", "low", "copies", F.coalesce("comp", "rep").alias("comp"))
     merged = scratch.keep(merged, "merged")
     lowest = merged.groupBy("comp").agg(F.min("low").alias("lowest"), F.count("*").alias("weight")).where("weight > 1")
-    merged = _join_uneven(merged, lowest, ["comp"], "lowest", F.xxhash64("f1", "f2"))
+    merged = join_uneven(merged, lowest, ["comp"], "lowest", F.xxhash64("f1", "f2"))
     merged = merged.select("f1", "f2", "copies", F.coalesce("lowest", "low").alias("component"), (F.col("lowest") != F.col("low")).alias("moved"))
     shared = scratch.keep(merged.where("copies > 1 or moved").select("f1", "f2", "component", F.col("copies").alias("weight")), "shared")
-    out = _join_uneven(sig.select("row", "id", "n", F.when(F.col("n") > 0, F.col("f1")).otherwise(F.col("row")).alias("f1"), "f2"), shared, ["f1", "f2"], "component", F.col("row"))
+    out = join_uneven(sig.select("row", "id", "n", F.when(F.col("n") > 0, F.col("f1")).otherwise(F.col("row")).alias("f1"), "f2"), shared, ["f1", "f2"], "component", F.col("row"))
     out = out.select("id", "n", F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _join_uneven(left: DataFrame, right: DataFrame, keys: list[str], value: str, own: Column) -> DataFrame:
-    """``left`` with ``value`` of ``right`` (distinct keys, ``weight``: about how many rows of ``left`` have them), or null.
-
-    Heavy keys, HOT_SHARE at most, are joined by broadcast, and their rows are then dealt by ``own`` among the others."""
-    limit = max(LEAST_HOT, (right.agg(F.sum("weight")).first()[0] or 0) // HOT_SHARE)
-    heavy = right.where(F.col("weight") > limit).select(*keys, F.col(value).alias("_heavy"), F.lit(True).alias("_met"))
-    out = left.join(F.broadcast(heavy), keys, "left")
-    light = right.where(F.col("weight") <= limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value), F.lit(0).alias("_zero"))
-    out = out.withColumn("_zero", F.when(F.col("_met"), 1).otherwise(0)).withColumn("_deal", F.when(F.col("_met"), own).otherwise(F.col(keys[0])))
-    light = light.withColumnRenamed(f"_{keys[0]}", "_deal")
-    match = ["_deal", "_zero", *[f"_{k}" for k in keys[1:]]]
-    out = out.select("*", *[F.col(k).alias(f"_{k}") for k in keys[1:]]).join(light, match, "left")
-    return out.withColumn(value, F.coalesce("_heavy", value)).select(*left.columns, value)

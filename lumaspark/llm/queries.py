@@ -107,15 +107,21 @@ with parsed as (
   from pages),
 marks as (select doc_id, max(1 - quality) as bad from labels where quality is not null group by doc_id),
 hosts as (
-  select host, count(*) as n, sum(bad)::bigint as bad,
-         case when length(regexp_extract(host, '[^.]*$')) = 2
-                   and regexp_extract(host, '([^.]*)[.][^.]*$', 1) in ('ac','co','com','edu','gov','net','org')
-              then regexp_extract(host, '[^.]*[.][^.]*$') else regexp_extract(host, '[^.]*$') end as suffix
+  select host, count(*) as n, sum(bad)::bigint as bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as server
   from parsed join marks on page_id = doc_id where host <> '' group by host),
-named as (
-  select *, case when contains(suffix, '.') then coalesce(nullif(regexp_extract(host, '[^.]*[.][^.]*[.][^.]*$'), ''), host)
-                 else coalesce(nullif(regexp_extract(host, '[^.]*[.][^.]*$'), ''), host) end as domain
+ended as (
+  select *, regexp_matches(server, '^[0-9.]+$') or starts_with(server, '[') as numeric,
+         case when length(regexp_extract(server, '[^.]*$')) = 2
+                   and regexp_extract(server, '([^.]*)[.][^.]*$', 1) in ('ac','asn','co','com','edu','firm','gen','go','gob','gouv','gov','govt','gv','id','ind','info','lg',
+                       'ltd','me','mil','ne','net','nhs','nom','or','org','plc','police','sch','school','web')
+              then regexp_extract(server, '[^.]*[.][^.]*$') else regexp_extract(server, '[^.]*$') end as ending
   from hosts),
+named as (
+  select host, n, bad, case when numeric then server else ending end as suffix,
+         case when numeric then server
+              when contains(ending, '.') then coalesce(nullif(regexp_extract(server, '[^.]*[.][^.]*[.][^.]*$'), ''), server)
+              else coalesce(nullif(regexp_extract(server, '[^.]*[.][^.]*$'), ''), server) end as domain
+  from ended),
 domains as (select domain, suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from named group by domain, suffix),
 suffixes as (select suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from domains group by suffix),
 levels as (

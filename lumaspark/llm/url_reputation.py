@@ -13,13 +13,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+from .uneven import join_uneven
+
 #: (host, path, verdict); a rule fits its host and all subdomains if the path starts with the rule's.
 Rule = tuple[str, str, str]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Second-level labels below which country suffixes register domains.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = (
+    "ac", "asn", "co", "com", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "govt", "gv", "id", "ind", "info", "lg", "ltd", "me", "mil", "ne", "net", "nhs", "nom",
+    "or", "org", "plc", "police", "sch", "school", "web",
+)
 
 
 def url_host(url: Column) -> Column:
@@ -37,17 +43,30 @@ def _rest(url: Column) -> Column:
     return F.substr(url, F.instr(url, "://") + 3)
 
 
+def server_of(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def _numeric(server: Column) -> Column:
+    return server.rlike(r"^[0-9.]+$") | server.startswith("[")
+
+
 def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where a country label follows a registry's (``co.uk``)."""
-    last = F.substring_index(host, ".", -1)
-    second = F.substring_index(F.substring_index(host, ".", -2), ".", 1)
-    return F.when((F.length(last) == 2) & second.isin(*SECOND_LEVEL) & host.contains("."), F.concat_ws(".", second, last)).otherwise(last)
+    """The last label, or the last two where a country label follows a registry's (``co.uk``). Addresses in numbers have no
+    suffix but themselves."""
+    server = server_of(host)
+    last = F.substring_index(server, ".", -1)
+    second = F.substring_index(F.substring_index(server, ".", -2), ".", 1)
+    named = F.when((F.length(last) == 2) & second.isin(*SECOND_LEVEL) & server.contains("."), F.concat_ws(".", second, last)).otherwise(last)
+    return F.when(_numeric(server), server).otherwise(named)
 
 
 def domain_of(host: Column) -> Column:
-    """The suffix and one label more."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(suffix_of(host).contains("."), F.substring_index(host, ".", -3)).otherwise(two)
+    """The suffix and one label more; ports do not make a domain."""
+    server, suffix = server_of(host), suffix_of(host)
+    named = F.when(suffix.contains("."), F.substring_index(server, ".", -3)).otherwise(F.substring_index(server, ".", -2))
+    return F.when(_numeric(server), server).otherwise(named)
 
 
 def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -73,9 +92,10 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """``(host, n, bad, mean, bound)`` from labelled ``outcomes(host, bad)``: posterior mean of the bad rate and its lower
     bound (mean less ``z`` posterior standard deviations). Rows with a null or empty host or a null outcome do not count.
 
-    Counts are combined before they are shuffled, so a host with a third of all rows costs one row a task. The levels'
-    priors are scalar subqueries; nothing is collected."""
+    Counts are combined before they are shuffled, so a host with a third of all rows costs one row a task, and written once, as
+    every level and prior is made of them. The levels' priors are scalar subqueries; nothing is collected."""
     hosts = outcomes.where("host <> '' and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = Scratch(outcomes.sparkSession).keep(hosts, "hosts")
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -99,14 +119,16 @@ def filter_urls(
 
     Hosts without outcomes have a null bound and are allowed, so are null urls and urls without ``://``, whose host
     and path are empty. An id labelled more than once counts once, by its largest label. Repeated rows give repeated
-    results, null ids stay null, other columns are ignored, an empty table gives an empty table. ``rules`` is a short list
-    written in code; it becomes one expression.
+    results, null ids stay null, other columns are ignored, an empty table gives an empty table; very long urls are taken whole;
+    of equally long rules the first counts. ``rules`` is a short list written in code; it becomes one expression. Bounds of hosts that
+    very many pages share are joined by broadcast.
     """
     url = pages[url_col].cast("string")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     marks = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     reputation = host_reputation(rows.select("page_id", "host").join(marks, "page_id").select("host", "bad"), z).select("host", "bound")
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    judged = rows.join(reputation, "host", "left")
+    bounds = rows.groupBy("host").agg(F.count("*").alias("weight")).join(reputation, "host", "left")
+    judged = join_uneven(rows, Scratch(pages.sparkSession).keep(bounds, "bounds"), ["host"], "bound", F.xxhash64("page_id", "path"))
     found = F.coalesce(verdict, F.when(F.col("bound") > limit, "block").otherwise("allow"))
     return judged.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), rule.alias("rule"), found.alias("verdict"), "bound")

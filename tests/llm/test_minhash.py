@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lumaspark.llm import minhash
+from lumaspark.llm import minhash, uneven
 from lumaspark.llm.graph import connected_components
 from lumaspark.llm.scratch import Scratch
 
@@ -132,8 +132,8 @@ def test_repeated_ids(spark):
 
 def test_heavy_keys_and_long_texts(spark, monkeypatch):
     """Classes and components that many rows share go by broadcast; a text of 100,000 words is compared whole."""
-    monkeypatch.setattr(minhash, "LEAST_HOT", 3)
-    monkeypatch.setattr(minhash, "HOT_SHARE", 10)
+    monkeypatch.setattr(uneven, "LEAST_HOT", 3)
+    monkeypatch.setattr(uneven, "HOT_SHARE", 10)
     rng = random.Random(9)
     long = [f"w{rng.randrange(50_000)}" for _ in range(100_000)]
     near = [w if k % 100 else "changed" for k, w in enumerate(long)]

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 URLS = [
     "http://Example.COM/en/1?x#y", "https://www.example.com/en/a", "https://a.www.example.com/en/", "https://m.b.net/es/3", "ftp://b.net/fr", "ftp://b.net/fr/x",
-    "nothing", None, "://", "http://x.org", "http://x.org?a=/b", "http://x.org#/c", "http://shop.co.uk/p", "http://example.com", "http://notexample.com/en/", "a://b://c/d",
+    "nothing", None, "://", "http://x.org", "http://x.org?a=/b", "http://x.org#/c", "http://shop.co.uk/p", "http://example.com", "http://notexample.com/en/", "a://b://c/d", "http://10.0.0.1:80/a", "http://10.0.0.1/b", "http://[::1]:8080/", "http://u:p@k.co.uk:8/",
 ]
 
 
 def test_equals_duckdb(spark, tmp_path):
-    pages = [(i, u) for i, u in enumerate(URLS)] + [(100 + i, f"http://h{i % 9}.d{i % 3}.org/p{i}") for i in range(200)] + [(400 + i, f"http://bad.org/{i}") for i in range(80)] + [(400, "http://bad.org/0"), (None, "http://z.org/")]
-    marks = [(100 + i, int(i % 7 > 0), 0) for i in range(200)] + [(400 + i, 0, 0) for i in range(80)] + [(0, 1, 0), (0, 0, 0), (None, 0, 0), (1, None, 1)]
+    pages = [(i, u) for i, u in enumerate(URLS)] + [(100 + i, f"http://h{i % 9}.d{i % 3}.org/p{i}") for i in range(200)] + [(400 + i, f"http://bad.org/{i}") for i in range(80)] + [(400, "http://bad.org/0"), (None, "http://z.org/")] + [(600 + i, f"http://10.0.0.{i % 3}:{i}/") for i in range(40)]
+    marks = [(100 + i, int(i % 7 > 0), 0) for i in range(200)] + [(400 + i, 0, 0) for i in range(80)] + [(600 + i, i % 2, 0) for i in range(40)] + [(0, 1, 0), (0, 0, 0), (None, 0, 0), (1, None, 1)]
     spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'h' as host", "'v' as verdict").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = queries.op9_url_filters(spark, str(tmp_path)).toPandas()
@@ -38,9 +38,9 @@ def test_hosts_and_rules(spark):
 
 
 def test_domains(spark):
-    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.y.org",), ("org",), ("co.uk",)], "host string")
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.y.org",), ("org",), ("co.uk",), ("10.0.0.1:80",), ("[::1]:8",), ("u@a.b.org:443",)], "host string")
     got = [tuple(r) for r in hosts.select(url_reputation.suffix_of(F.col("host")), url_reputation.domain_of(F.col("host"))).collect()]
-    assert got == [("co.uk", "b.co.uk"), ("org", "y.org"), ("org", "org"), ("co.uk", "co.uk")]
+    assert got == [("co.uk", "b.co.uk"), ("org", "y.org"), ("org", "org"), ("co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1"), ("[::1]", "[::1]"), ("org", "b.org")]
 
 
 def test_shrinkage_and_empty_tables(spark):
