@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Letters, digits and spaces that a quoted passage needs at least: shorter ones ("Yes") say nothing about whose they are.
+LEAST = 8
+
 _MARKS = re.compile(r"^(?:\s*>)+ ?")
 _SAID = re.compile(r"^\s*(?:on\b.{0,300}\bwrote|.{0,200}\bwrote|.{0,200}\ba écrit|.{0,200}\bschrieb.{0,200}|.{0,200}\bescribió)\s*:\s*$", re.I)
 _WORD = re.compile(r"[^\W_]+")
@@ -27,9 +30,9 @@ def normalised(passage: str) -> str:
     return " ".join(_WORD.findall(passage.lower()))
 
 
-def _hash(passage: str) -> int | None:
+def _hash(passage: str, least: int = 1) -> int | None:
     words = normalised(passage)
-    return xxhash.xxh3_64_intdigest(words) - 2**63 if words else None
+    return xxhash.xxh3_64_intdigest(words) - 2**63 if len(words) >= least else None
 
 
 def parse(text: str | None) -> list[tuple[int, str]]:
@@ -65,8 +68,12 @@ def own_text(text: str | None) -> str:
     return re.sub(r"\n\s*\n\s*\n+", "\n\n", kept).strip()
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _parse_batches(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from parsed(batch)
+
+    def parsed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             rows = batch.slice(at, 500)
             own, said, quoted, levels = [], [], [], []
@@ -76,16 +83,18 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 own.append(clean)
                 hashes = {_hash(p) for level, part in parts if level == 0 for p in [*passages(part)]} | {_hash(clean)}
                 said.append(sorted(h for h in hashes if h is not None))
-                found = {(_hash(p), level) for level, part in parts if level > 0 for p in passages(part)}
+                found = {(_hash(p, least), level) for level, part in parts if level > 0 for p in passages(part)}
                 found = sorted(x for x in found if x[0] is not None)
                 quoted.append([h for h, _ in found])
                 levels.append([level for _, level in found])
             arrays = [pa.array(own, pa.string()), *(pa.array([np.array(x, np.int64) for x in c], pa.list_(pa.int64())) for c in (said, quoted, levels))]
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("conv", "turn", "role")), *arrays], names=["conv", "turn", "role", "text", "said", "quoted", "levels"])
 
+    return run
+
 
 def reply_ordered(
-    messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 1024
+    messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 1024, least: int = LEAST
 ) -> DataFrame:
     """``(conv_id, turn, role, text, position, reply_to, n_quoted, n_linked)``, one row per message.
 
@@ -93,10 +102,11 @@ def reply_ordered(
     holds it as its own text, if that message is older. ``reply_to`` is the turn of the latest message linked by a
     passage of the lowest level that links at all; without any it is the conversation's previous turn, null for its first.
     ``position`` counts the conversation's messages of smaller turn, so a reply always stands after what it replies to.
-    ``n_quoted`` and ``n_linked`` count distinct quoted passages and those that were found.
+    ``n_quoted`` and ``n_linked`` count distinct quoted passages of at least ``least`` normalised characters and those that were
+    found; shorter ones are taken out of the text but link to nothing.
 
     Messages that share conversation and turn (repeated rows too) share a position; their passages count as one message's
-    for originals. Null texts are empty; messages with a null conversation or turn are returned without position
+    for originals. Null texts are empty; very long ones are parsed whole, a few at a time; messages with a null conversation or turn are returned without position
     and links. Other columns are ignored; an empty table gives an empty table.
 
     No conversation is gathered in one task: originals are minima, quotations join them by passage, and turns are numbered in
@@ -107,7 +117,7 @@ def reply_ordered(
         messages[conv_col].cast("long").alias("conv"), messages[turn_col].cast("long").alias("turn"), messages[role_col].cast("string").alias("role"), messages[text_col].cast("string").alias("text")
     )
     schema = "conv long, turn long, role string, text string, said array<long>, quoted array<long>, levels array<long>"
-    parsed = scratch.keep(rows.mapInArrow(_parse_batches, schema).withColumn("msg", F.monotonically_increasing_id()), "parsed")
+    parsed = scratch.keep(rows.mapInArrow(_parse_batches(least), schema).withColumn("msg", F.monotonically_increasing_id()), "parsed")
     placed = parsed.where("conv is not null and turn is not null")
 
     quoted = placed.where(F.size("quoted") > 0).select("msg", "conv", "turn", F.explode(F.arrays_zip("quoted", "levels")).alias("q"))
@@ -132,7 +142,9 @@ def reply_ordered(
     numbered = scratch.keep(
         inside.join(base, ["conv", "block"]).select("conv", "turn", (F.col("base") + F.col("own")).alias("position"), F.coalesce("prev", "last").alias("previous")), "numbered"
     )
-    out = parsed.drop("said", "quoted", "levels").join(numbered, ["conv", "turn"], "left")
+    out = placed.drop("said", "quoted", "levels").join(numbered, ["conv", "turn"], "left")
+    unplaced = parsed.where("conv is null or turn is null").drop("said", "quoted", "levels")
+    out = out.unionByName(unplaced.withColumns({"position": F.lit(None).cast("long"), "previous": F.lit(None).cast("long")}))
     if links is None:
         out = out.withColumns({"n_quoted": F.lit(0).cast("long"), "n_linked": F.lit(0).cast("long"), "linked": F.lit(None).cast("long")})
     else:

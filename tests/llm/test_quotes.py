@@ -11,9 +11,9 @@ def test_parse_levels():
     assert quotes.normalised(" A,  b!\nÇ ") == "a b ç"
 
 
-def run(spark, rows, block=1024):
+def run(spark, rows, block=1024, least=1):
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as position", "2 as msg")
-    return quotes.reply_ordered(table, block=block).collect()
+    return quotes.reply_ordered(table, block=block, least=least).collect()
 
 
 def test_links(spark):
@@ -55,3 +55,12 @@ def test_positions_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_short_passages_and_long_texts(spark):
+    long = "\n".join(f"line number {i} of a long message" for i in range(20_000))
+    rows = [(1, 0, "u", "Yes"), (1, 1, "u", "Another remark"), (1, 2, "u", "> Yes\n> Another remark\nWell"), (1, 3, "u", "> Yes\nNo"), (2, 0, "u", long), (2, 1, "u", "> line number 19999 of a long message\nok"), (2, 2, "u", "> " + long.replace("\n", "\n> "))]
+    by = {(r.conv_id, r.turn): r for r in run(spark, rows, least=quotes.LEAST)}
+    assert (by[1, 2].n_quoted, by[1, 2].n_linked, by[1, 2].reply_to, by[1, 2].text) == (2, 1, 1, "Well")
+    assert (by[1, 3].n_quoted, by[1, 3].reply_to, by[1, 3].text) == (0, 2, "No")
+    assert by[2, 1].reply_to == 0 and by[2, 2].n_quoted == by[2, 2].n_linked == 20_001 and by[2, 2].text == ""
