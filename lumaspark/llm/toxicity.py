@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import PUNCTUATION, Words, chunks, mix
@@ -241,18 +241,27 @@ def _calibrate(model: Classifier, examples: list, y: np.ndarray, langs: list[str
     model.lang_slots[0] = 0
 
 
-def train(docs: DataFrame, labels: DataFrame, most_each: int = 3_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
-    """Fit on at most ``most_each`` labelled documents of each class, chosen by a hash of the id among all labelled ones
-    (that bounded sample, whole texts, is what reaches the driver). ``lang_col`` only groups the calibration rows."""
-    marked = labels.select(labels[id_col].alias("_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null").dropDuplicates(["_id"])
+def train(
+    docs: DataFrame, labels: DataFrame, most_each: int = 3_000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> Classifier:
+    """Fit on at most ``most_each`` labelled documents and ``most_bytes`` of text of each class, chosen by a hash of the id among all
+    labelled ones (that bounded sample, whole texts, is what reaches the driver). ``lang_col`` only groups the calibration rows.
+
+    A document marked both ways counts as toxic; of rows that share an id the smallest text counts; null ids and labels
+    teach nothing; of equal F1 the lowest threshold is taken."""
+    marked = labels.select(labels[id_col].alias("_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null")
+    marked = marked.groupBy("_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for toxic in (0, 1):
         some = marked.where(F.col("toxic") == toxic).orderBy(F.xxhash64("_id"), "_id").limit(most_each)
         chosen = some if chosen is None else chosen.union(some)
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
-    found = rows.join(F.broadcast(chosen), "_id").select("_id", "text", "lang", "toxic").collect()
-    found.sort(key=lambda r: (r["_id"], r.text or ""))
+    rows = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "toxic").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("row"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id")
+    rows = rows.select("_id", "toxic", "row.*").withColumn("bytes", F.sum(F.octet_length("text")).over(order))
+    found = rows.where(F.col("bytes") <= most_bytes).select("_id", "text", "lang", "toxic").collect()
+    found.sort(key=lambda r: r["_id"])
     used = {t: max(1, sum(r.toxic == t for r in found)) for t in (0, 1)}
     return fit([r.text for r in found], [r.toxic for r in found], [r.lang for r in found], tuple(sizes.get(t, 0) / used[t] for t in (0, 1)))
 

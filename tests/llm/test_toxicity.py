@@ -51,3 +51,53 @@ def test_scores_do_not_depend_on_batches():
     whole = np.concatenate([model.scores(s, w, f) for _, _, s, w, f in toxicity.features(texts)])
     small = np.concatenate([model.scores(s, w, f) for _, _, s, w, f in toxicity.features(texts, limit=50)])
     assert np.allclose(whole, small, atol=1e-5)
+
+
+def plain_logit(model, slots, order):
+    """One text's logit by plain loops: embeddings, filters at every place, maxima, logistic layer."""
+    words = [sum(model.table[s] for s in slots[w]) for w in order] + [np.zeros(toxicity.SIZE)] * toxicity.PAD
+    hidden = []
+    for weights in model.filters:
+        for f in range(toxicity.FILTERS):
+            hidden.append(max(sum(float(words[at + k] @ weights[k][:, f]) for k in range(len(weights))) for at in range(len(order))))
+    return sum(max(0.0, h + b) * o for h, b, o in zip(hidden, model.bias, model.out, strict=True)) + model.intercept
+
+
+def test_equals_plain_loops():
+    model = toxicity.fit([r[1] for r in corpus(80)], [r[3] for r in corpus(80)], [r[2] for r in corpus(80)], epochs=1)
+    examples = toxicity._examples([r[1] for r in corpus(12, seed=5)] + ["one", "a b"])
+    got = model.logits(*toxicity._joined(examples))
+    assert np.allclose(got, [plain_logit(model, s.astype(int), o) for s, o in examples], atol=1e-4)
+
+
+def test_gradient_equals_differences():
+    """A step of Adagrad moves each weight against the sign of the loss's slope."""
+    rows = corpus(20, seed=2)
+    examples, y = toxicity._examples([r[1] for r in rows]), np.array([r[3] for r in rows], float)
+    model, drop = toxicity.Classifier.fresh(3), np.ones((len(rows), len(toxicity.WIDTHS) * toxicity.FILTERS))
+
+    def loss(m):
+        z = m.logits(*toxicity._joined(examples))
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    before = [w.copy() for w in model.filters]
+    slopes = []
+    for k, at in ((0, (0, 3, 5)), (1, (1, 2, 7)), (2, (2, 9, 1))):
+        probe = toxicity.Classifier.fresh(3)
+        probe.filters[k][at] += 1e-2
+        up = loss(probe)
+        probe.filters[k][at] -= 2e-2
+        slopes.append((k, at, (up - loss(probe)) / 2e-2))
+    toxicity._step(model, examples, y, {}, 0.01, drop, 0.0)
+    for k, at, slope in slopes:
+        if abs(slope) > 1e-4:
+            assert np.sign(model.filters[k][at] - before[k][at]) == -np.sign(slope)
+
+
+def test_contradictory_marks_and_repeated_ids(spark):
+    rows = corpus(120)
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows] * 3 + [(0, "other", "x")], "doc_id long, text string, lang string")
+    marks = [(i, x) for i, _, _, x in rows]
+    both = [toxicity.train(docs.repartition(n), spark.createDataFrame(m, "doc_id long, toxic int")) for n, m in ((2, [*marks, (5, 1), (5, 0)]), (5, [(5, 0), (5, 1), *marks[::-1]]))]
+    assert all((a == b).all() for a, b in zip(both[0].filters, both[1].filters, strict=True)) and both[0].intercept == both[1].intercept
+    assert toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), most_bytes=0).intercept == 0
