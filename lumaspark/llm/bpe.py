@@ -348,10 +348,22 @@ def build_lexicon(bpe: ByteBpe, words: list[str]) -> bytes:
     return compile_lexicon({(" " + w).encode(): bpe.plain(" " + w) for w in words})
 
 
+_LOADED: dict[tuple[str, bytes], tuple[ByteBpe, PieceEncoder]] = {}
+
+
+def _loaded(spec: str, lexicon: bytes) -> tuple[ByteBpe, PieceEncoder]:
+    """Vocabulary and mapped lexicon, once a worker process, for the last pair asked for."""
+    key = (hashlib.sha256(spec.encode()).hexdigest(), hashlib.sha256(lexicon).digest())
+    if key not in _LOADED:
+        _LOADED.clear()
+        bpe = ByteBpe(spec)
+        _LOADED[key] = bpe, lexicon_encoder(bpe, Lexicon(lexicon))
+    return _LOADED[key]
+
+
 def _encode_decode(spec, lexicon, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(spec.value)
-        encoder = lexicon_encoder(bpe, Lexicon(lexicon.value))
+        bpe, encoder = _loaded(spec.value, lexicon.value)
         for batch in batches:
             text = batch.column("text")
             for at, to, _, _ in chunks(text, CHUNK):

@@ -1,8 +1,8 @@
 """Intermediate tables that cut lineage.
 
 Tables are written as Parquet below ``spark.checkpoint.dir``, which the driver and all executors share, so a
-lost executor costs a re-read and nothing else. Only where that setting is absent (tests, a laptop) is a local
-folder used.
+lost executor costs a re-read and nothing else. Only where that setting is absent and the session runs in one process (tests, a
+laptop) is a local folder used.
 """
 
 from __future__ import annotations
@@ -16,10 +16,14 @@ _LOCAL: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder: the session's ``spark.checkpoint.dir``; one temporary folder per process if unset."""
+    """The shared folder: the session's ``spark.checkpoint.dir``; one temporary folder per process if unset and the
+    master is local; on a cluster an unset folder is an error, as executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="lumaspark-")
     return f"file://{_LOCAL['dir']}"
