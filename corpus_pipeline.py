@@ -2,6 +2,11 @@
 
 ``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+In every stage other columns are ignored, an empty table gives an empty one, and very long texts are taken whole. Null and empty texts
+pass toxicity by the model's intercept alone, hold no language and so go in the second stage. Repeated rows get the same decision, but
+one of them stays in the third stage; of a group's rows that tie for the smallest id the first written stays. Null ids are kept as
+such; they teach nothing.
 """
 
 from __future__ import annotations
@@ -46,9 +51,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs.doc_id == found["_gone"], "left_anti").select(*_columns(docs))
+    """Documents that hold a benchmark item go; rows are numbered, so each is judged by its own text, with a null or repeated id too."""
+    columns = _columns(docs)
+    rows = Scratch(spark).keep(docs.select(*columns, F.monotonically_increasing_id().alias("_row")), "numbered")
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select(F.col("doc_id").alias("_gone")).distinct()
+    return rows.join(found, F.col("_row") == F.col("_gone"), "left_anti").select(*columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
