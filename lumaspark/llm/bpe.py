@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .frequent import most_frequent
 from .pieces import PieceEncoder
 from .scratch import Scratch
-from .textkit import chunks
+from .textkit import chunks, trimmed
 
 #: Bytes of text that are encoded together.
-CHUNK = 3 << 20
+CHUNK = 3 << 19
 #: Marks at a word's end that the pattern takes as one run.
 TAIL = ".,;:!?%*#&$|\"()-_=+/@"
 
@@ -364,6 +364,7 @@ def _loaded(spec: str, lexicon: bytes) -> tuple[ByteBpe, PieceEncoder]:
 def _encode_decode(spec, lexicon, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, encoder = _loaded(spec.value, lexicon.value)
+        encoder.known = {}
         for batch in batches:
             text = batch.column("text")
             for at, to, _, _ in chunks(text, CHUNK):
@@ -402,5 +403,5 @@ def encode_decode(
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    out = rows.mapInArrow(_encode_decode(context.broadcast(spec), context.broadcast(lexicon), columns), "id long, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
+    out = rows.mapInArrow(trimmed(_encode_decode(context.broadcast(spec), context.broadcast(lexicon), columns)), "id long, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
     return out.withColumnRenamed("id", id_col)

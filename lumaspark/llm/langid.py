@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .frequent import most_frequent
 from .scratch import Scratch
-from .textkit import LetterWords, Spans, chunks, code_tables, mix
+from .textkit import LetterWords, Spans, chunks, code_tables, mix, trimmed
 
 UNKNOWN = "und"
 LONGEST = 5
 #: Words, and n-grams, that are broadcast with their scores at most, and scores in all; how many there are changes no result.
-BROADCAST_KEYS, BROADCAST_SCORES = 1 << 18, 1 << 22
+BROADCAST_KEYS, BROADCAST_SCORES = 1 << 17, 1 << 22
 #: Bytes of text, and code points of words, that are handled together.
 CHUNK, SPELLED = 1 << 20, 100_000
 #: Places to which summed log frequencies are rounded, so that the order of a sum changes no result.
@@ -110,10 +110,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broad
         return LanguageModel([])
     columns = [f"c{i}" for i in range(len(languages))]
     numbers = ", ".join(f"{c} long" for c in columns)
-    counted = rows.where("text is not null").mapInArrow(_count_words(languages), "key string, lang long, n long")
+    counted = rows.where("text is not null").mapInArrow(trimmed(_count_words(languages)), "key string, lang long, n long")
     of = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(columns)]
     words = scratch.keep(counted.groupBy("key").agg(*of), "words")
-    grams = words.repartition(F.xxhash64("key")).mapInArrow(_count_grams(len(languages)), f"key string, {numbers}")
+    grams = words.repartition(F.xxhash64("key")).mapInArrow(trimmed(_count_grams(len(languages))), f"key string, {numbers}")
     grams = scratch.keep(grams.groupBy("key").agg(*[F.sum(c).alias(c) for c in columns]), "grams")
 
     def scored(table: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -254,11 +254,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_lang_text"))
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema += ["_lang_row long", "_lang_n long", "_lang_sums array<double>", "_lang_rest array<struct<h:long,w:string,n:long>>"]
-    partial = scratch.keep(rows.mapInArrow(_known_words(known), ", ".join(schema)), "partial")
+    partial = scratch.keep(rows.mapInArrow(trimmed(_known_words(known)), ", ".join(schema)), "partial")
     rest = partial.select("_lang_row", F.inline("_lang_rest"))
     met = rest.select("h", "w").distinct()
     met = scratch.keep(met.join(model.words.select(F.col("key").alias("w"), "scores"), "w", "left").select("h", "w", "scores"), "met")
-    cover = met.where("scores is null").select("h", "w").mapInArrow(_cover(grams), "h long, places long, sums array<double>, rest array<string>")
+    cover = met.where("scores is null").select("h", "w").mapInArrow(trimmed(_cover(grams)), "h long, places long, sums array<double>, rest array<string>")
     cover = scratch.keep(cover, "cover")
     contexts = cover.select("h", F.explode("rest").alias("key"))
     places = contexts.join(_longest(contexts, model.grams, scratch), "key").where("scores is not null")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .scratch import Scratch
-from .textkit import Words, chunks, distinct_shingles, mix
+from .textkit import Words, chunks, distinct_shingles, mix, trimmed
 from .uneven import join_uneven
 
 MANTISSA_BITS = 10
@@ -280,7 +280,7 @@ def near_duplicate_classes(
     scratch = Scratch(spark)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
     schema = "row long, id long, copy long, n long, f1 long, f2 long, regs binary, bands array<long>"
-    sig = scratch.keep(texts.mapInArrow(_signatures(shingle, buckets, BAND_ROWS), schema), "signatures")
+    sig = scratch.keep(texts.mapInArrow(trimmed(_signatures(shingle, buckets, BAND_ROWS)), schema), "signatures")
     some = sig.where("n > 0 and id is not null")
     classes = some.groupBy("f1", "f2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("low"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
@@ -299,7 +299,7 @@ def near_duplicate_classes(
     def confirmed(likely: DataFrame, name: str) -> DataFrame:
         found = texts_of(likely.select(F.col("a").alias("id")).union(likely.select("b")))
         full = likely.join(found.toDF("a", "ta"), "a").join(found.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        return scratch.keep(full.mapInArrow(_confirm(shingle, percent), "a long, b long"), f"{name}-links")
+        return scratch.keep(full.mapInArrow(trimmed(_confirm(shingle, percent)), "a long, b long"), f"{name}-links")
 
     regs = reps.select("id", "n", "regs")
     bands = reps.select("id", F.posexplode("bands").alias("band", "key"))
@@ -307,7 +307,7 @@ def near_duplicate_classes(
     members = scratch.keep(bands.join(crowded, "key").select("key", "band", "id", "center", "size"), "members")
     star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(regs.toDF("a", "na", "ra"), "a").join(regs.toDF("b", "nb", "rb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    star = scratch.keep(star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(buckets, least), "a long, b long"), "star-likely")
+    star = scratch.keep(star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(trimmed(_likely(buckets, least)), "a long, b long"), "star-likely")
     links = confirmed(star, "star")
     labels = connected_components(links, scratch)
 
@@ -320,9 +320,9 @@ def near_duplicate_classes(
     large = open_.where(F.col("size") > group_limit)
     if not large.isEmpty():
         met = met.union(_block_pairs(large, max(1, group_limit // 2)))
-    low = texts_of(open_.select("id")).mapInArrow(_smallest(shingle), "id long, low binary")
+    low = texts_of(open_.select("id")).mapInArrow(trimmed(_smallest(shingle)), "id long, low binary")
     met = met.join(regs, "id").join(low, "id").select("key", "band", "id", "comp", "side", "n", "regs", "low")
-    pairs = met.repartition("key").sortWithinPartitions("key").mapInArrow(_cross(buckets, least, percent), "a long, b long")
+    pairs = met.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_cross(buckets, least, percent)), "a long, b long")
     crossed = confirmed(scratch.keep(pairs.distinct(), "cross-likely"), "cross")
     if not crossed.isEmpty():
         labels = connected_components(links.union(crossed), scratch)

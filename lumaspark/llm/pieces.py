@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 CUT = re.compile(r" (?=\S)")
 LINE = re.compile(r"(?<=\S)\n(?=\S)")
-MEMO = 200_000
+MEMO = 60_000
 #: Texts that are not plain: two white spaces in a row, white space at an end, or any other than space and line end.
 _ODD = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

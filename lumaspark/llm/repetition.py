@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import Words, chunks
+from .textkit import Words, chunks, trimmed
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -156,4 +156,4 @@ def repetition_quality(
         "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
         "covered_words long, longest_repeat long"
     )
-    return rows.mapInArrow(_measure(least, max_covered, max_longest, min_words), schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(_measure(least, max_covered, max_longest, min_words)), schema).withColumnRenamed("id", id_col)

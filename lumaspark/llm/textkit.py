@@ -7,8 +7,9 @@ arithmetic: a polynomial prefix sum over the whole buffer gives the hash of any
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,21 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same kernel, giving memory back to the system at its end: worker processes live on and would hold what one task needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

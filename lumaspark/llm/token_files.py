@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import TAIL, byte_alphabet
 from .pieces import PieceEncoder
 from .scratch import Scratch
-from .textkit import chunks
+from .textkit import chunks, trimmed
 
 SCHEMA = "doc_id long, n_tokens long, part long, part_start long, tokens array<int>"
 
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str =
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(_encode(spec, end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
+    ordered.mapInArrow(trimmed(_encode(spec, end_id)), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def _with_starts(rows: DataFrame, totals: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of what the files hold: counts and sums are taken from the ids read."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    read = rows.select("doc_id", "part", "part_start", "tokens").mapInArrow(_digest, "doc_id long, part long, part_start long, n_tokens long, ids_crc32 long")
+    read = rows.select("doc_id", "part", "part_start", "tokens").mapInArrow(trimmed(_digest), "doc_id long, part long, part_start long, n_tokens long, ids_crc32 long")
     return _with_starts(read, totals).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

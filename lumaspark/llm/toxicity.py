@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import PUNCTUATION, Words, chunks, mix
+from .textkit import PUNCTUATION, Words, chunks, mix, trimmed
 
 SLOTS = 1 << 15
 SIZE = 16
@@ -288,4 +288,4 @@ def score(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_tox_text"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return rows.mapInArrow(_score(shared), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(trimmed(_score(shared)), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
