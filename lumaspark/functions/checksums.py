@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADLER = 65_521
+#: Bytes of a text that are summed together.
+BLOCK = 4_096
 STORED = 65_535
 
 
@@ -42,17 +44,19 @@ def riff_webp(payload: Column) -> Column:
 
 
 def adler32_rows(texts: DataFrame, key: str, value: str) -> DataFrame:
-    """``(key, adler32)`` of UTF-8 texts: both running sums in closed form, as two sums over byte positions.
-
-    Bytes are split from the hexadecimal form; each text is summed by partial aggregation, so long ones cost rows and
-    not memory of one task."""
-    digits = texts.select(F.col(key), F.hex(F.encode(F.col(value), "UTF-8")).alias("h")).withColumn("n", F.floor(F.length("h") / 2))
-    places = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    rows = digits.select(key, "h", "n", F.explode(places).alias("i"))
-    byte = F.when(F.col("i") >= 0, F.conv(F.substr("h", (2 * F.col("i") + 1).cast("int"), F.lit(2)), 16, 10).cast("long")).otherwise(0)
-    sums = rows.groupBy(key, "n").agg(F.sum(byte).alias("plain"), F.sum(byte * (F.col("n") - F.col("i"))).alias("weighted"))
+    """``(key, adler32)`` of UTF-8 texts, one row for each row: both running sums in closed form, as two sums over byte positions.
+
+    Texts are cut into blocks of BLOCK bytes, blocks into bytes, and each byte is counted plainly and weighted by its place from the
+    text's end. So a text of n bytes costs n steps, a row carries no more than a block, and sums are combined before the shuffle."""
+    data = texts.select(F.col(key), F.encode(F.col(value), "UTF-8").alias("b"), F.monotonically_increasing_id().alias("row")).withColumn("n", F.octet_length("b").cast("long"))
+    places = F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.lit(0), F.col("n") - 1) / BLOCK))
+    cut = data.select(key, "row", "n", F.posexplode(F.transform(places, lambda i: F.substr("b", (i * BLOCK + 1).cast("int"), F.lit(BLOCK)))).alias("block", "b"))
+    chars = F.split(F.decode("b", "ISO-8859-1"), "")
+    rows = cut.select(key, "row", "n", (F.col("n") - F.col("block") * BLOCK).alias("left"), F.posexplode(chars).alias("i", "c"))
+    value_ = F.ascii("c").cast("long")
+    whole = rows.groupBy(key, "row", "n").agg(F.sum(value_).alias("plain"), F.sum(value_ * (F.col("left") - F.col("i"))).alias("weighted"))
     low, high = (1 + F.col("plain")) % ADLER, (F.col("n") + F.col("weighted")) % ADLER
-    return sums.select(key, (high * 65_536 + low).cast("long").alias("adler32"))
+    return whole.select(key, (high * 65_536 + low).cast("long").alias("adler32"))
 
 
 def stored_blocks(size: Column) -> Column:

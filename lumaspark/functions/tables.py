@@ -58,8 +58,14 @@ ANGLES = (32, 26, 21, 17, 13, 9, 5, 2, 0, -2, -5, -9, -13, -17, -21, -26, -32, -
 INVERSE_ANGLES = (-4096, -1638, -910, -630, -482, -390, -315, -256, -315, -390, -482, -630, -910, -1638, -4096)
 
 # Deblocking thresholds by qp.
-BETA = (0,) * 16 + tuple(range(6, 19)) + tuple(range(20, 65, 2))
-TC = (0,) * 18 + (1,) * 9 + (2,) * 4 + (3,) * 4 + (4,) * 3 + (5, 5, 6, 6, 7, 8, 9, 10, 11, 13, 14, 16, 18, 20, 22, 24)
+BETA = (
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 20, 22, 24, 26, 28, 30, 32, 34, 36, 38, 40, 42,
+    44, 46, 48, 50, 52, 54, 56, 58, 60, 62, 64,
+)
+TC = (
+    0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 5, 5, 6, 6, 7, 8, 9, 10, 11,
+    13, 14, 16, 18, 20, 22, 24,
+)
 
 # The luma and chroma quantisation tables of baseline JPEG, row by row.
 JPEG_LUMA = (
@@ -68,7 +74,7 @@ JPEG_LUMA = (
 )
 JPEG_CHROMA = (
     17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
-    *(99,) * 32,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
 )
 
 

@@ -18,8 +18,10 @@ def brand_accepted(major: Column, compatible: Column) -> Column:
 
 
 def item_properties(assoc: DataFrame, properties: DataFrame) -> DataFrame:
-    """Associations with their properties by 1-based position; positions without a property are dropped."""
-    return assoc.where("prop_idx > 0").join(properties, ["file_id", "prop_idx"])
+    """Associations with their properties by 1-based position; positions without a property are dropped. A property list without
+    ``file_id`` is every file's."""
+    keys = [k for k in ("file_id", "prop_idx") if k in properties.columns]
+    return assoc.where("prop_idx > 0").join(properties, keys)
 
 
 def first_property(joined: DataFrame, kind: str, value: str, name: str) -> DataFrame:
@@ -27,6 +29,15 @@ def first_property(joined: DataFrame, kind: str, value: str, name: str) -> DataF
     return joined.where(F.col("kind") == kind).groupBy("file_id", "item_id").agg(F.min_by(value, "assoc_ord").alias(name))
 
 
+def first_properties(assoc: DataFrame, properties: DataFrame, wanted: dict[str, tuple[str, Column, Column]]) -> DataFrame:
+    """``(file_id, item_id, name, ...)`` of every associated item: for each name the value of the first property of a kind, or a
+    default. ``wanted``: kind, value and default by name. One join and one aggregation for all of them."""
+    keys = [k for k in ("file_id", "prop_idx") if k in properties.columns]
+    joined = assoc.withColumn("prop_idx", F.when(F.col("prop_idx") > 0, F.col("prop_idx"))).join(properties, keys, "left")
+    first = lambda kind, value, default: F.coalesce(F.min_by(value, F.when(F.col("kind") == kind, F.col("assoc_ord"))), default)
+    return joined.groupBy("file_id", "item_id").agg(*[first(*how).alias(name) for name, how in wanted.items()])
+
+
 def with_property(items: DataFrame, first: DataFrame, name: str, default: Column | None = None) -> DataFrame:
     """Items with a first property, or a default."""
     out = items.join(first, ["file_id", "item_id"], "left")

@@ -28,8 +28,8 @@ LINES = """select l_orderkey as file_id, l_linenumber::bigint as item_id, l_quan
   from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows unbounded preceding)"""
 PROPS = """select p_partkey as prop_idx, case p_size % 3 when 0 then 'ispe' when 1 then 'irot' else 'auxC' end as kind, p_size::bigint as size,
   case when p_size % 3 = 2 then concat('urn:', case when p_size % 2 = 0 then 'Alpha' else 'depth' end, ':', p_brand) end as aux_type
-  from part where p_partkey between 1 and 100"""
-ASSOC = f"select file_id, item_id, ord as assoc_ord, l_partkey % 130 as prop_idx from ({LINES})"
+  from part"""
+ASSOC = f"select file_id, item_id, ord as assoc_ord, case when item_id = 7 then -l_partkey else l_partkey end as prop_idx from ({LINES})"
 EDGES = f"""select file_id, ord as ref_ord, case l_returnflag when 'A' then 'auxl' when 'N' then 'dimg' else 'cdsc' end as ref_type,
   l_partkey % 7 as from_item_id, 0::bigint as to_ord, l_suppkey % 7 as to_item_id from ({LINES})"""
 JOINED = f"select a.file_id, a.item_id, a.assoc_ord, a.prop_idx, p.kind, p.size, p.aux_type from ({ASSOC}) a join ({PROPS}) p using (prop_idx) where prop_idx > 0"
@@ -376,8 +376,7 @@ def item_data(spark, sf_dir):
 
 
 def _joined(spark, sf_dir):
-    files = shapes.associations(spark, sf_dir)
-    return files.where("prop_idx > 0").join(shapes.properties(spark, sf_dir), "prop_idx")
+    return items.item_properties(shapes.associations(spark, sf_dir), shapes.properties(spark, sf_dir))
 
 
 @query(f"select file_id, item_id, assoc_ord, prop_idx, kind, size from ({JOINED})")
@@ -389,10 +388,8 @@ def prop_join(spark, sf_dir):
   from (select distinct file_id, item_id from ({ASSOC})) i left join (select file_id, item_id, arg_min(size, assoc_ord) as size from ({JOINED}) where kind = 'ispe' group by all) s using (file_id, item_id)
   left join (select file_id, item_id, arg_min(size % 4, assoc_ord) as turns from ({JOINED}) where kind = 'irot' group by all) r using (file_id, item_id)""")
 def first_prop(spark, sf_dir):
-    joined = _joined(spark, sf_dir).withColumn("turns", F.col("size") % 4)
-    own = shapes.associations(spark, sf_dir).select("file_id", "item_id").distinct()
-    sized = items.with_property(own, items.first_property(joined, "ispe", "size", "size"), "size", F.lit(0).cast("long"))
-    return items.with_property(sized, items.first_property(joined, "irot", "turns", "turns"), "turns", F.lit(-1).cast("long"))
+    wanted = {"size": ("ispe", F.col("size"), F.lit(0).cast("long")), "turns": ("irot", F.col("size") % 4, F.lit(-1).cast("long"))}
+    return items.first_properties(shapes.associations(spark, sf_dir), shapes.properties(spark, sf_dir), wanted)
 
 
 @query(f"""select file_id, item_id from (select distinct file_id, item_id from ({ASSOC})) i
@@ -474,18 +471,17 @@ def output_formats(spark, sf_dir):
 def _large(size: int) -> str:
     side = size // 8
     n = side * side
-    return f"select image_id // {n} as block_id, x + (image_id % {n} % {side}) * 8 as x, y + (image_id % {n} // {side}) * 8 as y, v - 128 as v from ({PX}) where (image_id // {n} + 1) * {n} <= (select count(*) from embeddings)"
+    return f"select image_id // {n} as block_id, x + (image_id % {n} % {side}) * 8 as x, y + (image_id % {n} // {side}) * 8 as y, v - 128 as v from ({PX})"
 
 
 def _large_transform(size: int, compat: bool = False) -> None:
-    """Blocks of several embeddings side by side, as far as they fill one."""
+    """Blocks of several embeddings side by side; what no embedding fills of the last one is zero."""
     side = size // 8
     n = side * side
     rows = tables.dct_matrix(size, compat)
 
     def run(spark, sf_dir):
-        whole = shapes.table(spark, sf_dir, "embeddings").count() // n
-        tiles = shapes.blocks(spark, sf_dir).withColumns({"tile": F.col("image_id") % n, "image_id": F.floor(F.col("image_id") / n)}).where(F.col("image_id") < whole)
+        tiles = shapes.blocks(spark, sf_dir).withColumns({"tile": F.col("image_id") % n, "image_id": F.floor(F.col("image_id") / n)})
         grid = pixels.assemble_grid(tiles, "tile", side, 8, 8, size, size)
         return blocks.inverse_dct(grid.select(F.col("image_id").alias("block_id"), "x", "y", (F.col("v") - 128).alias("v")), size, compat=compat)
 
@@ -515,7 +511,7 @@ def context_states(spark, sf_dir):
 
 
 def _lengths(kind: str) -> list[tuple[int, int, int]]:
-    symbols = bytes.fromhex(encode.AC_SYMBOLS[kind])
+    symbols = encode.AC_SYMBOLS[kind]
     bits = [n for n, count in enumerate(encode.AC_LENGTHS[kind], 1) for _ in range(count)]
     return [(place, symbol, n) for place, (symbol, n) in enumerate(zip(symbols, bits, strict=True))]
 
@@ -570,4 +566,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | fixtures_plans.oracle_sql()

@@ -152,24 +152,27 @@ def alpha_item(found: container.Parsed, primary: int) -> int | None:
     return min(marked, default=None)
 
 
-def _per_file(work, schema: pa.Schema):
+def _per_file(work, schema: pa.Schema, limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for name, length, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "length", "content")), strict=True):
                 try:
+                    if content is None and limits.max_file_size is not None and (length or 0) > limits.max_file_size:
+                        raise ImageError("LIMIT_INPUT_BYTES", f"{length} bytes")
                     row = {"file_id": name, "error": None} | work(name, content or b"")
-                except ImageError as e:
-                    row = {"file_id": name, "error": {"code": e.code, "message": e.message}}
+                except Exception as e:  # whatever is wrong with one file is that file's error
+                    row = {"file_id": name, "error": files.failure(e)}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     return run
 
 
-def _apply(table: DataFrame, work, schema: str) -> DataFrame:
+def _apply(table: DataFrame, work, schema: str, limits: Limits) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return table.select("file_id", "content").mapInArrow(_per_file(work, to_arrow_schema(_parse_datatype_string(schema))), schema)
+    length = F.col("length") if "length" in table.columns else F.octet_length("content").cast("long")
+    return table.select("file_id", length.alias("length"), "content").mapInArrow(_per_file(work, to_arrow_schema(_parse_datatype_string(schema)), limits), schema)
 
 
 def _checked(content: bytes, limits: Limits) -> bytes:
@@ -192,7 +195,7 @@ def convert(table: DataFrame, options: Options | dict | None = None) -> DataFram
             data = encode.ENCODERS[chosen.format](flat, quality=chosen.quality, compress=chosen.compress)
         return {"mime": MIME[chosen.format], "width": pixels.shape[1], "height": pixels.shape[0], "data": data, "truncated": cut}
 
-    return _apply(table, work, f"file_id string, mime string, width int, height int, data binary, truncated boolean, error {ERROR}")
+    return _apply(table, work, f"file_id string, mime string, width int, height int, data binary, truncated boolean, error {ERROR}", chosen.limits)
 
 
 def raw_pixels(table: DataFrame, options: Options | dict | None = None) -> DataFrame:
@@ -208,7 +211,7 @@ def raw_pixels(table: DataFrame, options: Options | dict | None = None) -> DataF
         height, width, channels = pixels.shape
         return {"image": {"origin": name, "height": height, "width": width, "nChannels": channels, "mode": IMAGE_MODES[chosen.pixel_format], "data": pixels.tobytes()}}
 
-    return _apply(table, work, f"file_id string, image {IMAGE}, error {ERROR}")
+    return _apply(table, work, f"file_id string, image {IMAGE}, error {ERROR}", chosen.limits)
 
 
 def tile_pictures(table: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -227,10 +230,10 @@ def tile_pictures(table: DataFrame, limits: Limits = Limits()) -> DataFrame:
         rgb = hevc.decode(content, limits).rgb()
         return {"image": {"origin": name, "height": rgb.shape[0], "width": rgb.shape[1], "nChannels": 3, "mode": IMAGE_MODES["rgb8"], "data": rgb.tobytes()}}
 
-    streams = _apply(table, split, f"file_id string, streams array<binary>, error {ERROR}")
+    streams = _apply(table, split, f"file_id string, streams array<binary>, error {ERROR}", limits)
     rows = streams.where("error is null").select("file_id", F.posexplode("streams").alias("tile_ord", "content"))
     keyed = rows.select(F.to_json(F.struct("file_id", "tile_ord")).alias("file_id"), "content").repartition(F.col("file_id"))
-    done = _apply(keyed, work, f"file_id string, image {IMAGE}, error {ERROR}")
+    done = _apply(keyed, work, f"file_id string, image {IMAGE}, error {ERROR}", limits)
     key = F.from_json("file_id", "file_id string, tile_ord int")
     good = done.select(key["file_id"].alias("file_id"), key["tile_ord"].alias("tile_ord"), "image", "error")
     bad = streams.where("error is not null").select("file_id", F.lit(None).cast("int").alias("tile_ord"), F.lit(None).cast(IMAGE).alias("image"), "error")
@@ -259,8 +262,8 @@ def register(spark: SparkSession) -> None:
             pixels, _ = decode_picture(_checked(bytes(content or b""), chosen.limits), chosen.limits)
             flat = flatten(pixels, chosen.background) if chosen.format == "jpeg" else pixels
             return {"data": encode.ENCODERS[chosen.format](flat, quality=chosen.quality), "error": None}
-        except ImageError as e:
-            return {"data": None, "error": {"code": e.code, "message": e.message}}
+        except Exception as e:  # whatever is wrong with one value is that row's error
+            return {"data": None, "error": files.failure(e)}
 
     class Boxes:
         def eval(self, content: bytes):

@@ -52,18 +52,18 @@ def extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(prop_idx, kind, size)``: the first hundred parts as the property list of every file."""
-    parts = table(spark, sf_dir, "part").where("p_partkey between 1 and 100")
+    """``(prop_idx, kind, size, aux_type)``: all parts as the property list of every file."""
+    parts = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_size") % 3 == 0, "ispe").when(F.col("p_size") % 3 == 1, "irot").otherwise("auxC")
     urn = F.when(kind == "auxC", F.concat(F.lit("urn:"), F.when(F.col("p_size") % 2 == 0, "Alpha").otherwise("depth"), F.lit(":"), F.col("p_brand")))
     return parts.select(F.col("p_partkey").alias("prop_idx"), kind.alias("kind"), F.col("p_size").cast("long").alias("size"), urn.alias("aux_type"))
 
 
 def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(file_id, item_id, assoc_ord, prop_idx)``: an order's lines point at the property numbered by the part modulo 130, so
-    some point at none."""
+    """``(file_id, item_id, assoc_ord, prop_idx)``: an order's lines point at the property numbered by their part; seventh lines at its
+    negative, which is none."""
     lines = items.lay_out(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.lit(1).cast("long").alias("length"), *LINE_ORDER), LINE_ORDER)
-    return lines.select("file_id", F.col("l_linenumber").cast("long").alias("item_id"), F.col("extent_ord").cast("long").alias("assoc_ord"), (F.col("l_partkey") % 130).alias("prop_idx"))
+    return lines.select("file_id", F.col("l_linenumber").cast("long").alias("item_id"), F.col("extent_ord").cast("long").alias("assoc_ord"), F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("prop_idx"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from lumaspark.functions.tables import BRANDS
 
 #: Boxes whose payload is boxes, with the bytes that come before the first of them.
 CONTAINERS = {"meta": 4, "iprp": 0, "ipco": 0}
+#: Levels of boxes below the topmost that are followed.
+MOST_DEPTH = 64
 
 
 class Cursor:
@@ -69,17 +71,18 @@ class Box:
         return cursor.uint(1), cursor.uint(3), cursor
 
 
-def header(data: bytes, at: int = 0) -> tuple[str, int, int]:
+def header(data: bytes, at: int = 0, end: int | None = None) -> tuple[str, int, int]:
     """(type, size, header size). Size 1 means 64 bits follow, size 0 the rest of the input."""
-    if len(data) - at < 8:
+    end = len(data) if end is None else end
+    if end - at < 8:
         raise ImageError("MALFORMED_INPUT", "too few bytes for a box header")
     size, kind, length = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8].decode("latin-1"), 8
     if size == 1:
-        if len(data) - at < 16:
+        if end - at < 16:
             raise ImageError("MALFORMED_INPUT", "too few bytes for a long box header")
         size, length = int.from_bytes(data[at + 8 : at + 16], "big"), 16
     elif size == 0:
-        size = len(data) - at
+        size = end - at
     if size < length:
         raise ImageError("INVALID_CONTAINER", f"box {kind!r} of {size} bytes")
     return kind, size, length
@@ -96,15 +99,26 @@ def boxes(data: bytes, base: int = 0) -> Iterator[Box]:
         at += size
 
 
-def walk(data: bytes, parent: int = -1, depth: int = 0, base: int = 0, out: list[dict] | None = None) -> list[dict]:
-    """Every box, in file order, with its parent's ordinal."""
+def walk(data: bytes, out: list[dict] | None = None, most_depth: int = MOST_DEPTH) -> list[dict]:
+    """Every box, in file order, with its parent's ordinal; boxes are not copied. Deeper nesting than ``most_depth`` is
+    INVALID_CONTAINER."""
     out = [] if out is None else out
-    for box in boxes(data, base):
-        ordinal = len(out)
-        out.append({"ord": ordinal, "parent_ord": parent, "depth": depth, "box_type": box.kind, "offset": box.offset, "size": box.size, "header_size": box.header})
-        skip = CONTAINERS.get(box.kind)
-        if skip is not None and len(box.payload) >= skip:
-            walk(box.payload[skip:], ordinal, depth + 1, box.offset + box.header + skip, out)
+    open_ = [(0, len(data), -1)]
+    while open_:
+        at, end, parent = open_.pop()
+        if at >= end:
+            continue
+        kind, size, length = header(data, at, end)
+        if size > end - at:
+            raise ImageError("MALFORMED_INPUT", f"box {kind!r} declares {size} bytes, {end - at} remain")
+        ordinal, depth = len(out), len(open_)
+        out.append({"ord": ordinal, "parent_ord": parent, "depth": depth, "box_type": kind, "offset": at, "size": size, "header_size": length})
+        open_.append((at + size, end, parent))
+        skip = CONTAINERS.get(kind)
+        if skip is not None and size - length >= skip:
+            if depth >= most_depth:
+                raise ImageError("INVALID_CONTAINER", f"boxes nested deeper than {most_depth}")
+            open_.append((at + length + skip, at + size, ordinal))
     return out
 
 

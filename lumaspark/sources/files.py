@@ -6,7 +6,7 @@ joins and aggregations of operators.items. A file that fails carries an error an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,11 +35,19 @@ PARSED = (
 
 
 def scan(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """``(file_id, length, content)`` of files below a path; the size cap is a filter on the listing."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    if limits.max_file_size is not None:
-        found = found.where(F.col("length") <= limits.max_file_size)
-    return found.select(F.col("path").alias("file_id"), "length", "content")
+    """``(file_id, length, content)`` of files below a path. Files over the size cap keep their row, with a null content that is never
+    read, and every later step gives them ``LIMIT_INPUT_BYTES``."""
+    return capped(lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), limits)
+
+
+def capped(load: Callable[[], DataFrame], limits: Limits) -> DataFrame:
+    """Files with content up to the size cap, and those beyond it without: two reads of the listing, as the filter on the length keeps
+    contents from being read only where they are not asked for."""
+    found = load().select(F.col("path").alias("file_id"), "length", "content")
+    if limits.max_file_size is None:
+        return found
+    large = load().where(F.col("length") > limits.max_file_size).select(F.col("path").alias("file_id"), "length", F.lit(None).cast("binary").alias("content"))
+    return found.where(F.col("length") <= limits.max_file_size).unionByName(large)
 
 
 def from_bytes(spark: SparkSession, named: dict[str, bytes]) -> DataFrame:
@@ -73,8 +81,8 @@ def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             error = None
             try:
                 container.walk(content or b"", out=rows)
-            except ImageError as e:
-                error = {"code": e.code, "message": e.message}
+            except Exception as e:  # whatever is wrong with one file is that file's error
+                error = failure(e)
             ids.append(name)
             found.append(rows)
             errors.append(error)
@@ -103,9 +111,16 @@ def scan_boxes(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "error", F.inline_outer("boxes"))
 
 
-def _record(name: str, content: bytes, limits: Limits) -> dict:
-    out = {"file_id": name, "length": len(content), "error": None}
+def failure(e: Exception) -> dict:
+    """The error struct of an exception; one without a code is INTERNAL_ERROR."""
+    return {"code": e.code, "message": e.message} if isinstance(e, ImageError) else {"code": "INTERNAL_ERROR", "message": f"{type(e).__name__}: {e}"[:500]}
+
+
+def _record(name: str, length: int, content: bytes, limits: Limits) -> dict:
+    out = {"file_id": name, "length": length, "error": None}
     try:
+        if limits.max_file_size is not None and length > limits.max_file_size:
+            raise ImageError("LIMIT_INPUT_BYTES", f"{length} bytes")
         if not container.detect(content):
             raise ImageError("UNSUPPORTED_FORMAT", "not a supported still-image container")
         found = container.parse(content, limits)
@@ -128,8 +143,8 @@ def _record(name: str, content: bytes, limits: Limits) -> dict:
             if tiles and len(tiles) != rows * columns:
                 raise ImageError("INVALID_CONTAINER", f"{rows * columns} tiles declared, {len(tiles)} referenced")
             out |= {"grid": {"rows": rows, "columns": columns, "width": width, "height": height}, "grid_tiles": len(tiles)}
-    except ImageError as e:
-        return {"file_id": name, "length": len(content), "error": {"code": e.code, "message": e.message}}
+    except Exception as e:  # whatever is wrong with one file is that file's error
+        return {"file_id": name, "length": length, "error": failure(e)}
     return out
 
 
@@ -148,8 +163,8 @@ def tiles_of(found: container.Parsed, item: int) -> list[int]:
 def _parse(limits: Limits, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([_record(name, content or b"", limits)], schema=schema)
+            for name, length, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "length", "content")), strict=True):
+                yield pa.RecordBatch.from_pylist([_record(name, length if content is None else len(content), content or b"", limits)], schema=schema)
 
     return run
 
@@ -160,7 +175,7 @@ def parse(files: DataFrame, limits: Limits = Limits(), fail_fast: bool = False)
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(PARSED))
-    out = files.select("file_id", "content").mapInArrow(_parse(limits, schema), PARSED)
+    out = files.select("file_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), "content").mapInArrow(_parse(limits, schema), PARSED)
     if fail_fast:
         out = out.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "error.code", "error.message")).cast("boolean")).otherwise(True))
     return out

@@ -16,11 +16,12 @@ SCHEMA = "path string, modificationTime timestamp, length bigint, content binary
 
 
 def watch(spark: SparkSession, folder: str, files_per_trigger: int = 100, limits: Limits = Limits()) -> DataFrame:
-    """``(file_id, length, content)`` of files as they arrive; those over the size cap are left out."""
+    """``(file_id, length, content)`` of files as they arrive; those over the size cap have a null content, and later steps give them
+    ``LIMIT_INPUT_BYTES``."""
     found = spark.readStream.schema(SCHEMA).format("binaryFile").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    if limits.max_file_size is not None:
-        found = found.where(F.col("length") <= limits.max_file_size)
-    return found.select(F.col("path").alias("file_id"), "length", "content")
+    cap = limits.max_file_size
+    content = F.col("content") if cap is None else F.when(F.col("length") <= cap, F.col("content"))
+    return found.select(F.col("path").alias("file_id"), "length", content.alias("content"))
 
 
 def convert_stream(files: DataFrame, sink: str, checkpoint: str, options: dict | None = None, once: bool = False) -> StreamingQuery:

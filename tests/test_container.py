@@ -1,6 +1,10 @@
+import struct
+
 import pytest
+from pyspark.sql import functions as F
 
 from lumaspark.functions.limits import ImageError, Limits
+from lumaspark.plans import convert
 from lumaspark.sources import container, files, synthetic
 
 
@@ -80,5 +84,25 @@ def test_scan_reads_files(spark, tmp_path):
     for name, data in list(synthetic.fixtures().items())[:3]:
         (tmp_path / f"{name}.heic").write_bytes(data)
     found = files.scan(spark, str(tmp_path))
-    assert found.count() == 3 and files.scan(spark, str(tmp_path), Limits(max_file_size=5)).count() == 0
+    assert found.count() == 3
     assert files.metadata(found).where("error is null").count() == 3
+    capped = Limits(max_file_size=5)
+    large = files.scan(spark, str(tmp_path), capped)
+    assert large.where("content is null and length > 5").count() == 3
+    assert {r.error.code for r in files.metadata(large, capped).collect()} == {"LIMIT_INPUT_BYTES"}
+    assert {r.error.code for r in convert.convert(large, convert.Options(limits=capped)).collect()} == {"LIMIT_INPUT_BYTES"}
+
+
+def test_nested_boxes_and_broken_files_are_error_rows(spark):
+    """Deep nesting ends that file only, whatever is wrong with it."""
+    deep = b""
+    for _ in range(3_000):
+        deep = struct.pack(">I4s", len(deep) + 8, b"iprp") + deep
+    with pytest.raises(ImageError, match="nested"):
+        container.walk(deep)
+    good = next(iter(synthetic.fixtures().values()))
+    table = files.from_bytes(spark, {"deep": deep, "junk": bytes(range(256)) * 9, "good": good, "cut": good[: len(good) // 2], "none": b""})
+    rows = {r.file_id: r for r in files.scan_boxes(table).groupBy("file_id").agg(F.max("error").alias("error"), F.count("ord").alias("n")).collect()}
+    assert rows["deep"].error.code == "INVALID_CONTAINER" and rows["deep"].n == container.MOST_DEPTH + 1 and rows["good"].error is None
+    found = {r.file_id: r.error for r in files.metadata(table).collect()}
+    assert found["good"] is None and all(found[k] is not None for k in ("deep", "junk", "cut", "none"))
