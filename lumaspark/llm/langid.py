@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .frequent import most_frequent
 from .scratch import Scratch
-from .textkit import LetterWords, Spans, chunks, code_tables, mix, trimmed
+from .textkit import LetterWords, Spans, chunks, code_tables, give_back, mix, trimmed
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -140,7 +140,10 @@ def _lookup(rows: DataFrame, languages: int) -> tuple[np.ndarray, np.ndarray]:
     spans = Spans(np.frombuffer("".join(keys).encode("utf-32-le"), dtype="<u4"), code_tables()["value"])
     hashes = spans.span_hash(sizes[:-1], sizes[1:])
     order = np.argsort(hashes)
-    return hashes[order], np.array(found["scores"].to_pylist(), dtype=np.float64).reshape(-1, languages)[order]
+    scores = found["scores"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, languages)[order]
+    del found, keys, spans
+    give_back()
+    return hashes[order], scores
 
 
 def _find(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,12 +7,15 @@ laptop) is a local folder used.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Folders of tables that this process has made and not deleted, in order.
+MADE: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,6 +42,7 @@ class Scratch:
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(path)
+        MADE.append(self.root)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -54,3 +58,13 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path), True)
+
+
+def delete(spark: SparkSession, roots: list[str]) -> None:
+    """Delete folders of tables that nothing reads any more, and let the cleaner remove the shuffle files of plans that are gone."""
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.remove(root)
+    gc.collect()
+    spark._jvm.System.gc()

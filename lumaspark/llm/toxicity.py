@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import PUNCTUATION, Words, chunks, mix, trimmed
+from .textkit import PUNCTUATION, Words, chunks, give_back, mix, trimmed
 
 SLOTS = 1 << 15
 SIZE = 16
@@ -263,7 +263,10 @@ def train(
     found = rows.where(F.col("bytes") <= most_bytes).select("_id", "text", "lang", "toxic").collect()
     found.sort(key=lambda r: r["_id"])
     used = {t: max(1, sum(r.toxic == t for r in found)) for t in (0, 1)}
-    return fit([r.text for r in found], [r.toxic for r in found], [r.lang for r in found], tuple(sizes.get(t, 0) / used[t] for t in (0, 1)))
+    model = fit([r.text for r in found], [r.toxic for r in found], [r.lang for r in found], tuple(sizes.get(t, 0) / used[t] for t in (0, 1)))
+    del found
+    give_back()
+    return model
 
 
 def _score(model):
