@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .frequent import most_frequent
 from .pieces import PieceEncoder
 from .scratch import Scratch
-from .textkit import chunks, trimmed
+from .textkit import chunks, small_batches, trimmed
 
 #: Bytes of text that are encoded together.
 CHUNK = 3 << 19
@@ -398,6 +398,7 @@ def encode_decode(
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     lexicon = build_lexicon(ByteBpe(spec), frequent_words(docs, text_col, lexicon_words))
     columns = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .frequent import most_frequent
 from .scratch import Scratch
-from .textkit import LetterWords, Spans, chunks, code_tables, give_back, mix, trimmed
+from .textkit import LetterWords, Spans, chunks, code_tables, give_back, mix, small_batches, trimmed
 
 UNKNOWN = "und"
 LONGEST = 5
@@ -104,6 +104,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", broad
     ``broadcast_keys`` words and n-grams with their scores. Rows with a null text or language teach nothing; without any row that holds
     a word there are no languages. Very long texts and words are handled whole; repeated rows count again."""
     scratch = Scratch(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang is not null")
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
@@ -253,6 +254,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
         return docs.select(*[docs[c] for c in keep], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     spark, size = docs.sparkSession, len(model.languages)
     scratch = Scratch(spark)
+    small_batches(spark)
     known, grams = spark.sparkContext.broadcast(model.known_words), spark.sparkContext.broadcast(model.known_grams)
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_lang_text"))
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .scratch import Scratch
-from .textkit import Words, chunks, distinct_shingles, mix, trimmed
+from .textkit import Words, chunks, distinct_shingles, mix, small_batches, trimmed
 from .uneven import join_uneven
 
 MANTISSA_BITS = 10
@@ -278,6 +278,7 @@ def near_duplicate_classes(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    small_batches(spark)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
     schema = "row long, id long, copy long, n long, f1 long, f2 long, regs binary, bands array<long>"
     sig = scratch.keep(texts.mapInArrow(trimmed(_signatures(shingle, buckets, BAND_ROWS)), schema), "signatures")

@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1_500
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20240229)
@@ -40,6 +42,14 @@ def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send whole texts to Python by at most BATCH_ROWS rows: a batch stands in memory of the JVM and of the worker, several times. This
+    setting of the session stays, as results are computed later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def give_back() -> None:
     """Return freed memory of this process to the system."""
     pa.default_memory_pool().release_unused()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .bpe import TAIL, byte_alphabet
 from .pieces import PieceEncoder
 from .scratch import Scratch
-from .textkit import chunks, trimmed
+from .textkit import chunks, small_batches, trimmed
 
 SCHEMA = "doc_id long, n_tokens long, part long, part_start long, tokens array<int>"
 
@@ -165,6 +165,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, id_col: str =
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(trimmed(_encode(spec, end_id)), SCHEMA).write.options(**LAYOUT).parquet(path)

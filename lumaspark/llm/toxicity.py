@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import PUNCTUATION, Words, chunks, give_back, mix, trimmed
+from .textkit import PUNCTUATION, Words, chunks, give_back, mix, small_batches, trimmed
 
 SLOTS = 1 << 15
 SIZE = 16
@@ -288,6 +288,7 @@ def score(docs: DataFrame, model: Classifier, text_col: str = "text", keep: list
     Null and empty texts, and texts without a letter or digit, score by the intercept alone. Repeated rows give
     repeated results, an empty table an empty table; long texts are scored whole, one at a time. Other columns are ignored;
     the model, whose size is fixed, is broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias("_tox_text"))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
