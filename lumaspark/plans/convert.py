@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaspark.functions.limits import ImageError, Limits
@@ -146,8 +146,7 @@ def alpha_item(found: container.Parsed, primary: int) -> int | None:
     marked = []
     for item in found.items:
         prop = container.item_property(found, item, "auxC")
-        urn = prop["aux_type"] if prop else ""
-        if item != primary and (urn.endswith(":auxid:1") or "alpha" in urn.lower()):
+        if item != primary and prop and files.alpha_urn(prop["aux_type"]):
             marked.append(item)
     return min(marked, default=None)
 
@@ -175,7 +174,7 @@ def _apply(table: DataFrame, work, schema: str, limits: Limits) -> DataFrame:
     return table.select("file_id", length.alias("length"), "content").mapInArrow(_per_file(work, to_arrow_schema(_parse_datatype_string(schema)), limits), schema)
 
 
-def _checked(content: bytes, limits: Limits) -> bytes:
+def checked(content: bytes, limits: Limits) -> bytes:
     if limits.max_file_size is not None and len(content) > limits.max_file_size:
         raise ImageError("LIMIT_INPUT_BYTES", f"{len(content)} bytes")
     return content
@@ -187,7 +186,7 @@ def convert(table: DataFrame, options: Options | dict | None = None) -> DataFram
     chosen = options if isinstance(options, Options) else Options.of(options)
 
     def work(name: str, content: bytes) -> dict:
-        pixels, cut = decode_picture(_checked(content, chosen.limits), chosen.limits, chosen.apply_orientation)
+        pixels, cut = decode_picture(checked(content, chosen.limits), chosen.limits, chosen.apply_orientation)
         if chosen.format == "heic":
             data = content
         else:
@@ -202,16 +201,7 @@ def raw_pixels(table: DataFrame, options: Options | dict | None = None) -> DataF
     """``(file_id, image, error)``: decoded pixels in Spark's image structure."""
     chosen = options if isinstance(options, Options) else Options.of(options)
 
-    def work(name: str, content: bytes) -> dict:
-        pixels, _ = decode_picture(_checked(content, chosen.limits), chosen.limits, chosen.apply_orientation)
-        if chosen.pixel_format.startswith("bgr"):
-            pixels = pixels[..., [2, 1, 0, 3]]
-        if "a" not in chosen.pixel_format:
-            pixels = pixels[..., :3]
-        height, width, channels = pixels.shape
-        return {"image": {"origin": name, "height": height, "width": width, "nChannels": channels, "mode": IMAGE_MODES[chosen.pixel_format], "data": pixels.tobytes()}}
-
-    return _apply(table, work, f"file_id string, image {IMAGE}, error {ERROR}", chosen.limits)
+    return _apply(table, lambda name, content: {"image": raw_image(name, content, chosen)}, f"file_id string, image {IMAGE}, error {ERROR}", chosen.limits)
 
 
 def tile_pictures(table: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -219,7 +209,7 @@ def tile_pictures(table: DataFrame, limits: Limits = Limits()) -> DataFrame:
     tiles of one file spread over tasks."""
 
     def split(name: str, content: bytes) -> dict:
-        found = container.parse(_checked(content, limits), limits)
+        found = container.parse(checked(content, limits), limits)
         primary = files.primary_of(found)
         if primary is None:
             raise ImageError("INVALID_CONTAINER", "no primary item")
@@ -227,8 +217,7 @@ def tile_pictures(table: DataFrame, limits: Limits = Limits()) -> DataFrame:
         return {"streams": [container.annex_b(content, found, i) for i in items]}
 
     def work(name: str, content: bytes) -> dict:
-        rgb = hevc.decode(content, limits).rgb()
-        return {"image": {"origin": name, "height": rgb.shape[0], "width": rgb.shape[1], "nChannels": 3, "mode": IMAGE_MODES["rgb8"], "data": rgb.tobytes()}}
+        return {"image": image_row(name, hevc.decode(content, limits).rgb(), "rgb8")}
 
     streams = _apply(table, split, f"file_id string, streams array<binary>, error {ERROR}", limits)
     rows = streams.where("error is null").select("file_id", F.posexplode("streams").alias("tile_ord", "content"))
@@ -249,34 +238,17 @@ def image_pixels(images: DataFrame, key: str = "file_id", column: str = "image")
     return rows.select(key, F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"), *[F.when(channels > c, byte(c)).alias(f"c{c}") for c in range(4)])
 
 
-def register(spark: SparkSession) -> None:
-    """Functions for SQL: ``image_detect(content)``, ``image_convert(content, format, quality)``, ``image_adler32(data)`` and the table
-    function ``image_boxes(content)``."""
-    import zlib
+def raw_image(name: str, content: bytes, chosen: Options) -> dict:
+    """A file's pixels in Spark's image structure."""
+    pixels, _ = decode_picture(checked(content, chosen.limits), chosen.limits, chosen.apply_orientation)
+    return image_row(name, pixels, chosen.pixel_format)
 
-    from pyspark.sql.functions import udf, udtf
-
-    def converted(content: bytes, kind: str, quality: int) -> dict:
-        try:
-            chosen = Options.of({"format": kind, "quality": quality})
-            pixels, _ = decode_picture(_checked(bytes(content or b""), chosen.limits), chosen.limits)
-            flat = flatten(pixels, chosen.background) if chosen.format == "jpeg" else pixels
-            return {"data": encode.ENCODERS[chosen.format](flat, quality=chosen.quality), "error": None}
-        except Exception as e:  # whatever is wrong with one value is that row's error
-            return {"data": None, "error": files.failure(e)}
-
-    class Boxes:
-        def eval(self, content: bytes):
-            rows: list[dict] = []
-            try:
-                container.walk(bytes(content or b""), out=rows)
-            except ImageError:
-                pass  # rows before the bad box are kept
-            for row in rows:
-                yield tuple(row.values())
-
-    spark.udf.register("image_detect", udf(lambda content: container.detect(bytes(content or b"")), "boolean"))
-    spark.udf.register("image_convert", udf(converted, f"struct<data:binary,error:{ERROR}>"))
-    spark.udf.register("image_adler32", udf(lambda data: zlib.adler32(bytes(data or b"")), "bigint"))
-    spark.udtf.register("image_boxes", udtf(Boxes, returnType="ord: int, parent_ord: int, depth: int, box_type: string, offset: bigint, size: bigint, header_size: int"))
 
+def image_row(name: str | None, pixels: np.ndarray, pixel_format: str) -> dict:
+    """RGBA or RGB pixels as an image structure of a pixel format."""
+    if pixel_format.startswith("bgr"):
+        pixels = pixels[..., [2, 1, 0, 3][: pixels.shape[2]]]
+    if "a" not in pixel_format:
+        pixels = pixels[..., :3]
+    height, width, channels = pixels.shape
+    return {"origin": name, "height": height, "width": width, "nChannels": channels, "mode": IMAGE_MODES[pixel_format], "data": pixels.tobytes()}

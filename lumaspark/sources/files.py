@@ -1,7 +1,7 @@
 """Files as tables: scanning, detection, parsing, and the metadata query.
 
-One parse per file gives a row of arrays; ``tables`` inlines them into relations keyed by ``file_id``, and everything after that is
-joins and aggregations of operators.items. A file that fails carries an error and no rows elsewhere.
+One parse per file gives a row of arrays; ``tables`` inlines them into relations keyed by ``file_id`` for the joins and aggregations of
+operators.items. The metadata query reads a file's tables where they are parsed. A file that fails carries an error and no rows elsewhere.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumaspark.functions.checksums import read_uint
 from lumaspark.functions.limits import ImageError, Limits, dimension_code, file_size_code
+from lumaspark.functions.tables import PRIMARIES, QUARTER_TURNS
 from lumaspark.operators import items as ops
 
 from . import container
@@ -116,7 +117,7 @@ def failure(e: Exception) -> dict:
     return {"code": e.code, "message": e.message} if isinstance(e, ImageError) else {"code": "INTERNAL_ERROR", "message": f"{type(e).__name__}: {e}"[:500]}
 
 
-def _record(name: str, length: int, content: bytes, limits: Limits) -> dict:
+def record(name: str, length: int, content: bytes, limits: Limits) -> dict:
     out = {"file_id": name, "length": length, "error": None}
     try:
         if limits.max_file_size is not None and length > limits.max_file_size:
@@ -148,34 +149,44 @@ def _record(name: str, length: int, content: bytes, limits: Limits) -> dict:
     return out
 
 
-def primary_of(found: container.Parsed) -> int | None:
+def chosen_primary(declared: int | None, items: dict[int, dict]) -> int | None:
     """The declared primary item, else the smallest with a picture, else the smallest."""
-    if found.declared_primary is not None:
-        return found.declared_primary
-    pictures = [i for i, e in found.items.items() if e["item_type"] in ops.PICTURE_TYPES]
-    return min(pictures or found.items, default=None)
+    if declared is not None:
+        return declared
+    pictures = [i for i, e in items.items() if e["item_type"] in ops.PICTURE_TYPES]
+    return min(pictures or items, default=None)
+
+
+def primary_of(found: container.Parsed) -> int | None:
+    return chosen_primary(found.declared_primary, found.items)
 
 
 def tiles_of(found: container.Parsed, item: int) -> list[int]:
     return next((r["to_item_ids"] for r in found.references or [] if r["ref_type"] == "dimg" and r["from_item_id"] == item), [])
 
 
-def _parse(limits: Limits, schema: pa.Schema):
+def _per_row(files: DataFrame, schema: str, work: Callable[[str, int, bytes], dict]) -> DataFrame:
+    """``work(file_id, length, content)`` for every file; a file that is too large to be read has its length, but no content."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, length, content in zip(*(batch.column(c).to_pylist() for c in ("file_id", "length", "content")), strict=True):
-                yield pa.RecordBatch.from_pylist([_record(name, length if content is None else len(content), content or b"", limits)], schema=schema)
+                try:
+                    row = work(name, length if content is None else len(content), content or b"")
+                except Exception as e:  # whatever is wrong with one file is that file's error
+                    row = {"file_id": name, "error": failure(e)}
+                yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
-    return run
+    return files.select("file_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), "content").mapInArrow(run, schema)
 
 
 def parse(files: DataFrame, limits: Limits = Limits(), fail_fast: bool = False) -> DataFrame:
     """One row per file with every table as an array, or an error. With ``fail_fast`` the first error ends the query."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(PARSED))
-    out = files.select("file_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), "content").mapInArrow(_parse(limits, schema), PARSED)
+    out = _per_row(files, PARSED, lambda *file: record(*file, limits))
     if fail_fast:
         out = out.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "error.code", "error.message")).cast("boolean")).otherwise(True))
     return out
@@ -188,11 +199,9 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def metadata(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per file: brands, size, colour space, orientation, primary item, item count, grid, alpha and Exif items, or an error.
-
-    Items get their first properties by joins; limits on every item's size and extents beyond the file turn into errors."""
-    parsed = parse(files, limits)
+def joined_metadata(parsed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of ``metadata`` by joins of the relations of parsed files, for callers who hold those. ``parsed`` is used once for every
+    relation, so it should be a written table."""
     part = tables(parsed)
     head = parsed.select("file_id", "length", "major_brand", "compatible_brands", "declared_primary", "grid", "error")
     good = head.where("error is null")
@@ -246,6 +255,77 @@ def metadata(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return out.select("file_id", *[F.when(ok, c).alias(n) for n, c in values.items()], F.when(~ok, F.struct(F.col("error_code").alias("code"), message.alias("message"))).alias("error"))
 
 
+METADATA = (
+    "file_id string, major_brand string, compatible_brands array<string>, width bigint, height bigint, color_space string, orientation int, mirror_axis int, primary_item_id bigint, "
+    "item_count bigint, is_grid boolean, grid_rows bigint, grid_columns bigint, has_alpha boolean, alpha_item_id bigint, exif_item_id bigint, error struct<code:string,message:string>"
+)
+
+
+def alpha_urn(urn: str | None) -> bool:
+    """The same as ``items.is_alpha_urn``, for kernels."""
+    return urn is not None and (urn.endswith(":auxid:1") or "alpha" in urn.lower())
+
+
+def _size_code(width: int, height: int, limits: Limits) -> str | None:
+    try:
+        if width * height >= 1 << 63:
+            raise ImageError("LIMIT_DIMENSIONS", "product")
+        limits.check_size(width, height)
+    except ImageError as e:
+        return e.code
+    return None
+
+
+def describe(name: str, length: int, content: bytes, limits: Limits = Limits()) -> dict:
+    """What one file's tables say: a row of ``METADATA``. Every table is read once, so the work grows with their lengths only."""
+    row = record(name, length, content, limits)
+    if row["error"]:
+        return {"file_id": name, "error": row["error"]}
+    items = {e["item_id"]: e for e in row["items"]}
+    primary, grid = chosen_primary(row["declared_primary"], items), row.get("grid")
+    listed = {p["prop_idx"]: p for p in row["properties"]}
+    firsts: dict[int, dict[str, dict]] = {}
+    marked = []
+    for a in row["assoc"]:
+        prop, item = listed.get(a["prop_idx"]), a["item_id"]
+        if prop is None or item not in items:
+            continue
+        firsts.setdefault(item, {}).setdefault(prop["kind"], prop)
+        if item != primary and prop["kind"] == "auxC" and alpha_urn(prop.get("aux_type")):
+            marked.append(item)
+    sizes = {i: (p["ispe"]["width"], p["ispe"]["height"]) for i, p in firsts.items() if "ispe" in p}
+    if grid and primary in items:
+        sizes[primary] = (grid["width"], grid["height"])
+    code = min((c for w, h in sizes.values() if w > 0 and h > 0 and (c := _size_code(w, h, limits))), default=None)
+    ends = (e["base_offset"] + e["offset"] + e["length"] for e in row["extents"] if e["construction_method"] == 0 and e["item_id"] in items)
+    if code is None and max(ends, default=0) > length:
+        code = "MALFORMED_INPUT"
+    if code is not None:
+        return {"file_id": name, "error": {"code": code, "message": code}}
+    source = lambda kind: next((r["from_item_id"] for r in row["refs"] if r["ref_type"] == kind and r["to_item_id"] == primary), None)
+    alpha, exif = source("auxl"), source("cdsc")
+    alpha = min(marked, default=None) if alpha is None else alpha
+    exif = min((i for i, e in items.items() if e["item_type"] == "Exif"), default=None) if exif is None else exif
+    own = firsts.get(primary, {})
+    width, height = sizes.get(primary, (0, 0))
+    color = own.get("colr")
+    space = "srgb" if color is None else PRIMARIES.get(color["primaries"], "srgb") if color["color_kind"] == "nclx" else "icc"
+    return {
+        "file_id": name, "major_brand": row["major_brand"], "compatible_brands": row["compatible_brands"], "width": width, "height": height, "color_space": space,
+        "orientation": QUARTER_TURNS.get(own["irot"]["angle_ccw"]) if "irot" in own else None, "mirror_axis": own["imir"]["mirror_axis"] if "imir" in own else None,
+        "primary_item_id": primary, "item_count": len(items), "is_grid": grid is not None, "grid_rows": grid["rows"] if grid else 0, "grid_columns": grid["columns"] if grid else 0,
+        "has_alpha": alpha is not None, "alpha_item_id": alpha, "exif_item_id": exif, "error": None,
+    }
+
+
+def metadata(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """One row per file: brands, size, colour space, orientation, primary item, item count, grid, alpha and Exif items, or an error;
+    limits on every item's size and extents beyond the file turn into errors too.
+
+    The parse holds all tables of a file, so they are read there: one pass, no shuffle, and only the answer leaves the worker."""
+    return _per_row(files, METADATA, lambda *file: describe(*file, limits))
+
+
 def inspect(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The short form: width, height, number of items and whether there is alpha."""
     return metadata(files, limits).select("file_id", "width", "height", F.col("item_count").alias("image_count"), "has_alpha", "error")

@@ -1,14 +1,16 @@
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumaspark.functions import tables
 from lumaspark.functions.limits import ImageError, Limits
 from lumaspark.operators import encode, hevc
-from lumaspark.plans import convert
+from lumaspark.plans import convert, requests, sql
 from lumaspark.sources import files, synthetic
 
 
@@ -215,11 +217,63 @@ def test_options():
 
 
 def test_sql_functions(spark):
-    convert.register(spark)
-    files.from_bytes(spark, synthetic.pictures() | synthetic.fixtures()).createOrReplaceTempView("pics")
+    """Scalar functions equal the operators over tables; table functions equal the relations of the parse."""
+    sql.register(spark)
+    table = files.from_bytes(spark, synthetic.pictures() | synthetic.fixtures() | {"bad_empty": b""})
+    table.createOrReplaceTempView("pics")
     assert spark.sql("select count(*) n from pics where image_detect(content)").first().n >= 15
-    assert spark.sql("select b.* from pics, lateral image_boxes(content) b where file_id = 'plain' and b.box_type = 'ispe'").count() == 1
+    assert spark.sql("select b.* from pics, lateral image_boxes(content) b where file_id = 'plain' and b.box_type = 'ispe'").count() >= 1
     assert spark.sql("select image_convert(content, 'png', 90).data d from pics where file_id = 'turned'").first().d.startswith(b"\x89PNG")
+    assert spark.sql("select image_convert(null, 'png', 90).error.code c").first().c is not None
+    assert spark.sql("select image_convert(content, 'gif', 90).error.code c from pics where file_id = 'turned'").first().c == "INVALID_OPTIONS"
+    by_id = lambda df: sorted(df.collect(), key=str)
+    assert by_id(spark.sql("select file_id, p.* from (select file_id, image_probe(content) p from pics)")) == by_id(files.metadata(table))
+    assert by_id(spark.sql("select file_id, p.* from (select file_id, image_inspect(content) p from pics)")) == by_id(files.inspect(table))
+    raw = convert.raw_pixels(table, {"pixelFormat": "bgr8"}).where("image is not null").select("file_id", "image.data")
+    assert by_id(spark.sql("select file_id, p.image.data from (select file_id, image_raw_pixels(content, 'bgr8') p from pics) where p.image is not null")) == by_id(raw)
+    assert spark.sql("select image_decode_item(content, 1).image.nChannels n from pics where file_id = 'masked'").first().n == 3
+    assert spark.sql("select image_decode_item(content, 99).error.code c from pics where file_id = 'masked'").first().c is not None
+    parts = files.tables(files.parse(table))
+    for name in ("items", "extents", "properties", "refs"):
+        assert by_id(spark.sql(f"select file_id, t.* from pics, lateral image_{name}(content) t")) == by_id(parts[name]), name
+    assert spark.sql("select * from image_items(null)").count() == 0
+
+
+def test_requests(spark, tmp_path):
+    """A request gives its result, or an error row for every file if it runs out of time or is called off; others go on."""
+    table = files.from_bytes(spark, synthetic.pictures())
+    made = requests.Requests(spark, timeout=120)
+    good = made.send({"kind": "convert", "table": table, "options": {"format": "png"}, "path": str(tmp_path / "good")})
+    assert good.result().where("error is null").count() == 5 and good.error is None and made.pending() == []
+
+    def slow(batches):
+        time.sleep(60)
+        yield from batches
+
+    stuck = table.mapInArrow(slow, files.FILE_SCHEMA)
+    began = time.monotonic()
+    late = made.send({"kind": "detect", "table": stuck, "path": str(tmp_path / "late")}, timeout=2)
+    signal = requests.Signal()
+    off = made.send({"kind": "inspect", "table": stuck, "path": str(tmp_path / "off")}, signal=signal)
+    assert set(made.pending()) == {late.id, off.id}
+    signal.abort()
+    assert {r.error.code for r in off.rows(table).collect()} == {"OPERATION_ABORTED"} and off.rows(table).count() == len(synthetic.pictures())
+    with pytest.raises(ImageError) as failed:
+        late.result()
+    assert failed.value.code == "TIMEOUT" and time.monotonic() - began < 50
+    with pytest.raises(ImageError, match="aborted"):
+        made.send({"kind": "detect", "table": table, "path": str(tmp_path / "none")}, signal=signal)
+    with pytest.raises(ImageError) as unknown:
+        made.send({"kind": "print", "table": table, "path": str(tmp_path / "none")})
+    assert unknown.value.code == "INVALID_OPTIONS"
+    broken = made.send({"kind": "detect", "table": table.select("file_id", F.raise_error(F.lit("x")).cast("binary").alias("content")), "path": str(tmp_path / "broken")})
+    with pytest.raises(ImageError) as internal:
+        broken.result()
+    assert internal.value.code == "INTERNAL_ERROR"
+    third = made.send({"kind": "probe", "table": stuck, "path": str(tmp_path / "third")})
+    made.close()
+    assert third.error["code"] == "OPERATION_ABORTED" and made.pending() == []
+    assert requests.shared(spark) is requests.shared(spark)
 
 
 def test_stream(spark, tmp_path):

@@ -106,3 +106,30 @@ def test_nested_boxes_and_broken_files_are_error_rows(spark):
     assert rows["deep"].error.code == "INVALID_CONTAINER" and rows["deep"].n == container.MOST_DEPTH + 1 and rows["good"].error is None
     found = {r.file_id: r.error for r in files.metadata(table).collect()}
     assert found["good"] is None and all(found[k] is not None for k in ("deep", "junk", "cut", "none"))
+
+
+def test_metadata_is_one_pass_and_equals_the_joins(spark):
+    """The kernel's rows are those that joins of the relations give, for whole and for cut files."""
+    named = synthetic.fixtures() | synthetic.pictures() | {"bad_empty": b""}
+    named |= {f"{name}_cut_{n}": data[:-n] for name, data in synthetic.fixtures().items() for n in (1, 9) if len(data) > 40}
+    table = files.from_bytes(spark, named)
+    for limits in (Limits(), Limits(max_width=1500), Limits.none()):
+        found = files.metadata(table, limits)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+        joined = files.joined_metadata(files.parse(table, limits), limits)
+        assert found.columns == joined.columns
+        assert sorted(found.collect(), key=lambda r: r.file_id) == sorted(joined.collect(), key=lambda r: r.file_id)
+
+
+def test_dangling_rows_of_a_file(spark):
+    """Associations and extents of items that do not exist count for nothing; an undeclared size is zero."""
+    row = {"error": None, "items": [{"item_id": 5, "item_type": "hvc1"}], "declared_primary": 4, "properties": [{"prop_idx": 1, "kind": "ispe", "width": 10**6, "height": 1}]}
+    row |= {"assoc": [{"item_id": 4, "assoc_ord": 0, "prop_idx": 1}, {"item_id": 5, "assoc_ord": 0, "prop_idx": 9}], "refs": [], "major_brand": "heic", "compatible_brands": []}
+    row |= {"extents": [{"item_id": 4, "construction_method": 0, "base_offset": 0, "offset": 0, "length": 10**9}]}
+    held, files.record = files.record, lambda *_: row
+    try:
+        got = files.describe("x", 10, b"")
+    finally:
+        files.record = held
+    assert (got["error"], got["width"], got["height"], got["primary_item_id"], got["item_count"], got["has_alpha"]) == (None, 0, 0, 4, 1, False)
