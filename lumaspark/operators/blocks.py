@@ -27,10 +27,11 @@ def dequantize(value: Column, size: int, qp: int, bit_depth: int = 8, transform_
 def inverse_transform(blocks: DataFrame, rows: Sequence[Sequence[int]], bit_depth: int = 8) -> DataFrame:
     """Two passes of a separable transform: rows with a shift of 7, then columns with 20 less the bit depth.
 
-    The coefficient relation has a fixed size, so it is broadcast; each pass is one aggregation by block."""
+    The coefficient relation has a fixed size, so it is broadcast. Samples are partitioned by block once, which serves the aggregations of
+    both passes: one shuffle, of the samples themselves and not of their products."""
     table = F.broadcast(matrix(blocks.sparkSession, rows))
     last = 20 - bit_depth
-    first = blocks.withColumnRenamed("x", "k").join(table, "k").groupBy("block_id", "y", F.col("n").alias("x"))
+    first = blocks.repartition("block_id").withColumnRenamed("x", "k").join(table, "k").groupBy("block_id", "y", F.col("n").alias("x"))
     half = first.agg(F.shiftright(F.sum(F.col("v") * F.col("c")) + 64, 7).alias("v"))
     second = half.withColumnRenamed("y", "k").join(table, "k").groupBy("block_id", "x", F.col("n").alias("y"))
     return second.agg(F.shiftright(F.sum(F.col("v") * F.col("c")) + (1 << (last - 1)), last).alias("v")).select("block_id", "x", "y", "v")
@@ -111,6 +112,40 @@ def smooth_references(refs: DataFrame, keys: Sequence[str], order: str = "i", va
     return refs.withColumn("smooth", F.coalesce(smooth, F.col(value)))
 
 
+def smoothing_wanted(size: int, mode: int) -> bool:
+    """Whether luma references of a block are smoothed before prediction in a mode (0 planar, 1 mean, 2 to 34 directions)."""
+    if size == 8:
+        return mode in (0, 2, 18, 22, 26, 30, 34)
+    near = {16: (9, 10, 11, 25, 26, 27), 32: (10, 26)}
+    return size in near and mode not in near[size]
+
+
+def filtered_references(top: Column, left: Column, size: int, mode: int, bit_depth: int = 8) -> tuple[Column, Column]:
+    """Reference arrays as prediction takes them: as they are, smoothed by three taps around the shared corner, or for flat blocks of 32
+    the straight line from the corner to either end."""
+    if not smoothing_wanted(size, mode):
+        return top, left
+    whole = 2 * size
+    at = lambda line, i: F.element_at(line, F.lit(i + 1)).cast("long")
+    corner = F.shiftright(at(left, 1) + 2 * at(top, 0) + at(top, 1) + 2, 2)
+
+    def taps(line: Column) -> Column:
+        near = lambda i: F.element_at(line, i + 1).cast("long")
+        inner = F.transform(F.sequence(F.lit(1), F.lit(whole - 1)), lambda i: F.shiftright(near(i - 1) + 2 * near(i) + near(i + 1) + 2, 2))
+        return F.concat(F.array(corner), inner, F.array(at(line, whole)))
+
+    if size != 32:
+        return taps(top), taps(left)
+
+    def straight(line: Column) -> Column:
+        places = F.sequence(F.lit(1), F.lit(whole))
+        return F.concat(F.array(at(line, 0)), F.transform(places, lambda i: F.shiftright((whole - i) * at(top, 0) + i * at(line, whole) + 32, 6).cast("long")))
+
+    bend = lambda line: F.abs(at(line, 0) - 2 * at(line, size) + at(line, whole))
+    flat = (bend(top) < 1 << (bit_depth - 5)) & (bend(left) < 1 << (bit_depth - 5))
+    return F.when(flat, straight(top)).otherwise(taps(top)), F.when(flat, straight(left)).otherwise(taps(left))
+
+
 # --- filters ---
 
 
@@ -167,6 +202,19 @@ def sao_edge_row(row: Column, offsets: Sequence[int], bit_depth: int = 8) -> Col
     return F.concat(F.aggregate(inner, first, step), F.when(F.size(row) > 1, F.slice(row, -1, 1)).otherwise(F.array().cast("array<bigint>")))
 
 
+def sao_edge(samples: DataFrame, edge_class: int, width: int, height: int, offsets: Sequence[int], key: str = "image_id", bit_depth: int = 8) -> DataFrame:
+    """Edge offsets of blocks ``(key, x, y, v)`` along rows (class 0), columns (1), falling (2) or rising diagonals (3), in place.
+
+    Samples on one line only ever see that line, so a line is the unit of work: one shuffle by block and line. The rim stays."""
+    line, along = {0: ("y", "x"), 1: ("x", "y"), 2: ("x - y", "y"), 3: ("x + y", "y")}[edge_class]
+    lines = samples.groupBy(key, F.expr(line).alias("line")).agg(F.sort_array(F.collect_list(F.struct(F.expr(along).alias("along"), "x", "y", "v"))).alias("s"))
+    before = F.transform("s", lambda s: s["v"].cast("long"))
+    rim = F.col("line").isin(0, (height if edge_class == 0 else width) - 1) if edge_class < 2 else F.lit(False)
+    changed = lines.withColumn("new", F.when(rim, before).otherwise(sao_edge_row(before, offsets, bit_depth)))
+    rows = changed.select(key, F.explode(F.arrays_zip("s", "new")).alias("r"))
+    return rows.select(key, "r.s.x", "r.s.y", F.col("r.new").alias("v"))
+
+
 def reconstruct(predicted: Column, residual: Column, bit_depth: int = 8) -> Column:
     """A sample from its prediction and residual."""
     return _clamp(predicted + residual, 0, (1 << bit_depth) - 1).cast("long")
@@ -206,7 +254,7 @@ def code_bits(value: Column) -> Column:
     return F.when(value < 0, value + F.call_function("shiftleft", F.lit(1).cast("long"), size.cast("int")) - 1).otherwise(value)
 
 
-def dc_differences(blocks: DataFrame, component: str, order: str, value: str = "v") -> DataFrame:
-    """Each block's DC value less the one before in its component."""
-    line = Window.partitionBy(component).orderBy(order)
+def dc_differences(blocks: DataFrame, keys: Sequence[str], order: str, value: str = "v") -> DataFrame:
+    """Each block's DC value less the one before in its picture and component (``keys``)."""
+    line = Window.partitionBy(*keys).orderBy(order)
     return blocks.withColumn("diff", F.col(value) - F.coalesce(F.lag(value).over(line), F.lit(0)))

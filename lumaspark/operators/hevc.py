@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from lumaspark.functions.limits import ImageError, Limits
+from lumaspark.operators.blocks import smoothing_wanted
 from lumaspark.functions.tables import ANGLES, BETA, DST4, INVERSE_ANGLES, LEVEL_SCALE, TC, dct_matrix
 
 VPS, SPS, PPS = 32, 33, 34
@@ -439,12 +440,7 @@ def inverse_transform(block: np.ndarray, bit_depth: int, sine: bool = False, com
 
 def smooth(top: np.ndarray, left: np.ndarray, size: int, mode: int, bit_depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Reference smoothing for luma, by size and mode; flat 32-blocks are interpolated between the corners."""
-    wanted = {
-        8: mode in (0, 2) or (18 <= mode <= 34 and (mode - 18) % 4 == 0),
-        16: mode not in (9, 10, 11, 25, 26, 27),
-        32: mode not in (10, 26),
-    }
-    if not wanted.get(size, False):
+    if not smoothing_wanted(size, mode):
         return top, left
     if size == 32:
         flat = all(abs(int(top[0]) - 2 * int(line[size]) + int(line[2 * size])) < 1 << (bit_depth - 5) for line in (top, left))

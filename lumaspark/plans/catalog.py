@@ -207,14 +207,18 @@ def predict_dc(spark, sf_dir):
     return _cells(spark, sf_dir).select("image_id", "x", "y", blocks.dc(F.col("top"), F.col("left"), F.col("x"), F.col("y"), 4).alias("v"))
 
 
+#: Angles of modes 2 to 34, from the public standard; the SQL derives inverse angles from them.
+_ANGLES = [32, 26, 21, 17, 13, 9, 5, 2, 0, -2, -5, -9, -13, -17, -21, -26, -32, -26, -21, -17, -13, -9, -5, -2, 0, 2, 5, 9, 13, 17, 21, 26, 32]
+
+
 def _angular_sql(mode: int) -> str:
-    angle = tables.ANGLES[mode - 2]
+    angle = _ANGLES[mode - 2]
     main, side, along, across = ("top", '"left"', "x", "y") if mode >= 18 else ('"left"', "top", "y", "x")
 
     def sample(at: str) -> str:
         if angle >= 0:
             return f"{main}[{at} + 1]"
-        inverse = tables.INVERSE_ANGLES[mode - 11]
+        inverse = round(8192 / angle)
         return f"case when {at} >= 0 then {main}[greatest({at}, 0) + 1] else {side}[greatest(0, least(8, ({at} * {inverse} + 128) >> 8)) + 1] end"
 
     value = f"case when part = 0 then {sample('place_')} else ((32 - part) * ({sample('place_')}) + part * ({sample('(place_ + 1)')}) + 16) >> 5 end"
@@ -233,7 +237,7 @@ def _angular(mode: int) -> None:
     query(_angular_sql(mode))(run)
 
 
-for _mode in (2, 7, 10, 14, 18, 23, 26, 29, 34):
+for _mode in range(2, 35):
     _angular(_mode)
 
 
@@ -247,17 +251,26 @@ _EDGE = f"""select p.image_id, p.y, max(case when p.x = 7 then p.v end) as p0, m
   from ({PX}) p join ({PX}) q on q.image_id = p.image_id + 1 and q.y = p.y and q.x = 7 - p.x where p.x >= 5 group by p.image_id, p.y"""
 
 
-@query(f"""select image_id, y, case when on_ and dp < side then least(255, greatest(0, p1 + greatest(-half, least(half, (((p2 + p0 + 1) >> 1) - p1 + delta) >> 1)))) else p1 end as p1,
+def _deblock(qp: int, beta: int, tc: int) -> None:
+    """``beta`` and ``tc`` as the public standard gives them for ``qp``; the operator looks them up."""
+
+    def run(spark, sf_dir):
+        px = shapes.blocks(spark, sf_dir)
+        left = px.where("x >= 5").groupBy("image_id", "y").agg(*[F.max(F.when(F.col("x") == 7 - i, F.col("v"))).alias(f"p{i}") for i in range(3)])
+        right = px.where("x <= 2").groupBy((F.col("image_id") - 1).alias("image_id"), "y").agg(*[F.max(F.when(F.col("x") == i, F.col("v"))).alias(f"q{i}") for i in range(3)])
+        new = blocks.deblock_edge([F.col(f"p{i}") for i in range(3)], [F.col(f"q{i}") for i in range(3)], qp)
+        return left.join(right, ["image_id", "y"]).select("image_id", "y", *[c.alias(n) for n, c in new.items()])
+
+    run.__name__ = "deblock_v8" if qp == 45 else f"deblock_v8_qp{qp}"
+    query(f"""select image_id, y, case when on_ and dp < side then least(255, greatest(0, p1 + greatest(-half, least(half, (((p2 + p0 + 1) >> 1) - p1 + delta) >> 1)))) else p1 end as p1,
   case when on_ then least(255, greatest(0, p0 + delta)) else p0 end as p0, case when on_ then least(255, greatest(0, q0 - delta)) else q0 end as q0,
   case when on_ and dq < side then least(255, greatest(0, q1 + greatest(-half, least(half, (((q2 + q0 + 1) >> 1) - q1 - delta) >> 1)))) else q1 end as q1
-  from (select *, {tables.TC[47] >> 1} as half, ({tables.BETA[45]} + ({tables.BETA[45]} >> 1)) >> 3 as side, abs(p2 - 2 * p1 + p0) as dp, abs(q2 - 2 * q1 + q0) as dq,
-    abs(p2 - 2 * p1 + p0) + abs(q2 - 2 * q1 + q0) < {tables.BETA[45]} as on_, greatest(-{tables.TC[47]}, least({tables.TC[47]}, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4)) as delta from ({_EDGE}))""")
-def deblock_v8(spark, sf_dir):
-    px = shapes.blocks(spark, sf_dir)
-    left = px.where("x >= 5").groupBy("image_id", "y").agg(*[F.max(F.when(F.col("x") == 7 - i, F.col("v"))).alias(f"p{i}") for i in range(3)])
-    right = px.where("x <= 2").groupBy((F.col("image_id") - 1).alias("image_id"), "y").agg(*[F.max(F.when(F.col("x") == i, F.col("v"))).alias(f"q{i}") for i in range(3)])
-    new = blocks.deblock_edge([F.col(f"p{i}") for i in range(3)], [F.col(f"q{i}") for i in range(3)], 45)
-    return left.join(right, ["image_id", "y"]).select("image_id", "y", *[c.alias(n) for n, c in new.items()])
+  from (select *, {tc} >> 1 as half, ({beta} + ({beta} >> 1)) >> 3 as side, abs(p2 - 2 * p1 + p0) as dp, abs(q2 - 2 * q1 + q0) as dq,
+    abs(p2 - 2 * p1 + p0) + abs(q2 - 2 * q1 + q0) < {beta} as on_, greatest(-{tc}, least({tc}, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4)) as delta from ({_EDGE}))""")(run)
+
+
+for _qp, _beta, _tc in ((10, 0, 0), (22, 12, 1), (30, 22, 3), (37, 36, 5), (45, 52, 13), (51, 64, 24)):
+    _deblock(_qp, _beta, _tc)
 
 
 @query(f"""select image_id, x, y, case v >> 3 when 14 then least(255, v + 2) when 15 then least(255, v + 4) when 16 then least(255, v + 6) when 17 then least(255, v + 8) else v end as v from ({PX})""")
@@ -274,6 +287,57 @@ def sao_edge_row(spark, sf_dir):
     return rows.select("image_id", "y", F.array_join(blocks.sao_edge_row(F.col("row"), (1, 1, 1, 1)).cast("array<string>"), ",").alias("row_"))
 
 
+def _sao_edge(edge_class: int, line: str, along: str, first: str, x: str, y: str) -> None:
+    """``line`` and ``along`` number a sample's line and its place there; ``first`` is the row where a diagonal starts, ``x`` and ``y`` go back."""
+    rim = "chain not in (0, 7)" if edge_class < 2 else "true"
+
+    def run(spark, sf_dir):
+        return blocks.sao_edge(shapes.blocks(spark, sf_dir), edge_class, 8, 8, (3, 2, 4, 5))
+
+    run.__name__ = f"sao_edge_{edge_class}"
+    query(f"""with recursive r as (select image_id, {line} as chain, list(v order by {along}) as l from ({PX}) group by image_id, {line}),
+  f(image_id, chain, l, i, o) as (select image_id, chain, l, 2, [l[1]] from r
+    union all select image_id, chain, l, i + 1, list_append(o, case when {rim} then greatest(0, least(255, l[i] + case when l[i] < o[i - 1] and l[i] < l[i + 1] then 3
+      when l[i] > o[i - 1] and l[i] > l[i + 1] then -5 when least(o[i - 1], l[i + 1]) = l[i] and greatest(o[i - 1], l[i + 1]) > l[i] then 2
+      when greatest(o[i - 1], l[i + 1]) = l[i] and least(o[i - 1], l[i + 1]) < l[i] then -4 else 0 end)) else l[i] end) from f where i < len(l)),
+  done as (select image_id, chain, case when len(l) = 1 then l else list_append(o, l[len(l)]) end as o, {first} as y0 from f where i = greatest(2, len(l))),
+  cells as (select image_id, chain, y0, unnest(o) as v, unnest(range(0, len(o))) as k from done)
+  select image_id, ({x})::bigint as x, ({y})::bigint as y, v from cells""")(run)
+
+
+_sao_edge(0, "y", "x", "0", "k", "chain")
+_sao_edge(1, "x", "y", "0", "chain", "k")
+_sao_edge(2, "x - y", "y", "greatest(0, -chain)", "y0 + k + chain", "y0 + k")
+_sao_edge(3, "x + y", "y", "greatest(0, chain - 7)", "chain - y0 - k", "y0 + k")
+
+
+def _filtered(size: int, mode: int) -> None:
+    """References of 2 * size + 1 samples: a level of each embedding as the corner, its levels forwards and backwards; every other is made flat."""
+    whole = 2 * size
+
+    def run(spark, sf_dir):
+        level = lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v + F.lit(0.5)) * 255))).cast("long")
+        line = F.transform("embedding", lambda v: F.when(F.col("vec_id") % 2 == 0, 100 + level(v) % 4).otherwise(level(v)))
+        rows = shapes.table(spark, sf_dir, "embeddings").select("vec_id", F.slice(line, 1, whole).alias("l"))
+        corner = F.slice("l", 1, 1)
+        top, left = blocks.filtered_references(F.concat(corner, F.col("l")), F.concat(corner, F.reverse("l")), size, mode)
+        text = lambda c: F.array_join(c.cast("array<string>"), ",")
+        return rows.select(F.col("vec_id").alias("image_id"), text(top).alias("top"), text(left).alias("left"))
+
+    run.__name__ = f"filtered_refs_{size}"
+    taps = lambda line: f"[(l[{whole}] + 2 * l[1] + l[1] + 2) >> 2] || list_transform(range(2, {whole + 1}), lambda i: ({line}[i - 1] + 2 * {line}[i] + {line}[i + 1] + 2) >> 2) || [{line}[{whole + 1}]]"
+    straight = lambda line: f"[l[1]] || list_transform(range(1, {whole + 1}), lambda i: ((({whole} - i) * l[1] + i * {line}[{whole + 1}] + 32) >> 6)::bigint)"
+    flat = f"abs(t[1] - 2 * t[{size + 1}] + t[{whole + 1}]) < 8 and abs(b[1] - 2 * b[{size + 1}] + b[{whole + 1}]) < 8" if size == 32 else "false"
+    query(f"""select image_id, array_to_string(case when {flat} then {straight("t")} else {taps("t")} end, ',') as top, array_to_string(case when {flat} then {straight("b")} else {taps("b")} end, ',') as "left"
+  from (select *, [l[1]] || l as t, [l[1]] || list_reverse(l) as b from (
+    select image_id, (list(case when image_id % 2 = 0 then 100 + v % 4 else v end order by y, x))[1:{whole}] as l from ({PX}) group by image_id))""")(run)
+
+
+_filtered(8, 18)
+_filtered(16, 2)
+_filtered(32, 1)
+
+
 def _entries(base) -> str:
     return "(values " + ", ".join(f"({i}, {v})" for i, v in enumerate(base)) + ")"
 
@@ -300,10 +364,13 @@ def zigzag_rle(spark, sf_dir):
     return blocks.run_lengths(_zigzagged(spark, sf_dir))
 
 
-@query(f"select component, block_id, v, v - coalesce(lag(v) over (partition by component order by block_id), 0) as diff from (select block_id % 64 as component, block_id, v from ({_ZZ}) where i = 0)")
+@query(f"""select picture, component, block_id, v, v - coalesce(lag(v) over (partition by picture, component order by block_id), 0) as diff
+  from (select block_id // 48 as picture, block_id % 3 as component, block_id, v from ({_ZZ}) where i = 0)""")
 def dc_diff(spark, sf_dir):
-    first = _zigzagged(spark, sf_dir).where("i = 0").select((F.col("block_id") % 64).alias("component"), "block_id", "v")
-    return blocks.dc_differences(first, "component", "block_id")
+    """Pictures of 48 blocks in three components."""
+    place = [F.floor(F.col("block_id") / 48).alias("picture"), (F.col("block_id") % 3).alias("component")]
+    first = _zigzagged(spark, sf_dir).where("i = 0").select(*place, "block_id", "v")
+    return blocks.dc_differences(first, ["picture", "component"], "block_id")
 
 
 @query(f"""select block_id, x, y, v, case when v = 0 then 0 else length(bin(abs(v))) end::bigint as bits,
@@ -516,10 +583,17 @@ def _lengths(kind: str) -> list[tuple[int, int, int]]:
     return [(place, symbol, n) for place, (symbol, n) in enumerate(zip(symbols, bits, strict=True))]
 
 
-@query(f"""select symbol::bigint as symbol, bits::bigint as bits, (coalesce(sum(1::bigint << (16 - bits)) over (order by place rows between unbounded preceding and 1 preceding), 0)::bigint) >> (16 - bits) as code
-  from (values {", ".join(map(str, _lengths("luma")))}) t(place, symbol, bits)""")
-def huffman_codes(spark, sf_dir):
-    return blocks.canonical_codes(spark.createDataFrame(_lengths("luma"), "place long, symbol long, bits long"))
+def _huffman(kind: str) -> None:
+    def run(spark, sf_dir):
+        return blocks.canonical_codes(spark.createDataFrame(_lengths(kind), "place long, symbol long, bits long"))
+
+    run.__name__ = "huffman_codes" if kind == "luma" else f"huffman_codes_{kind}"
+    query(f"""select symbol::bigint as symbol, bits::bigint as bits, (coalesce(sum(1::bigint << (16 - bits)) over (order by place rows between unbounded preceding and 1 preceding), 0)::bigint) >> (16 - bits) as code
+  from (values {", ".join(map(str, _lengths(kind)))}) t(place, symbol, bits)""")(run)
+
+
+for _kind in encode.AC_SYMBOLS:
+    _huffman(_kind)
 
 
 @query("""select o_orderkey as file_id, text, case when lower(trim(text)) in ('jpeg', 'jpg', 'image/jpeg', 'image/jpg') then 'jpeg' when lower(trim(text)) in ('png', 'image/png') then 'png'

@@ -32,6 +32,11 @@ def test_scans_read_needed_columns_only(spark):
     assert "PushedFilters: [GreaterThan(p_partkey,0)" in plan(catalog.queries()["prop_join"](spark, SF)).replace(" ,", ",")
 
 
+def test_transforms_and_edge_offsets_shuffle_once(spark):
+    for name in ("idct8", "idct16", "idct32", "dst4", "sao_edge_2"):
+        assert plan(catalog.queries()[name](spark, SF)).count("Exchange hashpartitioning") == 1, name
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["image_id", "x", "y", "r", "g", "b"] and df.count() > 0
