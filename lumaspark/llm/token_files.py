@@ -30,6 +30,8 @@ SCHEMA = "doc_id long, n_tokens long, part long, part_start long, tokens array<i
 
 #: Bytes of text that are encoded together.
 CHUNK = 4 << 20
+#: Words and runs of marks whose ids a worker process remembers, and the most bytes of one; when there are more, the half most used stays.
+MEMO, MEMO_BYTES = 500_000, 40
 #: Writer settings: version 2 pages give delta encoding where no dictionary is used.
 LAYOUT = {
     "compression": "zstd",
@@ -60,7 +62,8 @@ class LibraryEncoder(PieceEncoder):
     """Encodes with the public tokenizers library, without its own threads.
 
     Each distinct word of letters in a chunk goes to the library's BPE model once, in the vocabulary's alphabet, without the marks
-    at its end; so does each distinct run of marks. Everything else goes through the library's whole pipeline."""
+    at its end; so does each distinct run of marks. Those that chunks before had are remembered as columns of strings and ids.
+    Everything else goes through the library's whole pipeline."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,6 +77,8 @@ class LibraryEncoder(PieceEncoder):
         alphabet = {byte: char for char, byte in byte_alphabet().items()}
         self.alphabet = np.array([ord(alphabet[b]) for b in range(256)], dtype="<u4")
         self.model = self.whole.model
+        self.met, self.met_ids = pa.array([], pa.large_string()), np.zeros(0, dtype="<u4")
+        self.met_sizes, self.met_uses = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,19 +94,47 @@ class LibraryEncoder(PieceEncoder):
             sizes.append(len(found))
         return np.array(ids, dtype="<u4"), np.array(sizes, dtype=np.int64)
 
+    def _remember(self, matches: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        short = pc.less_equal(pc.binary_length(matches), MEMO_BYTES).to_numpy(zero_copy_only=False)
+        self.met = pa.concat_arrays([self.met, matches.filter(pa.array(short))])
+        self.met_ids = np.concatenate((self.met_ids, ids[np.repeat(short, sizes)]))
+        self.met_sizes = np.concatenate((self.met_sizes, sizes[short]))
+        self.met_uses = np.concatenate((self.met_uses, np.zeros(short.sum(), dtype=np.int64)))
+        if len(self.met) > MEMO:
+            stays = np.zeros(len(self.met), dtype=bool)
+            stays[np.argsort(self.met_uses, kind="stable")[-(MEMO // 2) :]] = True
+            self.met, self.met_ids = self.met.filter(pa.array(stays)), self.met_ids[np.repeat(stays, self.met_sizes)]
+            self.met_sizes, self.met_uses = self.met_sizes[stays], self.met_uses[stays] // 2
+
+    def _lists(self, matches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first id of each, number of ids of each) of distinct matches; only those not remembered go to the model."""
+        found = pc.index_in(self.met, value_set=matches).fill_null(-1).to_numpy()  # this way round the hash table is the small one
+        place = np.full(len(matches), -1, dtype=np.int64)
+        at = np.flatnonzero(found >= 0)
+        place[found[at]] = at
+        new = place < 0
+        old = place[~new]
+        self.met_uses[old] += 1
+        start, size = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.int64)
+        start[~new], size[~new] = (np.cumsum(self.met_sizes) - self.met_sizes)[old], self.met_sizes[old]
+        pool = self.met_ids
+        if new.any():
+            unseen = matches.filter(pa.array(new))
+            ids, sizes = self._matches(unseen)
+            start[new], size[new] = np.cumsum(sizes) - sizes + len(pool), sizes
+            pool = np.concatenate((pool, ids))
+            self._remember(unseen, ids, sizes)
+        return pool, start, size
+
     def _simple(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        pool, starts, sizes, at = [], [], [], 0
-        for part in (pc.utf8_rtrim(pieces, characters=TAIL), pc.replace_substring_regex(pieces, _CORE, "")):
-            distinct = part.dictionary_encode()
-            ids, size = self._matches(distinct.dictionary)
-            which = distinct.indices.to_numpy()
-            pool.append(ids)
-            starts.append((np.cumsum(size) - size + at)[which])
-            sizes.append(size[which])
-            at += len(ids)
-        start, size = np.stack(starts, axis=1).reshape(-1), np.stack(sizes, axis=1).reshape(-1)
-        ends = np.cumsum(size)
-        return np.concatenate(pool)[np.repeat(start - (ends - size), size) + np.arange(ends[-1])], sizes[0] + sizes[1]
+        cores = pc.utf8_rtrim(pieces, characters=TAIL).dictionary_encode()
+        tails = pc.replace_substring_regex(pieces, _CORE, "").dictionary_encode()
+        pool, start, size = self._lists(pa.concat_arrays([cores.dictionary, tails.dictionary]))
+        which = np.stack((cores.indices.to_numpy(), tails.indices.to_numpy() + len(cores.dictionary)), axis=1)
+        start, size = start[which].reshape(-1), size[which]
+        flat = size.reshape(-1)
+        ends = np.cumsum(flat)
+        return pool[np.repeat(start - (ends - flat), flat) + np.arange(ends[-1])], size.sum(axis=1)
 
     def encode_pieces(self, words: pa.Array, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pieces = pc.if_else(pa.array(head), words, pc.binary_join_element_wise(_text(""), words, _text(" ")))

@@ -2,6 +2,7 @@ import os
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
@@ -52,3 +53,48 @@ def test_layout(spark, tmp_path):
 
 def test_empty_table(spark):
     assert token_files.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+class Counted:
+    """The library's model, and what it was asked for."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, match):
+        self.asked.append(match)
+        return self.model.tokenize(match)
+
+
+def counted_encoder():
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.LibraryEncoder(f.read())
+    encoder.model = Counted(encoder.model)
+    return encoder
+
+
+def same_as_library(encoder, texts):
+    ids, first = encoder.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [Tokenizer.from_file(PATH).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_earlier_chunks_are_not_encoded_again():
+    encoder = counted_encoder()
+    same_as_library(encoder, ["uncommonly rare wordings, naïve слово!!", "rare; wordings"])
+    asked = len(encoder.model.asked)
+    assert asked > 0
+    same_as_library(encoder, ["wordings, uncommonly rare; wordings!!", None, "", "uncommonly naïve, слово!!"])
+    assert len(encoder.model.asked) > asked  # "wordings" begins a text for the first time
+    asked = len(encoder.model.asked)
+    same_as_library(encoder, ["uncommonly naïve, слово!! rare", "wordings uncommonly"])
+    assert len(encoder.model.asked) == asked
+
+
+def test_full_memo(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO", 24)
+    encoder = counted_encoder()
+    for n in range(8):
+        same_as_library(encoder, [f"often seen {'abcdefgh'[n]}{'ijklmnop'[n]}word,, {'x' * (n + 60)} mehr {'qrstuvyz'[n] * 3}!", "often seen; 12 a\n\nb <|endoftext|> c", "often seen\nseen often"])
+        assert len(encoder.met) <= 24 and len(encoder.met_ids) == encoder.met_sizes.sum()
+        assert all(len(w.encode()) <= token_files.MEMO_BYTES for w in encoder.met.to_pylist())
+    assert len(encoder.model.asked) > 24 and encoder.model.asked.count("Ġseen") == 1  # the most used stay
