@@ -57,8 +57,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no learned language with a score of LANGUAGE_SCORE, go."""
     columns = _columns(docs)
-    found = langid.identify(docs, queries.language_model(docs), keep=columns)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*columns)
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)
+    return langid.retain(docs, queries.language_model(docs), known, keep=columns)
 
 
 @stage

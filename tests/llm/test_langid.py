@@ -132,3 +132,16 @@ def test_without_training_rows(spark):
     assert (row.lang_pred, row.score) == ("und", 0.0)
     assert langid.identify(docs.limit(0), model).count() == 0
     assert langid.identify(docs.limit(0), langid.train(docs.selectExpr("text", "'l' as lang"))).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [langid.BROADCAST_ROWS, 0])
+def test_retained_rows_are_those_identified(spark, broadcast_rows):
+    rows = [*corpus(60), (None, "zqx zqx", None), (900, None, "aa"), (901, "", None), (902, "12 !", "bb"), (903, "mako ungek", None), (903, "mako ungek", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    condition = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.9)
+    for model in (langid.train(docs.where("doc_id % 3 = 0"), broadcast_keys=20), langid.train(docs.limit(0))):
+        want = langid.identify(docs, model, keep=docs.columns).where(condition).select(*docs.columns)
+        got = langid.retain(docs, model, condition, keep=docs.columns, broadcast_rows=broadcast_rows)
+        assert got.dtypes == docs.dtypes
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert got.count() < len(rows) and (got.count() > 0 or not model.languages)

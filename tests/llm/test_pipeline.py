@@ -79,3 +79,10 @@ def test_one_row_of_a_group_stays_with_repeated_and_null_ids(spark):
     rows = [(5, text("a")), (1, text("a")), (1, text("a")), (None, text("a")), (None, text("b")), (None, text("b")), (2, text("c")), (3, ""), (4, "")]
     out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, text("a")), (None, text("b")), (2, text("c")), (3, ""), (4, "")], key=str)
+
+
+def test_language_stage_shuffles_no_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = corpus_pipeline.drop_unknown_language(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "text#" in plan and "BroadcastExchange" in plan
+    assert "Exchange hashpartitioning" not in plan and "Sort " not in plan
