@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from lumaspark.functions.tables import TRANSPOSING
 
 
+def level(sample: Column) -> Column:
+    """The level 0 to 255 of a sample in [-0.5, 0.5). Single samples stay single, as in SQL: in double precision those just below a level
+    would fall to the one before."""
+    single = lambda v: F.lit(v).cast("float")
+    return F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (sample + single(0.5)) * single(255)))).cast("long")
+
+
 def from_arrays(images: DataFrame, key: str, samples: str, width: int) -> DataFrame:
     """``(image_id, x, y, v)`` from an array of samples in [-0.5, 0.5) per image, row by row."""
     rows = images.select(F.col(key).alias("image_id"), F.posexplode(samples).alias("pos", "s"))
-    level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("s") + F.lit(0.5)) * 255)))
-    return rows.select("image_id", (F.col("pos") % width).cast("long").alias("x"), F.floor(F.col("pos") / width).cast("long").alias("y"), level.cast("long").alias("v"))
+    return rows.select("image_id", (F.col("pos") % width).cast("long").alias("x"), F.floor(F.col("pos") / width).cast("long").alias("y"), level(F.col("s")).alias("v"))
 
 
 def orient_xy(x: Column, y: Column, width: Column | int, height: Column | int, orientation: int) -> tuple[Column, Column]:
