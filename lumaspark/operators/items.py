@@ -118,12 +118,25 @@ def exif_payload(data: Column) -> Column:
     return F.when(ok, F.substr(data, (skip + 1).cast("int"), F.octet_length(data))).otherwise(data)
 
 
-def metadata_rollup(items: DataFrame, primary: DataFrame) -> DataFrame:
-    """``(file_id, item_count, primary_item_id, width, height, color_space, orientation, is_grid, has_alpha)`` from resolved items."""
-    joined = items.join(primary.withColumnRenamed("item_id", "primary_item_id"), "file_id")
+def distinct_items(rows: DataFrame) -> DataFrame:
+    """``(file_id, item_id, primary_item_id)``: every item of a file once, with the smallest of the file.
+
+    One shuffle by file and one sort, which spills: rows that follow one another are compared, so no table of keys is held."""
+    line = Window.partitionBy("file_id").orderBy(F.col("item_id").asc_nulls_last())
+    new = (F.row_number().over(line) == 1) | ~F.lag("item_id").over(line).eqNullSafe(F.col("item_id"))
+    return rows.select("file_id", "item_id", F.first("item_id").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("primary_item_id"), new.alias("_new")).where("_new").drop("_new")
+
+
+def metadata_rollup(items: DataFrame, primary: DataFrame | None = None) -> DataFrame:
+    """``(file_id, primary_item_id, item_count, width, height, color_space, orientation, is_grid, has_alpha)`` from resolved items.
+    ``primary`` is ``(file_id, item_id)``, one row a file; without it, items have ``primary_item_id``.
+
+    Items that come from ``distinct_items`` lie in the order of files, and are grouped as they come: no further shuffle or sort."""
+    joined = items.where("file_id is not null") if primary is None else items.join(primary.withColumnRenamed("item_id", "primary_item_id"), "file_id")
     here = F.col("item_id") == F.col("primary_item_id")
     of_primary = lambda c: F.max(F.when(here, F.col(c))).alias(c)
-    return joined.groupBy("file_id", "primary_item_id").agg(
+    return joined.groupBy("file_id").agg(
+        F.max("primary_item_id").alias("primary_item_id"),
         F.count("*").alias("item_count"),
         *[of_primary(c) for c in ("width", "height", "color_space", "orientation")],
         F.coalesce(F.bool_or(here & (F.col("item_type") == "grid")), F.lit(False)).alias("is_grid"),
