@@ -127,6 +127,13 @@ def distinct_items(rows: DataFrame) -> DataFrame:
     return rows.select("file_id", "item_id", F.first("item_id").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("primary_item_id"), new.alias("_new")).where("_new").drop("_new")
 
 
+def item_counts(rows: DataFrame) -> DataFrame:
+    """``(file_id, n_items)``: different items of each file, as the rank of its last row. One shuffle by file and one sort."""
+    line = Window.partitionBy("file_id").orderBy("item_id")
+    ranked = rows.select("file_id", F.dense_rank().over(line).cast("long").alias("n_items"), F.lead(F.lit(True)).over(line).isNull().alias("_last"))
+    return ranked.where("_last").drop("_last")
+
+
 def metadata_rollup(items: DataFrame, primary: DataFrame | None = None) -> DataFrame:
     """``(file_id, primary_item_id, item_count, width, height, color_space, orientation, is_grid, has_alpha)`` from resolved items.
     ``primary`` is ``(file_id, item_id)``, one row a file; without it, items have ``primary_item_id``.
